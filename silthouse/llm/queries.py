@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from silthouse.llm.decontaminate import op9_decontaminate
+from silthouse.llm.packing import op4_best_fit_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op9_decontaminate": op9_decontaminate,
 }
 
