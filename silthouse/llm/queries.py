@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from silthouse.llm.decontaminate import op9_decontaminate
 from silthouse.llm.packing import op4_best_fit_packing
+from silthouse.llm.simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op9_decontaminate": op9_decontaminate,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
