@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back.
 
     It cuts the lineage: a lost executor costs the tasks that ran there, not the stages before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,3 +92,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def parts(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch, cut so that a binary `column` has about `limit` bytes in each; a longer value is a part of its own."""
+    start = size = 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if k > start and size + n > limit:
+            yield batch.slice(start, k - start)
+            start, size = k, 0
+        size += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
