@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silthouse.llm import urls, warc
+from silthouse.llm import lines, urls, warc
 from silthouse.llm.decontaminate import op9_decontaminate
+from silthouse.llm.lines import op3_line_dedup
 from silthouse.llm.matroska import op1_matroska
 from silthouse.llm.packing import op4_best_fit_packing
 from silthouse.llm.simhash import op10_simhash
+from silthouse.llm.substrings import op2_substrings
 from silthouse.llm.urls import op7_url_filter
 from silthouse.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
+    "op2_substrings": op2_substrings,
+    "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
@@ -24,6 +28,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substrings": op2_substrings,
+    "op3_line_dedup": lines.SQL,
     "op7_url_filter": urls.SQL,
     "op8_warc": warc.SQL,
 }
