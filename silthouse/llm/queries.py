@@ -12,6 +12,7 @@ from silthouse.llm.lines import op3_line_dedup
 from silthouse.llm.matroska import op1_matroska
 from silthouse.llm.packing import op4_best_fit_packing
 from silthouse.llm.pii import op5_pii
+from silthouse.llm.quality import op6_quality
 from silthouse.llm.simhash import op10_simhash
 from silthouse.llm.substrings import op2_substrings
 from silthouse.llm.urls import op7_url_filter
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
@@ -31,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
     "op2_substrings": op2_substrings,
     "op3_line_dedup": lines.SQL,
     "op7_url_filter": urls.SQL,
