@@ -1,5 +1,10 @@
+import sys
+from pathlib import Path
+
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+
 LONG = " ".join(f"w{i % 977}" for i in range(9000))
 #: Texts that each operator must take: null, empty, white space, ties, copies, long ones, odd characters.
 ODD = [
