@@ -10,6 +10,7 @@ log(N df(e, t) / (df(e) df(t))) what a term t tells of it, with df counted over
 term whose PMI is GENERALISE of the IC or more discloses the entity where both occur: its uses there
 are spans of kind "term", replaced by their class, or removed from REMOVE of the IC on. Entities
 and pairs count if at least SUPPORT different texts have them, so that copies prove nothing.
+Words are counted by a 64-bit hash.
 
 DataFrame functions only. Document frequencies are partial sums before the shuffle; the pairs of
 an entity are never gathered, only counted; a document's own matches and tokens stay in its row.
@@ -124,21 +125,29 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def disclosing(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """entity, word, ratio of PMI to IC, for every pair at GENERALISE or more. rows: of found(), written."""
-    total = docs.count()
+    """entity, word (a hash), ratio of PMI to IC, for every pair at GENERALISE or more. rows: of found(), written.
+
+    PMI reaches that share of IC only if df(t) <= df(e) (N / df(e)) ** (1 - GENERALISE). So the words of
+    texts with an entity that recurs meet their document frequencies first, in rows of a few bytes,
+    and only those rare enough for one of their text's entities are paired and counted.
+    """
+    n = float(max(docs.count(), 1))
     own = rows.filter(F.size("entities") > 0).groupBy("_t1", "_t2").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("tokens").alias("tokens"))
-    own = common.written(own.select("copies", "entities", F.array_distinct(F.transform("tokens", lambda t: t["word"])).alias("words")), "entities")
-    each = own.select("copies", F.explode("entities").alias("entity"))
-    known = each.groupBy("entity").agg(F.sum("copies").alias("e"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT).drop("texts")
-    pairs = own.select("copies", "words", F.explode("entities").alias("entity")).join(known, "entity").select("entity", "e", "copies", F.explode("words").alias("word"))
-    pairs = pairs.filter(F.length("word") >= MIN_LETTERS).groupBy("entity", "e", "word").agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT)
-    pairs = common.written(pairs.drop("texts"), "pairs")
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD), F.lit(0)), F.lower))).alias("word"))
-    counts = words.filter(F.length("word") >= MIN_LETTERS).groupBy("word").agg(F.count(F.lit(1)).alias("t"))
-    joined = pairs.join(counts.join(pairs.select("word").distinct(), "word", "left_semi"), "word")
-    n = F.lit(float(max(total, 1)))
+    words = F.array_distinct(F.transform(F.filter("tokens", lambda t: F.length(t["word"]) >= MIN_LETTERS), lambda t: F.xxhash64(t["word"])))
+    own = common.written(own.select(F.monotonically_increasing_id().alias("id"), "copies", "entities", words.alias("words")), "entities")
+    each = own.select("id", "copies", F.explode("entities").alias("entity"))
+    known = each.groupBy("entity").agg(F.sum("copies").alias("e"), F.count(F.lit(1)).alias("texts")).filter((F.col("texts") >= SUPPORT) & (F.col("e") < n))
+    most = F.floor(F.col("e") * F.pow(n / F.col("e"), 1 - GENERALISE) + 1e-6)
+    told = each.join(known.select("entity", "e", most.alias("most")), "entity").groupBy("id").agg(F.max("most").alias("bound"), F.collect_list(F.struct("entity", "e", "most")).alias("told"))
+    told = common.written(own.select("id", "copies", "words").join(told, "id"), "told")
+    plain = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD), F.lit(0)), F.lower)
+    every = docs.select(F.explode(F.array_distinct(F.transform(F.filter(plain, lambda w: F.length(w) >= MIN_LETTERS), lambda w: F.xxhash64(w)))).alias("word"))
+    counts = every.groupBy("word").agg(F.count(F.lit(1)).alias("t")).filter(F.col("t") >= SUPPORT)
+    rare = told.select("id", "bound", F.explode("words").alias("word")).join(counts, "word").filter(F.col("t") <= F.col("bound")).select("id", "word", "t")
+    pairs = rare.join(told.select("id", "copies", "told"), "id").select("copies", "word", "t", F.explode("told").alias("x")).filter(F.col("t") <= F.col("x.most"))
+    counted = pairs.groupBy("x.entity", "x.e", "word", "t").agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT)
     ratio = F.log(n * F.col("both") / (F.col("e") * F.col("t"))) / F.log(n / F.col("e"))
-    return joined.filter(F.col("e") < n).withColumn("ratio", ratio).filter(F.col("ratio") >= GENERALISE).select("entity", "word", "ratio")
+    return counted.withColumn("ratio", ratio).filter(F.col("ratio") >= GENERALISE).select("entity", "word", "ratio")
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,7 +158,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     own = owners.join(told, "entity").groupBy("_t1", "_t2", "word").agg(F.max("ratio").alias("ratio")).groupBy("_t1", "_t2").agg(F.map_from_entries(F.collect_list(F.struct("word", "ratio"))).alias("_told"))
     joined = rows.join(own, ["_t1", "_t2"], "left")
     apart = lambda t: ~F.exists("base", lambda b: (t["start"] < b["stop"]) & (b["start"] < t["stop"]))
-    ratio = lambda t: F.try_element_at("_told", t["word"])
+    ratio = lambda t: F.try_element_at("_told", F.xxhash64(t["word"]))
     terms = F.transform(F.filter("tokens", lambda t: ratio(t).isNotNull() & apart(t)), lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), ratio(t).alias("ratio")))
     none = F.array().cast("array<struct<start:int,stop:int,ratio:double>>")
     return joined.select(key, "_t1", "_t2", "base", F.when(F.col("_told").isNotNull(), terms).otherwise(none).alias("terms"))
