@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _loaded() -> None:
+    """The modules that register queries when they are imported."""
+    for name in ("archive", "analysis", "entities", "texts"):
+        importlib.import_module(f"silthouse.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _loaded()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _loaded()
     return _SQL
