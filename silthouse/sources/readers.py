@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import re
+from csv import reader
 from functools import reduce
 
 import pandas as pd
@@ -55,8 +57,14 @@ def csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """A CSV file as texts: encoding and separator from its prefix, short rows padded, long ones cut, clean headers."""
     data = prefix(spark, path)
     name = encoding_of(data)
-    rows = spark.read.option("encoding", _SPARK_NAMES[name]).option("sep", delimiter_of(data.decode(name, errors="ignore"))).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").option("header", header).csv(path)
-    return rows.toDF(*clean_headers([c.lstrip("﻿") for c in rows.columns] if header else [""] * len(rows.columns)))
+    if name in ("windows-1255", "iso-8859-8"):  # Spark reads these only with Java's character sets
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    text = data.decode(name, errors="ignore").lstrip("\ufeff")
+    sep = delimiter_of(text)
+    rows = spark.read.option("encoding", _SPARK_NAMES[name]).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").option("header", header).csv(path)
+    # Spark renames repeated headers, so the names come from the prefix
+    names = next(reader(io.StringIO(text), delimiter=sep), []) if header else []
+    return rows.toDF(*clean_headers((names + [""] * len(rows.columns))[: len(rows.columns)]))
 
 
 def header_row(rows: list[list[str | None]]) -> int | None:
