@@ -32,9 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_pii": op5_pii,
-    "op6_quality": op6_quality,
-    "op2_substrings": op2_substrings,
     "op3_line_dedup": lines.SQL,
     "op7_url_filter": urls.SQL,
     "op8_warc": warc.SQL,
