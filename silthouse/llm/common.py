@@ -1,67 +1,26 @@
-"""What the corpus operators share: the shared folder, written tables, byte views of Arrow columns."""
+"""What the corpus operators share: tables, and byte views of Arrow columns."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
+from silthouse.storage import shared_dir, written
 
+__all__ = ["byte_view", "partitions", "parts", "read", "shared_dir", "slices", "strings", "written"]
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return f"{root.rstrip('/')}/silthouse"
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="silthouse-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return f"file://{_LOCAL[0]}"
-
-
-def written(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back.
-
-    It cuts the lineage: a lost executor costs the tasks that ran there, not the stages before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, key: str, hot: DataFrame, salts: int) -> DataFrame:
-    """df with a salt column: random below salts for keys in hot, else 0.
-
-    hot has the column `key`. Its callers keep only keys with more than a fixed share of
-    the rows, so that it has at most as many rows as such shares fit into the whole.
-    """
-    flagged = df.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
-    return flagged.withColumn(
-        "salt", F.when(F.col("_hot"), (F.rand(7) * salts).cast("int")).otherwise(F.lit(0))
-    ).drop("_hot")
-
-
 def strings(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silthouse.llm import common
-from silthouse.llm.components import components
+from silthouse.operators.graph import components
 
 SHINGLE = 3
 DISTANCE = 3

@@ -73,7 +73,7 @@ def test_every_near_print_shares_a_key(x, flips):
 
 
 def test_long_chains(spark):
-    from silthouse.llm.components import components
+    from silthouse.operators.graph import components
 
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
