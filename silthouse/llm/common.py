@@ -7,16 +7,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from silthouse.storage import shared_dir, written
 
-__all__ = ["byte_view", "partitions", "parts", "read", "shared_dir", "slices", "strings", "written"]
+__all__ = ["byte_view", "partitions", "parts", "read", "set_aside", "restored", "shared_dir", "slices", "strings", "written"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def set_aside(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """_id, _body and the other columns in one, _rest: whatever their names, they don't clash with an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (key, text)]
+    return docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_body"), F.struct(*rest, F.lit(0).alias("_")).alias("_rest"))
+
+
+def restored(rows: DataFrame, docs: DataFrame, key: str, text: str, body: Column | None = None) -> DataFrame:
+    """The columns of docs again, from rows with those of set_aside(); the text as it was, or another one."""
+    at = {key: F.col("_id"), text: F.col("_body") if body is None else body}
+    return rows.select(*((at[c] if c in at else F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

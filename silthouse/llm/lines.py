@@ -157,8 +157,8 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_CHARS) -> DataFrame:
     """The documents without later copies of line runs; those that lose all their lines go. All columns stay."""
-    kept = cut(docs, key, text, least).filter(_removed() < F.col("_lines"))
-    return kept.select(*(F.col("_kept").alias(c) if c == text else F.col(c) for c in docs.columns))
+    kept = cut(common.set_aside(docs, key, text), "_id", "_body", least).filter(_removed() < F.col("_lines"))
+    return common.restored(kept, docs, key, text, F.col("_kept"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

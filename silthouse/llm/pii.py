@@ -175,9 +175,10 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with entities and disclosing terms generalised to their class, or removed; all columns stay."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = spans(docs, key, text).select("_t1", "_t2", "base", "terms").groupBy("_t1", "_t2").agg(F.first("base").alias("_base"), F.first("terms").alias("_terms"))
-    named = docs.withColumn("_t1", F.xxhash64(body)).withColumn("_t2", F.xxhash64(F.lit("text"), body)).join(own, ["_t1", "_t2"])
+    rows = common.set_aside(docs, key, text)
+    body = F.coalesce(F.col("_body"), F.lit(""))
+    own = spans(rows, "_id", "_body").select("_t1", "_t2", "base", "terms").groupBy("_t1", "_t2").agg(F.first("base").alias("_base"), F.first("terms").alias("_terms"))
+    named = rows.withColumn("_t1", F.xxhash64(body)).withColumn("_t2", F.xxhash64(F.lit("text"), body)).join(own, ["_t1", "_t2"])
     cut = lambda s, put: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), put.alias("put"))
     edits = F.concat(
         F.transform("_base", lambda s: cut(s, F.concat(F.lit("["), s["kind"], F.lit("]")))),
@@ -191,8 +192,7 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         return F.struct(F.greatest(acc["at"], e["stop"]).alias("at"), new.alias("out"))
 
     clean = F.aggregate(F.sort_array(edits), empty, put, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    clean = F.when(F.size("_base") + F.size("_terms") > 0, clean).otherwise(F.col(text))
-    return named.select(*(clean.alias(c) if c == text else F.col(c) for c in docs.columns))
+    return common.restored(named, docs, key, text, F.when(F.size("_base") + F.size("_terms") > 0, clean).otherwise(F.col("_body")))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,12 +171,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Of each component, the document of the smallest key; all columns stay. Of rows that repeat it, one stays."""
-    own = fingerprinted(docs, text, None, shingle)
-    found = common.written(fingerprinted(docs, text, [key], shingle), "fingerprints")
-    chosen = found.join(classes(found, key), "_fp").filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_fp").alias("_fp"))
-    kept = own.join(chosen, (own["_fp"] == chosen["_fp"]) & own[key].eqNullSafe(chosen["component_id"])).select(own["*"])
-    first = Window.partitionBy("_fp", key).orderBy(F.xxhash64(text))
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+    rows = common.set_aside(docs, key, text)
+    own = fingerprinted(rows, "_body", None, shingle)
+    found = common.written(fingerprinted(rows.select("_id", "_body"), "_body", ["_id"], shingle), "fingerprints")
+    chosen = found.join(classes(found, "_id"), "_fp").filter(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_fp").alias("_fp"))
+    kept = own.join(chosen, (own["_fp"] == chosen["_fp"]) & own["_id"].eqNullSafe(chosen["component_id"])).select(own["*"])
+    first = Window.partitionBy("_fp", "_id").orderBy(F.xxhash64("_body"))
+    return common.restored(kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1"), docs, key, text)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

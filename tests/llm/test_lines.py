@@ -49,8 +49,8 @@ def test_edges(spark, odd, empty):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = dict((r[0], r[1:]) for r in check(docs))
     assert got[2][1] == 0 and got[9][1] == 12 and got[8][1] == 12 and got[4][1] > 0
-    kept = L.deduplicated(docs.selectExpr("doc_id", "text", "1 pos", "2 start", "3 lines", "4 n"))
-    assert kept.columns == ["doc_id", "text", "pos", "start", "lines", "n"]
+    kept = L.deduplicated(docs.selectExpr("doc_id", "text", "1 pos", "2 _t1", "3 cuts", "4 _id", "5 _rest"))
+    assert kept.columns == ["doc_id", "text", "pos", "_t1", "cuts", "_id", "_rest"] and kept.first()["_t1"] == 2
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id == 9) == [(9, "a\nb")]
 
 

@@ -79,7 +79,7 @@ def test_terms(spark):
     got = {r[0]: r for r in check(docs)}
     assert not got[20][7]
     rows = [(i, f"Zebulon wrote {i} to boss@x.org about the quarterly plan") for i in range(5)] + rows[8:]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 base", "2 tokens")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 _base", "2 _t1")
     assert "term:0:7" in {r[0]: r for r in check(docs)}[2][6]
     clean = P.sanitised(docs)
     assert clean.columns == docs.columns

@@ -55,7 +55,7 @@ def test_edges(spark, odd, empty):
 
 
 def test_one_of_each(spark, odd, docs):
-    for table in (odd, docs, docs.union(docs)):
+    for table in (odd.selectExpr("text", "doc_id", "1 _fp", "2 _body", "3 _n", "4 u"), docs, docs.union(docs)):
         kept = S.one_of_each(table)
         assert kept.columns == table.columns
         want = {c for _, _, c in brute([(r.doc_id, r.text) for r in table.collect()])}
