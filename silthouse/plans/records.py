@@ -30,7 +30,7 @@ def size_rollup(spark, sf):
     return load(spark, sf, "conversations").select("conv_id", "role", F.length("text").alias("n")).distinct().groupBy("conv_id").agg(F.sum("n").alias("bytes"))
 
 
-@query("column_mapping", "SELECT * FROM (VALUES ('title', 'subject', 1.0), ('start', 'o_orderdate', 0.7), ('location', 'place', 1.0)) AS t(field, \"column\", confidence)")
+@query("column_mapping", "SELECT * FROM (VALUES ('title', 'subject', 1.0::DOUBLE), ('start', 'o_orderdate', 0.7), ('location', 'place', 1.0)) AS t(field, \"column\", confidence)")
 def column_mapping(spark, sf):
     names = ["subject", "place", *load(spark, sf, "orders").columns]
     return spark.createDataFrame([(k, c, x) for k, (c, x) in R.column_mapping(names).items()], "field string, column string, confidence double")
