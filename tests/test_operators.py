@@ -1,10 +1,14 @@
 """Operators whose results SQL doesn't show: guards, compilers, components, files and streams."""
 
+import re
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from silthouse.functions import text as T
 from silthouse.operators import archive as A
 from silthouse.operators import console as C
 from silthouse.operators import graph as G
@@ -13,6 +17,7 @@ from silthouse.operators import profile as P
 from silthouse.operators import search as S
 from silthouse.operators import semantic as Q
 from silthouse.operators import spatial as X
+from silthouse.plans import registry
 from silthouse.plans.analysis import MODEL
 from silthouse.plans.entities import _heads
 from silthouse.sources import readers as R
@@ -71,20 +76,71 @@ def test_components(spark, pairs):
     assert got == {x: c for x, c in of.items() if x != c}
 
 
+def plain(name):
+    return re.sub(r"\s+", " ", re.sub("[-–—־/]", " ", re.sub("[\"'`׳״]", "", name.lower()))).strip()
+
+
+def tokens(name):
+    return sorted(t for t in plain(name).split(" ") if len(t) > 1 and t not in T.HONORIFICS)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def alike(a, b):
+    """Likeness of two names, written down plainly."""
+    x, y = tokens(a), tokens(b)
+    if plain(a) == plain(b):
+        return 1.0
+    if not x or not y:
+        return 0.0
+    if set(x) == set(y):
+        return 0.97
+    p, q = " ".join(x), " ".join(y)
+    both = set(x) & set(y)
+    return min(1.0, 0.6 * (1 - edits(p, q) / max(len(p), len(q))) + 0.4 * len(both) / len(set(x) | set(y)) + (0.08 if len(both) >= 2 else 0))
+
+
 def test_duplicate_clusters_match_union_find(spark, sf):
-    from silthouse.functions import text as T
-    from silthouse.operators.resolve import blocked_pairs, duplicate_clusters
-
-    heads = _heads(spark, sf)
-    found = duplicate_clusters(blocked_pairs(heads, "doc_id", "head", block=F.substring(T.norm(F.col("head")), 1, 12))).collect()
-    same = {}
-    for r in heads.collect():
-        same.setdefault(r["head"], []).append(r.doc_id)
-    own = {r.id: r.cluster for r in found}
-    for ids in same.values():
-        if len(ids) > 1 and any(len(t) > 1 for t in [heads.filter(F.col("doc_id") == ids[0]).first()["head"].split()]) and ids[0] in own:
-            assert len({own[i] for i in ids}) == 1
-    assert all(r.cluster <= r.id and r.size > 1 for r in found)
+    heads = {r.doc_id: r["head"] for r in _heads(spark, sf).collect()}
+    of = {i: i for i in heads if tokens(heads[i])}
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    block = lambda n: (re.sub("[^0-9a-zא-ת]+", "", n.lower())[:12], max(tokens(n), key=len)[:2])
+    for a in of:
+        for b in of:
+            if a < b and block(heads[a]) == block(heads[b]) and alike(heads[a], heads[b]) >= 0.85:
+                x, y = sorted((root(a), root(b)))
+                of[y] = x
+    size = Counter(root(i) for i in of)
+    got = {(r.id, r.cluster, r.size) for r in registry.queries()["duplicate_clusters"](spark, sf).collect()}
+    assert got == {(i, root(i), size[root(i)]) for i in of if size[root(i)] > 1}
+
+
+def test_registry_fuzzy_matches_plain_likeness(spark, sf):
+    part = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    known: dict = {}
+    for k in sorted(k for k in part if k % 10 == 1):
+        known.setdefault(plain(part[k]), k)
+    want = set()
+    for k in (k for k in part if k % 10 == 0):
+        own = plain(part[k])
+        if own in known:
+            want.add((k, known[own], 1.0, "exact"))
+        else:
+            best = sorted((-round(alike(own, n), 6), i) for n, i in known.items() if n[:3] == own[:3] and alike(own, n) >= 0.6)
+            want |= {(k, best[0][1], -best[0][0], "fuzzy")} if best else set()
+    assert {tuple(r) for r in registry.queries()["registry_fuzzy"](spark, sf).select("id", "number", "score", "how").collect()} == want
 
 
 def test_profiles(spark):
