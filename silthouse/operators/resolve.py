@@ -140,3 +140,20 @@ def ambiguous(rows: DataFrame, key: str, target: str) -> DataFrame:
 
 def rank_in(partition: list[str], *orders: Column) -> Column:
     return F.rank().over(Window.partitionBy(*partition).orderBy(*orders))
+
+
+def event_groups(matches: DataFrame, least: float = 0.65) -> DataFrame:
+    """id, cluster, size of events joined by matches: components, so that the order of events doesn't matter."""
+    return clusters(matches.filter(F.col("score") >= least))
+
+
+def cross_referenced(candidates: DataFrame, groups: DataFrame, ident: str) -> DataFrame:
+    """The candidates with status confirmed where the event is in a match group, else unconfirmed."""
+    own = groups.select(F.col("id").alias(ident), F.lit(True).alias("_hit"))
+    return candidates.join(own, ident, "left").withColumn("status", F.when(F.col("_hit"), "confirmed").otherwise("unconfirmed")).drop("_hit")
+
+
+def doorway_key(street: Column, postcode: Column, lon: Column, lat: Column, raw: Column) -> Column:
+    """A key for a door: its street where it is known, else its postcode, its place to about 10 m, or the text."""
+    place = F.concat_ws(",", F.round(lon, 4).cast("string"), F.round(lat, 4).cast("string"))
+    return F.coalesce(F.concat(F.lit("street:"), street.cast("string")), F.concat(F.lit("zip:"), postcode.cast("string")), F.when(lon.isNotNull() & lat.isNotNull(), F.concat(F.lit("xy:"), place)), F.concat(F.lit("raw:"), norm(raw)))

@@ -180,3 +180,34 @@ def wkt_kind(wkt: Column) -> Column:
     """degrees or grid by the first number of a geometry text; null if it is neither."""
     first = F.regexp_extract(F.substring(wkt, 1, 120), r"(-?[0-9]+\.?[0-9]*)", 1).try_cast("double")
     return F.when(first.between(33, 37), "degrees").when(first.between(100_000, 400_000), "grid")
+
+
+def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """A line with the points that matter: those farther than a tolerance from the chord of what is kept around them."""
+    keep = {0, len(points) - 1}
+    left = [(0, len(points) - 1)]
+    while left:
+        a, b = left.pop()
+        (x1, y1), (x2, y2) = points[a], points[b]
+        length = math.hypot(x2 - x1, y2 - y1)
+        off = [(abs((x2 - x1) * (y1 - y) - (x1 - x) * (y2 - y1)) / length if length else math.hypot(x - x1, y - y1), k) for k, (x, y) in enumerate(points[a + 1 : b], a + 1)]
+        far, k = max(off, default=(0.0, a))
+        if far > tolerance:
+            keep.add(k)
+            left += [(a, k), (k, b)]
+    return [points[k] for k in sorted(keep)]
+
+
+def simplify(wkt: Column, tolerance: float) -> Column:
+    """Polygons as WKT with fewer points; rings that would vanish stay as they are, texts that can't be read are null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            rings = parse_wkt(text)
+            own = [s if len(s := simplified(r, tolerance)) >= 4 else r for r in rings or []]
+            out.append("POLYGON(" + ", ".join("(" + ", ".join(f"{x:.10g} {y:.10g}" for x, y in r) + ")" for r in own) + ")" if rings else None)
+        return pd.Series(out, dtype="object")
+
+    return run(wkt)

@@ -178,3 +178,44 @@ def degree_showcase(spark, sf):
 def connected_components(spark, sf):
     pairs = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("a"), (F.floor(F.col("s_suppkey") / 3) * 3).cast("long").alias("b"))
     return G.clusters(pairs).select("id", "cluster")
+
+
+_DAY_GROUPS = "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, min(event_id) AS cluster, count(*) AS size FROM events WHERE user_id < 12 GROUP BY ALL HAVING count(DISTINCT event_type) > 1"
+
+
+def _day_matches(spark, sf):
+    rows = load(spark, sf, "events").filter("user_id < 12").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat(F.lit("meeting of user "), F.col("user_id").cast("string")).alias("title"))
+    return R.same_day_matches(rows, "event_id", "event_type", "day", "title", least=0.9)
+
+
+@query("event_match_groups", f"SELECT e.event_id AS id, g.cluster, g.size FROM events e JOIN ({_DAY_GROUPS}) g ON e.user_id = g.user_id AND strftime(e.ts, '%Y-%m-%d') = g.day")
+def event_match_groups(spark, sf):
+    return R.event_groups(_day_matches(spark, sf))
+
+
+@query(
+    "cross_reference_status",
+    f"SELECT e.event_id, CASE WHEN g.day IS NULL THEN 'unconfirmed' ELSE 'confirmed' END AS status FROM events e LEFT JOIN ({_DAY_GROUPS}) g ON e.user_id = g.user_id AND strftime(e.ts, '%Y-%m-%d') = g.day WHERE e.user_id < 20",
+)
+def cross_reference_status(spark, sf):
+    events = load(spark, sf, "events").filter("user_id < 20").select("event_id")
+    return R.cross_referenced(events, R.event_groups(_day_matches(spark, sf)), "event_id")
+
+
+@query(
+    "doorway_keys",
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'street:' || c_nationkey WHEN 1 THEN 'zip:' || c_mktsegment WHEN 2 THEN 'xy:35.1235,31.5' ELSE 'raw:' || lower(regexp_replace(c_name, '[^0-9A-Za-z]', '', 'g')) END AS key FROM customer""",
+)
+def doorway_keys(spark, sf):
+    k = F.col("c_custkey") % 4
+    key = R.doorway_key(F.when(k == 0, F.col("c_nationkey")), F.when(k == 1, F.col("c_mktsegment")), F.when(k == 2, F.lit(35.12345678)), F.lit(31.5), F.col("c_name"))
+    return load(spark, sf, "customer").select("c_custkey", key.alias("key"))
+
+
+#: Scores are held to a plain implementation in the tests.
+@query("registry_scores")
+def registry_scores(spark, sf):
+    from silthouse.functions.fuzzy import registry_score
+
+    names = load(spark, sf, "nation").select(F.col("n_regionkey").alias("r_regionkey"), F.lower("n_name").alias("a"))
+    return names.join(load(spark, sf, "region").select("r_regionkey", F.lower("r_name").alias("b")), "r_regionkey").select("a", "b", F.round(registry_score("a", "b"), 6).alias("score"))

@@ -73,3 +73,36 @@ def test_hashes_take_null_for_empty(spark):
 @pytest.mark.parametrize("names,want", [(["a", "A", "", "a"], ["a", "A_1", "col_3", "a_2"]), (["é" * 40], ["é" * 31])])
 def test_headers(names, want):
     assert I.clean_headers(names) == want
+
+
+def test_registry_scores(spark, sf):
+    from itertools import combinations
+
+    from silthouse.functions import fuzzy as Z
+    from silthouse.plans import registry
+
+    def longest(a, b):
+        subs = {""}
+        for c in a:
+            subs |= {s + c for s in subs}
+        return max((len(s) for s in subs if _is_sub(s, b)), default=0)
+
+    for a, b in combinations(["", "abc", "acb", "bca x", "cabba", "xabc"], 2):
+        assert Z.common_length(a, b) == longest(a, b)
+    assert Z.ratio("", "") == 1.0 and Z.partial_ratio("abc", "xxabcxx") == 1.0 and Z.partial_ratio("", "a") == 0.0
+    assert Z.score("acme ltd", "ltd acme") == 0.95 and Z.score("acme", "the acme company") == 0.9
+    got = registry.queries()["registry_scores"](spark, sf).collect()
+    assert len(got) == 25 and all(r.score == round(Z.score(r.a, r.b), 6) for r in got)
+
+
+def _is_sub(s, b):
+    rest = iter(b)
+    return all(c in rest for c in s)
+
+
+def test_simplified_lines(spark):
+    from silthouse.operators import spatial as X
+
+    assert X.simplified([(0, 0), (1, 0.001), (2, 0), (3, 5), (4, 0)], 0.01) == [(0, 0), (2, 0), (3, 5), (4, 0)]
+    rows = spark.createDataFrame([("POLYGON((0 0, 1 0, 2 0, 2 2, 0 2, 0 0))",), ("x",), (None,)], "w string")
+    assert [r.s for r in rows.select(X.simplify(F.col("w"), 0.01).alias("s")).collect()] == ["POLYGON((0 0, 2 0, 2 2, 0 2, 0 0))", None, None]
