@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from silthouse.storage import shared_dir, written
 
 __all__ = ["byte_view", "partitions", "parts", "read", "set_aside", "restored", "shared_dir", "slices", "strings", "written"]
 
+_LIBC = ctypes.CDLL(None)
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -50,11 +53,19 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def _trim() -> None:
+    """Gives memory that a worker's last task has freed back to the machine: workers are used again, by other stages too."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that `column` has at most about `limit` bytes in each.
 
     A longer single text is a slice of its own; an empty batch is left out.
     """
+    _trim()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -34,9 +34,9 @@ from silthouse.llm import common
 LIMIT = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A worker forgets its words when it knows so many.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 # The vocabulary file's own split into words, digits and runs of signs.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
