@@ -240,7 +240,8 @@ def _anchored(texts: DataFrame, least: int, gram: int) -> DataFrame:
 def _undecided(places: DataFrame, kinds: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     """anchor, body, first, stop: window ranges, from the record's start, that occur elsewhere, of records that are alone."""
     open_ = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("number").alias("fewest")).filter("kinds > 1 and fewest = 1").select("anchor", "kinds")
-    one = places.join(open_, "anchor").groupBy("anchor", "body", "kinds").agg(F.min(F.struct(*_TEXT, "start", "n")).alias("at"))
+    # one place of each kind is found before the join, so that the join has no more rows of an anchor than kinds
+    one = places.groupBy("anchor", "body").agg(F.min(F.struct(*_TEXT, "start", "n")).alias("at")).join(open_, "anchor")
     needed = one.select("at._t1", "at._t2", F.struct("anchor", "body", "kinds", "at.start", "at.n").alias("record")).groupBy(*_TEXT).agg(F.collect_list("record").alias("records"))
 
     def fetch(batches):
@@ -296,7 +297,8 @@ def removed(docs: DataFrame, text: str, least: int, gram: int) -> tuple[DataFram
     """The distinct texts of documents with _t1 and _t2; _t1, _t2, cuts: byte ranges that go, in any order, overlapping."""
     texts = _bucketed(docs, text)
     anchors = _anchored(texts, least, gram)
-    often = anchors.groupBy("anchor").agg(F.sum("copies").alias("c")).filter("c > 1").select("anchor")
+    # written, so that no aggregate stands in the join's stage and Spark may split an anchor with very many rows
+    often = common.written(anchors.groupBy("anchor").agg(F.sum("copies").alias("c")).filter("c > 1").select("anchor"), "often")
     places = common.written(anchors.join(often, "anchor", "left_semi"), "places")
     kinds = common.written(places.groupBy("anchor", "body").agg(F.sum("copies").alias("number")), "kinds")
     whole = places.join(kinds.filter("number > 1").select("anchor", "body"), ["anchor", "body"], "left_semi").select(*_TEXT, F.col("start").alias("a"), (F.col("start") + F.col("n") + (least - 1)).alias("b"))
