@@ -3,15 +3,15 @@
 Each task takes its own documents in slices of a few MB (the shards). A shard's suffix array
 holds the word suffixes that can begin a match: those whose first words begin some benchmark
 window. They are sorted as byte strings; every benchmark suffix is then looked up by binary
-search, which gives the documents and word positions where its window occurs and the longest
-verbatim match. No document leaves its task, so nothing is shuffled and no key can be hot.
+search, which gives the documents and word positions where its window occurs. The longest verbatim
+match of each is a running minimum of neighbours' common prefixes from the insertion point on. No document leaves its task, so nothing is shuffled and no key can be hot.
 
 The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text, one broadcast each,
 and a shard is searched for one block after the other: a larger benchmark makes more blocks.
 
 Nulls and edges: a null text has no words; a null item_id counts as the item "". An item of
 fewer than `window` words is one window of all its words; an item without words matches nothing.
-Repeated documents are judged one by one. Other columns are not looked at.
+Repeated documents are judged one by one; of equally long matches the largest item counts, then the first place. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -121,8 +121,8 @@ class Block:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.known >> np.uint64(44)).astype(np.int64)] = True
 
-    def search(self, words: Words, hashes: np.ndarray, normal) -> Iterator[tuple[tuple, np.ndarray, tuple]]:
-        """(window, word positions where it occurs, longest match: words, item, position)."""
+    def search(self, words: Words, hashes: np.ndarray, normal) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray]]:
+        """(words of a window, its items, word positions where it occurs, words and item of the longest match at each)."""
         grams = _grams(hashes, self.gram)
         maybe = np.flatnonzero(self.bits[(grams >> np.uint64(44)).astype(np.int64)])
         where = np.searchsorted(self.known, grams[maybe])
@@ -138,11 +138,18 @@ class Block:
             low = bisect_left(array, window + b"\0")
             high = bisect_left(array, window + b"!", low)
             if high > low:
-                best = max(
-                    ((_common(array[i], suffix), item, -int(place[i])) for suffix, item in tests for p in [bisect_left(array, suffix, low, high)] for i in (p - 1, p) if low <= i < high),
-                    key=lambda x: x[0],
-                )
-                yield (n, items), place[low:high], best
+                between = np.array([_common(array[i - 1], array[i].partition(b"\0")[0]) for i in range(low + 1, high)], np.int64)
+                most, whose = np.zeros(high - low, np.int64), np.zeros(high - low, object)
+                for suffix, item in sorted(tests, key=lambda x: x[1]):
+                    p = bisect_left(array, suffix, low, high) - low
+                    shared = np.empty(high - low, np.int64)
+                    if p < high - low:
+                        shared[p:] = np.minimum.accumulate(np.concatenate([[_common(array[low + p], suffix)], between[p:]]))
+                    if p:
+                        shared[:p] = np.minimum.accumulate(np.concatenate([[_common(array[low + p - 1], suffix)], between[: p - 1][::-1]]))[::-1]
+                    whose[shared >= most] = item
+                    most = np.maximum(most, shared)
+                yield n, items, place[low:high], most, whose
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -177,15 +184,13 @@ def _judge(batch: pa.RecordBatch, text: str, tests: list) -> list[tuple]:
     items: dict[int, set] = {}
     best: dict[int, tuple] = {}
     for test in tests:
-        for (n, names), places, longest in test.value.search(words, hashes, normal):
+        for n, names, places, most, whose in test.value.search(words, hashes, normal):
             np.add.at(edge, places, 1)
             np.add.at(edge, places + n, -1)
             owners = np.searchsorted(words.first, places, side="right") - 1
-            for d in np.unique(owners).tolist():
+            for d, *match in zip(owners.tolist(), most.tolist(), whose.tolist(), (-places).tolist(), strict=True):
                 items.setdefault(d, set()).update(names)
-                best[d] = max(best.get(d, (0, "", 0)), (n, names[0], -int(places[owners == d][0])))
-            d = int(np.searchsorted(words.first, -longest[2], side="right") - 1)
-            best[d] = max(best[d], longest)
+                best[d] = max(best.get(d, (0, "", 0)), tuple(match))
     hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
     return [
         (int(b - a), int(hit[b] - hit[a]), items.get(d, set()), best.get(d, (0, None, 0)), int(a))

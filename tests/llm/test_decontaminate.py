@@ -66,3 +66,36 @@ def test_longest_match(spark):
     bench = spark.createDataFrame([(5, "x a b c d e f g h i j k l m")], "item_id long, text string")
     r = D.report(docs, bench).collect()[0]
     assert (r.longest_words, r.longest_item, r.longest_at) == (12, "5", 1)
+
+
+def brute_longest(text, items):
+    w, best = words(text), (0, "", 0)
+    for item, other in items:
+        t = words(other)
+        for b in range(max(len(t) - 9, 1) if t else 0):
+            for a in range(len(w)):
+                n = next((k for k in range(min(len(w) - a, len(t) - b)) if w[a + k] != t[b + k]), min(len(w) - a, len(t) - b))
+                if n >= min(10, len(t)):
+                    best = max(best, (n, str(item), -a))
+    return (best[0], best[1], -best[2]) if best[0] else (0, None, None)
+
+
+def test_longest_match_of_each_copy(spark):
+    """Copies in one slice, whole and cut short, all report their own longest match."""
+    item = " ".join(f"q{k}" for k in range(50))
+    texts = [f"a {item} z", f"a {item} z", item, f"b b {item[:100]} y", f"{item[20:150]} x {item[60:]}", "nothing of it", f"c {item} m n", f"{item} m", "q1 q2"]
+    items = [(5, item), (6, f"{item[:60]} other words"), (7, f"k {item} m"), (8, "m n")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for table in (docs.coalesce(1), docs.repartition(5)):
+        got = {r.doc_id: (r.longest_words, r.longest_item, r.longest_at) for r in D.report(table, bench).collect()}
+        assert got == {i: brute_longest(t, items) for i, t in enumerate(texts)}
+        assert got[0] == got[1] == (50, "7", 1)
+
+
+def test_longest_match_of_documents(spark, docs, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    hit = {r.doc_id: (r.longest_words, r.longest_item, r.longest_at) for r in D.report(docs, bench).filter("contaminated").collect()}
+    few = sorted(hit)[:4]
+    assert few and {i: hit[i] for i in few} == {r.doc_id: brute_longest(r.text, items) for r in docs.collect() if r.doc_id in few}
