@@ -15,23 +15,26 @@ _LOCAL: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Where the setting is absent on one machine (local master, as in tests) a temporary folder takes its
+    place; a cluster must name one, as its executors don't see the driver's folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return f"{root.rstrip('/')}/silthouse"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="silthouse-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return f"file://{_LOCAL[0]}"
 
 
-def written(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str | None = None, **options: object) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back.
 
     It cuts the lineage: a lost executor costs the tasks that ran there, not the stages before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
