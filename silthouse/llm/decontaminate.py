@@ -1,13 +1,19 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
-Each task takes its own documents in slices of a few MB (the shards). A shard's suffix array
-holds the word suffixes that can begin a match: those whose first words begin some benchmark
-window. They are sorted as byte strings; every benchmark suffix is then looked up by binary
-search, which gives the documents and word positions where its window occurs. The longest verbatim
-match of each is a running minimum of neighbours' common prefixes from the insertion point on. No document leaves its task, so nothing is shuffled and no key can be hot.
-
-The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text, one broadcast each,
-and a shard is searched for one block after the other: a larger benchmark makes more blocks.
+1. Each task cuts its documents into shards of about SHARD_BYTES. A shard's words are numbered in the
+   order of their bytes, and all its word suffixes are sorted by prefix doubling over these numbers, where
+   after each round only ties go on. Dictionary, numbers and suffix array are written, one row a shard.
+2. The benchmark goes through the driver in blocks of about BLOCK_BYTES of text, one after the other: a block
+   is broadcast, searched for in all stored shards, and destroyed before the next one is made.
+3. Every test suffix is binary-searched in a shard by its window, all of a block in one vectorised
+   descent; the interval it finds is the places where the window occurs. Each place's longest match is where
+   the document's suffix falls among the block's own sorted suffixes.
+4. Matches are rows of a document: runs of hit words, items, longest match. They are put together by
+   document over blocks and sections.
+
+Arrays refer to one buffer, so memory is linear in shard and block, whatever the length of an item.
+A text longer than a shard goes in sections that overlap by a window less one word; longest matches are
+counted within a section, and within a section of an item longer than a block.
 
 Nulls and edges: a null text has no words; a null item_id counts as the item "". An item of
 fewer than `window` words is one window of all its words; an item without words matches nothing.
@@ -16,225 +22,397 @@ Repeated documents are judged one by one; of equally long matches the largest it
 
 from __future__ import annotations
 
-import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silthouse.llm import common
 
 WINDOW = 10
-SLICE_BYTES = 1 << 20
-BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_GRAM = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
-_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """1, base, base**2 ... modulo 2**64, at least n of them."""
-    have = _POWERS.get(int(base))
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = _POWERS[int(base)] = np.multiply.accumulate(steps)
-    return have
+def word_edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all words end to end in lower case, where each begins and ends in `data`, and the first word of each text."""
+    low = _LOWER[data]
+    mask = _WORD[low]
+    begins, ends = mask.copy(), mask.copy()
+    begins[1:] &= ~mask[:-1]
+    ends[:-1] &= ~mask[1:]
+    inner = at[:-1][at[:-1] < len(data)]
+    begins[inner] = mask[inner]
+    inner = at[1:][at[1:] > 0] - 1
+    ends[inner] = mask[inner]
+    begin = np.flatnonzero(begins)
+    return low[mask], begin, np.flatnonzero(ends) + 1, np.searchsorted(begin, at)
+
+
+def suffix_array(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places of all words, in the order of the suffixes that start there; a suffix stops at the 0 behind its text."""
+    order = np.flatnonzero(ids)
+    order = order[np.argsort(ids[order], kind="stable")]
+    stop = np.repeat(first[1:] - 1, np.diff(first))
+    rank = np.zeros(len(ids), np.int64)
+    key = ids[order].astype(np.int64)
+    where, step = np.arange(len(order)), 1
+    while len(where):
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order[where]] = where[np.maximum.accumulate(np.where(new, np.arange(len(where)), 0))] + 1
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        where = where[tied]
+        places = order[where]
+        more = places + step <= stop[places]  # the others are compared to the 0 behind them
+        where, places = where[more], places[more]
+        key = rank[places] * (len(ids) + 1) + rank[places + step]
+        by = np.argsort(key, kind="stable")
+        order[where], key = places[by], key[by]
+        step *= 2
+    return order
 
 
 class Words:
-    """The words of several texts: byte offsets, document of each, hashes and normal form."""
-
-    def __init__(self, data: np.ndarray, at: np.ndarray):
-        low = _LOWER[data]
-        mask = _WORD[low]
-        begins, ends = mask.copy(), mask.copy()
-        begins[1:] &= ~mask[:-1]
-        ends[:-1] &= ~mask[1:]
-        inner = at[:-1][at[:-1] < len(data)]
-        begins[inner] = mask[inner]
-        inner = at[1:][at[1:] > 0] - 1
-        ends[inner] = mask[inner]
-        self.begin, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        self.first = np.searchsorted(self.begin, at)  # of each document, among the words
-        self.low, self.mask = low, mask
-
-    def hashes(self) -> np.ndarray:
-        total = np.zeros(len(self.low) + 1, np.uint64)
-        np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(self.low))[: len(self.low)], out=total[1:])
-        h = (total[self.end] - total[self.begin]) * _powers(_INVERSE, len(self.low) + 1)[self.begin]
-        h ^= h >> np.uint64(31)
-        return h * _GRAM[0] ^ (self.end - self.begin).astype(np.uint64)
-
-    def normal(self) -> tuple[bytes, np.ndarray]:
-        """Lower-case words with one space after each, 0 after a document's last; their offsets."""
-        lengths = self.end - self.begin
-        start = np.concatenate([[0], np.cumsum(lengths + 1)])
-        out = np.full(start[-1], 32, np.uint8)
-        out[np.arange(lengths.sum()) + np.repeat(np.arange(len(lengths)), lengths)] = self.low[self.mask]
-        last = self.first[1:][self.first[1:] > self.first[:-1]]
-        out[start[last] - 1] = 0
-        return out.tobytes(), start[:-1]
-
-
-def _grams(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n words that follow each other, whatever document they are in."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    return sum(h[k : len(h) - n + 1 + k] * _GRAM[k] for k in range(n)) ^ np.uint64(n)
+    """Numbered words of several texts, with a 0 behind each text, and their suffix array."""
+
+    def __init__(self, vocabulary: pa.Array, ids: np.ndarray, first: np.ndarray, order: np.ndarray):
+        self.vocabulary, self.ids, self.first, self.order = vocabulary, ids, first, order
+        self.stop = np.repeat(first[1:] - 1, np.diff(first))
+
+    @classmethod
+    def of(cls, data: np.ndarray, at: np.ndarray) -> Words:
+        letters, begin, end, first = word_edges(data, at)
+        offsets = np.concatenate([[0], np.cumsum(end - begin)])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        by = pc.sort_indices(coded.dictionary)
+        number = np.empty(len(by), np.int32)
+        number[by.to_numpy()] = np.arange(1, len(by) + 1)
+        texts = len(at) - 1
+        ids = np.zeros(len(begin) + texts, np.int32)
+        ids[np.arange(len(begin)) + np.repeat(np.arange(texts), np.diff(first))] = number[coded.indices.to_numpy()]
+        first = first + np.arange(texts + 1)
+        return cls(coded.dictionary.take(by), ids, first, suffix_array(ids, first))
+
+    def stored(self) -> tuple[bytes, bytes, bytes, bytes]:
+        return b" ".join(self.vocabulary.to_pylist()), self.ids.tobytes(), self.first.tobytes(), self.order.astype(np.int32).tobytes()
+
+    @classmethod
+    def read(cls, vocabulary: bytes, ids: bytes, first: bytes, order: bytes) -> Words:
+        return cls(pa.array(vocabulary.split(b" ") if vocabulary else [], pa.large_binary()), np.frombuffer(ids, np.int32), np.frombuffer(first, np.int64), np.frombuffer(order, np.int32))
+
+
+def _sections(data: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Parts of a long text, the number of its words before each, and the part's words that were in none before."""
+    start = before = 0
+    size, overlap = SHARD_BYTES, 0
+    while True:
+        stop = min(start + size, len(data))
+        while stop < len(data) and _WORD[_LOWER[data[stop]]]:
+            stop += 1
+        part = data[start:stop]
+        _, begin, _, _ = word_edges(part, np.array([0, len(part)]))
+        if stop < len(data) and len(begin) < 2 * window:
+            size *= 2
+            continue
+        yield part, before, len(begin) - overlap
+        if stop == len(data):
+            return
+        overlap, size = window - 1, SHARD_BYTES
+        before += len(begin) - overlap
+        start += int(begin[-overlap]) if overlap else stop - start
+
+
+def shards(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Written shards: doc (a number), key, at (words before the section) and own (words) of each text in it; its arrays."""
+    kind = docs.schema[key].dataType
+
+    def build(batches):
+        doc = TaskContext.get().partitionId() << 33
+        for batch in common.slices(batches, text, SHARD_BYTES):
+            data, at = common.byte_view(batch.column(text))
+            if len(data) > SHARD_BYTES and batch.num_rows == 1:
+                made = [(Words.of(part, np.array([0, len(part)])), [before], [own]) for part, before, own in _sections(data, window)]
+            else:
+                words = Words.of(data, at)
+                made = [(words, [0] * batch.num_rows, np.diff(words.first) - 1)]
+            for words, before, own in made:
+                whole = pa.array([0, batch.num_rows], pa.int32())
+                lists = [pa.array(range(doc, doc + batch.num_rows), pa.int64()), batch.column(key), pa.array(before, pa.int64()), pa.array(own, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(whole, x) for x in lists), *(pa.array([x], pa.binary()) for x in words.stored())], names=["doc", "key", "at", "own", "vocabulary", "ids", "first", "suffixes"])
+            doc += batch.num_rows
+
+    rows = docs.select(key, text).mapInArrow(build, f"doc array<long>, key array<{kind.simpleString()}>, at array<long>, own array<long>, vocabulary binary, ids binary, first binary, suffixes binary")
+    return common.written(rows, "shards", compression="zstd", **{"parquet.block.row.count.limit": 4})
 
 
 class Block:
-    """Test suffixes of some items: each window's words, first-words hash, items and full suffix."""
+    """Test suffixes of some items: their suffix array, the different windows, and the items of each."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        texts = pa.array([t for _, t in items], pa.string())
-        words = Words(*common.byte_view(texts))
-        text, start = words.normal()
-        hashes = words.hashes()
-        counts = np.diff(words.first)
-        self.gram = int(min(3, window, *counts[counts > 0])) if (counts > 0).any() else 1
-        heads = _grams(hashes, self.gram)
-        found: dict[bytes, dict] = {}
-        for k, (item, _) in enumerate(items):
-            a, b = words.first[k], words.first[k + 1]
-            close = start[b - 1] + words.end[b - 1] - words.begin[b - 1] if b > a else 0
-            for i in range(a, max(b - window, a) + 1 if b > a else a):
-                n = int(min(window, b - i))
-                stop = start[i + n - 1] + words.end[i + n - 1] - words.begin[i + n - 1]
-                w = found.setdefault(text[start[i] : stop], {"n": n, "head": heads[i], "items": set(), "suffixes": set()})
-                w["items"].add(item)
-                w["suffixes"].add((text[start[i] : close], item))
-        self.windows = [(w, x["n"], sorted(x["items"]), sorted(x["suffixes"])) for w, x in found.items()]
-        self.heads = np.array([x["head"] for x in found.values()], np.uint64)
-        self.known = np.unique(self.heads)
-        self.longest = max((len(s) for _, _, _, x in self.windows for s, _ in x), default=0) + 2
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.known >> np.uint64(44)).astype(np.int64)] = True
-
-    def search(self, words: Words, hashes: np.ndarray, normal) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray]]:
-        """(words of a window, its items, word positions where it occurs, words and item of the longest match at each)."""
-        grams = _grams(hashes, self.gram)
-        maybe = np.flatnonzero(self.bits[(grams >> np.uint64(44)).astype(np.int64)])
-        where = np.searchsorted(self.known, grams[maybe])
-        sure = maybe[self.known[np.minimum(where, len(self.known) - 1)] == grams[maybe]] if len(self.known) else maybe[:0]
-        if not len(sure):
-            return
-        text, start = normal()
-        suffixes = [text[a : a + self.longest] for a in start[sure].tolist()]
-        order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-        array, place = [suffixes[i] for i in order], sure[order]
-        for k in np.flatnonzero(np.isin(self.heads, grams[sure])).tolist():
-            window, n, items, tests = self.windows[k]
-            low = bisect_left(array, window + b"\0")
-            high = bisect_left(array, window + b"!", low)
-            if high > low:
-                between = np.array([_common(array[i - 1], array[i].partition(b"\0")[0]) for i in range(low + 1, high)], np.int64)
-                most, whose = np.zeros(high - low, np.int64), np.zeros(high - low, object)
-                for suffix, item in sorted(tests, key=lambda x: x[1]):
-                    p = bisect_left(array, suffix, low, high) - low
-                    shared = np.empty(high - low, np.int64)
-                    if p < high - low:
-                        shared[p:] = np.minimum.accumulate(np.concatenate([[_common(array[low + p], suffix)], between[p:]]))
-                    if p:
-                        shared[:p] = np.minimum.accumulate(np.concatenate([[_common(array[low + p - 1], suffix)], between[: p - 1][::-1]]))[::-1]
-                    whose[shared >= most] = item
-                    most = np.maximum(most, shared)
-                yield n, items, place[low:high], most, whose
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """How many whole words two suffixes share from their start."""
-    x, y = a.partition(b"\0")[0].split(), b.split()
-    return next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
-
-
-def blocks(benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id") -> list[Block]:
-    """The benchmark in blocks of at most BLOCK_BYTES, longer single items apart."""
-    out, rows, size = [], [], 0
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        self.words = words = Words.of(*common.byte_view(pa.array([t for _, t in items], pa.string())))
+        begin = np.repeat(words.first[:-1], np.diff(words.first))
+        self.item = np.repeat(np.array([number[name] for name, _ in items], np.int64), np.diff(words.first))
+        order, stop = words.order, words.stop
+        # a window is a suffix with as many words, or a whole item that is shorter
+        at = np.flatnonzero((stop[order] - order >= window) | (order == begin[order]))
+        start = order[at]
+        n = np.minimum(stop[start] - start, window)
+        spread = np.minimum(start[:, None] + np.arange(window), len(words.ids) - 1)
+        each = np.where(np.arange(window) < n[:, None], words.ids[spread], 0)
+        new = np.ones(len(at), bool)
+        new[1:] = (each[1:] != each[:-1]).any(axis=1)
+        self.windows, self.n = each[new], n[new]
+        heads = np.flatnonzero(new)
+        self.low = at[heads]
+        self.high = at[np.append(heads[1:], len(at)) - 1] + 1 if len(at) else at
+        pairs = np.unique((np.cumsum(new) - 1) * len(self.names) + self.item[start])
+        self.items = pairs % max(len(self.names), 1)
+        self.of = np.searchsorted(pairs, np.arange(len(heads) + 1) * len(self.names))
+
+    def search(self, shard: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The place in the shard of every occurrence of a window, and the window's number."""
+        number = np.concatenate([[0], pc.index_in(self.words.vocabulary, value_set=shard.vocabulary).fill_null(-1).to_numpy() + 1])
+        wanted = number[self.windows]
+        which = np.flatnonzero(((wanted > 0) | (self.windows == 0)).all(axis=1))
+        wanted, n = wanted[which], self.n[which]
+        width = wanted.shape[1]
+        ids = np.concatenate([shard.ids, np.zeros(width, np.int32)])
+        heads = shard.ids[shard.order]
+
+        def bound(upper: bool) -> np.ndarray:
+            low, high = np.searchsorted(heads, wanted[:, 0]), np.searchsorted(heads, wanted[:, 0], side="right")
+            open_ = np.flatnonzero(low < high)
+            while len(open_):
+                middle = (low[open_] + high[open_]) // 2
+                place = shard.order[middle].astype(np.int64)
+                sign = np.zeros(len(open_), np.int64)
+                for k in range(1, width):
+                    sign = np.where((sign == 0) & (n[open_] > k), np.sign(ids[place + k] - wanted[open_, k]), sign)
+                below = sign <= 0 if upper else sign < 0
+                low[open_[below]] = middle[below] + 1
+                high[open_[~below]] = middle[~below]
+                open_ = open_[low[open_] < high[open_]]
+            return low
+
+        low, high = bound(False), bound(True)
+        count = high - low
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        return shard.order[at].astype(np.int64), np.repeat(which, count)
+
+    def longest(self, shard: Words, place: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the longest match from each place on, and the largest item that has it; for the best places of a document, else -1."""
+        mine, theirs = _Compared(self.words, shard).both()
+        order, stop = self.words.order, self.words.stop
+        most, item = self.n[window].copy(), np.full(len(place), -1)
+        whole = np.flatnonzero(most == self.windows.shape[1])
+        p, low, high = place[whole], self.low[window[whole]], self.high[window[whole]]
+        room = shard.stop[p] - p
+
+        def shared(k: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return _common(theirs, mine, p[k], order[at], np.minimum(room[k], stop[order[at]] - order[at]))
+
+        a, b = low.copy(), high.copy()
+        open_ = np.flatnonzero(a < b)
+        while len(open_):
+            middle = (a[open_] + b[open_]) // 2
+            n = shared(open_, middle)
+            other = order[middle]
+            ended = n == stop[other] - other
+            x, y = theirs[0][np.minimum(p[open_] + n, len(theirs[0]) - 1)], mine[0][np.minimum(other + n, len(mine[0]) - 1)]
+            below = (ended & (n < room[open_])) | (~ended & (n < room[open_]) & (y < x))
+            a[open_[below]] = middle[below] + 1
+            b[open_[~below]] = middle[~below]
+            open_ = open_[a[open_] < b[open_]]
+        for at, ok in ((a - 1, a > low), (a, a < high)):
+            k = np.flatnonzero(ok)
+            most[whole[k]] = np.maximum(most[whole[k]], shared(k, at[k]))
+        owner = np.searchsorted(shard.first, place, side="right") - 1
+        best = np.zeros(len(shard.first), np.int64)
+        np.maximum.at(best, owner, most)
+        chosen = most == best[owner]
+        for k in np.flatnonzero(chosen & (self.n[window] < self.windows.shape[1])).tolist():
+            item[k] = self.items[self.of[window[k]] : self.of[window[k] + 1]].max()
+        k = np.flatnonzero(chosen[whole])
+        left, right = low[k], a[k]  # the suffixes that share as much lie around the place
+        for side in (0, 1):
+            x, y = (left.copy(), right.copy()) if side == 0 else (a[k].copy(), high[k].copy())
+            open_ = np.flatnonzero(x < y)
+            while len(open_):
+                middle = (x[open_] + y[open_]) // 2
+                up = (shared(k[open_], middle) < most[whole[k[open_]]]) == (side == 0)
+                x[open_[up]] = middle[up] + 1
+                y[open_[~up]] = middle[~up]
+                open_ = open_[x[open_] < y[open_]]
+            left, right = (x, right) if side == 0 else (left, x)
+        known: dict[tuple[int, int], int] = {}
+        for at, x, y in zip(whole[k].tolist(), left.tolist(), right.tolist(), strict=True):
+            if (x, y) not in known:
+                known[x, y] = int(self.item[order[x:y]].max())
+            item[at] = known[x, y]
+        return most, item
+
+
+class _Compared:
+    """The words of a block and a shard on one scale: even for the block's, odd between them for words it lacks."""
+
+    def __init__(self, block: Words, shard: Words):
+        have = np.array(block.vocabulary.to_pylist(), object)
+        words = np.array(shard.vocabulary.to_pylist(), object)
+        low, high = np.searchsorted(have, words), np.searchsorted(have, words, side="right")
+        self.block = 2 * block.ids.astype(np.int64)
+        self.shard = np.concatenate([[-1], low + high + 1])[shard.ids]
+
+    def both(self) -> tuple[tuple, tuple]:
+        return _hashed(self.block), _hashed(self.shard)
+
+
+def _hashed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, sums of their hashes times powers of a base, and the inverse powers."""
+    each = x.astype(np.uint64) * _MIX
+    each ^= each >> np.uint64(31)
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(each * _powers(_BASE, len(x)), out=total[1:])
+    return x, total, _powers(_INVERSE, len(x) + 1)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
+def _common(left: tuple, right: tuple, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many numbers two sequences share from a and b on, at most `most`: by hashes, then the end by itself."""
+    low, high = np.zeros(len(a), np.int64), most.copy()
+    while (open_ := np.flatnonzero(low < high)).size:
+        middle = (low[open_] + high[open_] + 1) // 2
+        x, y = a[open_], b[open_]
+        same = (left[1][x + middle] - left[1][x]) * left[2][x] == (right[1][y + middle] - right[1][y]) * right[2][y]
+        low[open_[same]] = middle[same]
+        high[open_[~same]] = middle[~same] - 1
+    return low
+
+
+def blocks(benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id") -> Iterator[Block]:
+    """The benchmark, in blocks of about BLOCK_BYTES; a longer single item goes in sections, a shorter rest with the next items."""
+    rows, size = [], 0
     for name, body in benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).toLocalIterator():
-        if rows and size + len(body) > BLOCK_BYTES:
-            out.append(Block(rows, window))
-            rows, size = [], 0
-        rows.append((name, body))
-        size += len(body)
-    return [*out, Block(rows, window)] if rows else out
-
-
-def _judge(batch: pa.RecordBatch, text: str, tests: list) -> list[tuple]:
-    """(words, hit words, items, longest match) of each document of a shard."""
-    words = Words(*common.byte_view(batch.column(text)))
-    hashes, kept = words.hashes(), []
-
-    def normal():
-        if not kept:
-            kept.append(words.normal())
-        return kept[0]
-
-    edge = np.zeros(len(words.begin) + 1, np.int64)
-    items: dict[int, set] = {}
+        parts = [body]
+        if len(body) > SHARD_BYTES:
+            parts = [part.tobytes().decode() for part, _, _ in _sections(np.frombuffer(body.encode(), np.uint8), window)]
+        for part in parts:
+            if rows and size + len(part) > BLOCK_BYTES:
+                yield Block(rows, window)
+                rows, size = [], 0
+            rows.append((name, part))
+            size += len(part)
+    if rows:
+        yield Block(rows, window)
+
+
+_MATCH = "doc long, runs array<struct<start:long,stop:long>>, items array<string>, longest struct<words:long,item:string,back:long>"
+
+
+def _matched(block: Block, words: Words, at: list[int]) -> list[tuple]:
+    """(text in the shard, runs of hit words, items, longest match) of every text with matches."""
+    place, window = block.search(words)
+    if not len(place):
+        return []
+    edge = np.bincount(place, minlength=len(words.ids) + 1) - np.bincount(place + block.n[window], minlength=len(words.ids) + 1)
+    hit = np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]])
+    starts, stops = np.flatnonzero(np.diff(hit) > 0), np.flatnonzero(np.diff(hit) < 0)
+    of = np.searchsorted(words.first, starts, side="right") - 1
+    runs: dict[int, list] = {}
+    for d, a, b in zip(of.tolist(), starts.tolist(), stops.tolist(), strict=True):
+        shift = at[d] - int(words.first[d])
+        runs.setdefault(d, []).append({"start": a + shift, "stop": b + shift})
+    owner = np.searchsorted(words.first, place, side="right") - 1
+    most, item = block.longest(words, place, window)
     best: dict[int, tuple] = {}
-    for test in tests:
-        for n, names, places, most, whose in test.value.search(words, hashes, normal):
-            np.add.at(edge, places, 1)
-            np.add.at(edge, places + n, -1)
-            owners = np.searchsorted(words.first, places, side="right") - 1
-            for d, *match in zip(owners.tolist(), most.tolist(), whose.tolist(), (-places).tolist(), strict=True):
-                items.setdefault(d, set()).update(names)
-                best[d] = max(best.get(d, (0, "", 0)), tuple(match))
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-    return [
-        (int(b - a), int(hit[b] - hit[a]), items.get(d, set()), best.get(d, (0, None, 0)), int(a))
-        for d, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True))
-    ]
+    for k in np.flatnonzero(item >= 0).tolist():
+        d = int(owner[k])
+        best[d] = max(best.get(d, (0, -1, 0)), (int(most[k]), int(item[k]), int(words.first[d] - place[k]) - at[d]))
+    pairs = np.unique(owner * len(block.n) + window)
+    cut = np.searchsorted(pairs, np.array(sorted(runs)) * len(block.n))
+    out = []
+    for d, own in zip(sorted(runs), np.split(pairs % len(block.n), cut[1:]), strict=True):
+        items = np.unique(np.concatenate([block.items[block.of[w] : block.of[w + 1]] for w in own.tolist()]))
+        n, which, back = best[d]
+        out.append((d, runs[d], [block.names[i] for i in items.tolist()], {"words": n, "item": block.names[which], "back": back}))
+    return out
+
+
+def matches(stored: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Written matches of stored shards: doc, key, runs, items, longest; a row for each section with matches and each block."""
+    spark = stored.sparkSession
+    kind = stored.schema["key"].dataType.elementType.simpleString()
+    runs_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    best_type = pa.struct([("words", pa.int64()), ("item", pa.string()), ("back", pa.int64())])
+    found = spark.createDataFrame([], f"key {kind}, {_MATCH}")
+    for block in blocks(benchmark, window):
+        sent = spark.sparkContext.broadcast(block)
+
+        def search(batches, sent=sent):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    arrays = [batch.column(c)[i].as_buffer() for c in ("vocabulary", "ids", "first", "suffixes")]
+                    rows = _matched(sent.value, Words.read(arrays[0].to_pybytes(), *arrays[1:]), batch.column("at")[i].as_py())
+                    if rows:
+                        of, runs, items, longest = zip(*rows, strict=True)
+                        own = pa.array(of)
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column("key")[i].values.take(own), batch.column("doc")[i].values.take(own), pa.array(runs, runs_type), pa.array(items, pa.list_(pa.string())), pa.array(longest, best_type)],
+                            names=["key", "doc", "runs", "items", "longest"],
+                        )
+
+        own = stored.select("doc", "key", "at", "vocabulary", "ids", "first", "suffixes").mapInArrow(search, f"key {kind}, {_MATCH}")
+        found = found.unionByName(common.written(own, "matches"))
+        sent.destroy()
+    return found
+
+
+def _covered(runs: Column) -> Column:
+    """The words in sorted runs that may overlap."""
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda x, r: F.struct(F.greatest(x["end"], r["stop"]).alias("end"), (x["n"] + F.greatest(r["stop"] - F.greatest(x["end"], r["start"]), F.lit(0))).alias("n"))
+    return F.aggregate(F.sort_array(runs), start, step, lambda x: x["n"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: words, words inside benchmark windows, items found, longest match."""
-    spark = docs.sparkSession
-    tests = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, window)]
-
-    def judge(batches):
-        for batch in common.slices(batches, text, SLICE_BYTES):
-            rows = _judge(batch, text, tests)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(key),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([len(r[2]) for r in rows], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(sorted(r[2])).encode()).hexdigest() for r in rows]),
-                    pa.array([r[1] > 0 for r in rows]),
-                    pa.array([r[3][0] for r in rows], pa.int64()),
-                    pa.array([r[3][1] for r in rows], pa.string()),
-                    pa.array([-r[3][2] - r[4] if r[3][0] else None for r in rows], pa.int64()),
-                ],
-                names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_words", "longest_item", "longest_at"],
-            )
-
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item string, longest_at long"
-    return docs.select(key, text).mapInArrow(judge, schema)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
+    """One row per document: words, words inside benchmark windows, items found, longest match, places (runs of hit words)."""
+    stored = shards(docs, window, key, text)
+    found = matches(stored, benchmark, window)
+    each = stored.select(F.explode(F.arrays_zip("doc", "key", "own")).alias("x")).select("x.key", "x.doc", F.col("x.own").alias("own"))
+    rows = each.unionByName(found, allowMissingColumns=True).groupBy("doc").agg(
+        F.first("key", ignorenulls=True).alias(key), F.sum("own").alias("n_words"), F.flatten(F.collect_list("runs")).alias("_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"), F.max("longest").alias("_best")
+    )
+    return rows.select(
+        key, "n_words", _covered(F.col("_runs")).alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("_items", ","), "utf-8"), 256).alias("items_sha256"), (F.size("_runs") > 0).alias("contaminated"),
+        F.coalesce("_best.words", F.lit(0).cast("long")).alias("longest_words"), F.col("_best.item").alias("longest_item"), (-F.col("_best.back")).alias("longest_at"), F.array_join(F.transform(F.array_distinct(F.sort_array("_runs")), lambda r: F.concat_ws(":", r["start"], r["stop"])), ",").alias("places"),
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that share a window with the benchmark; all columns stay."""
-    spark = docs.sparkSession
-    tests = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, window)]
-
-    def judge(batches):
-        for batch in common.slices(batches, text, SLICE_BYTES):
-            yield batch.filter(pa.array([r[1] == 0 for r in _judge(batch, text, tests)], pa.bool_()))
-
-    return docs.mapInArrow(judge, docs.schema)
+    rows = common.set_aside(docs, key, text)
+    named = rows.withColumn("_t", F.md5(F.coalesce(F.col("_body"), F.lit(""))))
+    hit = matches(shards(named.select("_t", "_body"), window, "_t", "_body"), benchmark, window).select(F.col("key").alias("_t")).distinct()
+    return common.restored(named.join(hit, "_t", "left_anti"), docs, key, text)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

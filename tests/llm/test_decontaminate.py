@@ -1,5 +1,10 @@
 import hashlib
 import re
+import tracemalloc
+
+import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
 
 from silthouse.llm import decontaminate as D
 
@@ -99,3 +104,38 @@ def test_longest_match_of_documents(spark, docs, sf):
     hit = {r.doc_id: (r.longest_words, r.longest_item, r.longest_at) for r in D.report(docs, bench).filter("contaminated").collect()}
     few = sorted(hit)[:4]
     assert few and {i: hit[i] for i in few} == {r.doc_id: brute_longest(r.text, items) for r in docs.collect() if r.doc_id in few}
+
+
+@given(st.lists(st.lists(st.integers(1, 3), max_size=12), min_size=1, max_size=6))
+def test_suffix_array(texts):
+    ids = np.array([x for t in texts for x in [*t, 0]], np.int32)
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    suffixes = {int(first[k]) + i: t[i:] for k, t in enumerate(texts) for i in range(len(t))}
+    got = D.suffix_array(ids, first).tolist()
+    assert sorted(got) == sorted(suffixes)
+    assert [suffixes[i] for i in got] == sorted(suffixes.values())
+
+
+def test_sections_and_many_blocks(spark, monkeypatch):
+    """Long texts and items in sections, and a benchmark of many blocks, give what whole ones give."""
+    item = " ".join(f"q{k}" for k in range(60))
+    texts = [f"a {item} z {'pad ' * 90}{item[9:80]}", "x " * 300, None, f"{'w ' * 120}{item}", "y" * 900 + " " + item]
+    docs = spark.createDataFrame([(2**62 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, item[40:]), (3, "x " * 400), (4, "pad pad z"), (5, None)], "item_id long, text string")
+    want = check(docs, bench)
+    monkeypatch.setattr(D, "SHARD_BYTES", 300)
+    monkeypatch.setattr(D, "BLOCK_BYTES", 150)
+    assert check(docs, bench) == want
+
+
+def test_long_item_takes_linear_memory():
+    rng = np.random.default_rng(1)
+    item = " ".join(f"w{k}" for k in rng.integers(0, 5000, 170_000).tolist())  # about 1 MB
+    tracemalloc.start()
+    block = D.Block([("a", item), ("b", "x " * 200_000)], 10)
+    words = D.Words.of(*D.common.byte_view(D.pa.array([item[3000:90_000], "u v " + item[:300]])))
+    place, window = block.search(words)
+    most, _ = block.longest(words, place, window)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20 and most.max() == words.first[1] - 1 - (item[2999] != " ")
