@@ -4,6 +4,7 @@ import zlib
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from silthouse.llm import warc as W
 
@@ -27,7 +28,7 @@ def check(pages):
     assert sorted((tuple(r[c] for c in COLUMNS) for r in got), key=str) == brute([tuple(r)[:3] for r in pages.collect()])
     ordered = sorted(got, key=lambda r: r.history_at)
     keys = [(r.url_key, r.ts) for r in ordered]
-    assert keys == sorted(keys)
+    assert keys == sorted(keys) and [r.history_at for r in ordered] == list(range(len(ordered)))
     return got
 
 
@@ -43,6 +44,28 @@ def test_edges(spark):
     check(pages.limit(0))
 
 
+def test_any_64_bit_id_and_timestamps(spark):
+    rows = [(i, "http://a.org/x", f"p{i % 3}", f"200{k}-01-01 00:00:00") for k, i in enumerate([-(2**62), 2**62, 10**15, 0, -1, 2**63 - 1])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, day string").withColumn("day", F.to_timestamp("day"))
+    check(pages)
+    timed = W.captures(pages, when="day").orderBy("history_at").collect()
+    assert [r.page_id for r in timed] == [r[0] for r in rows] and timed[1].ts == "2001-01-01T00:00:00Z"
+
+
+def test_ranges_and_chunks(spark, sf, monkeypatch):
+    monkeypatch.setattr(W, "MERGE_ROWS", 7)
+    monkeypatch.setattr(W, "CHUNK_ROWS", 3)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(90).withColumn("url", F.when(F.col("page_id") % 3 > 0, F.lit("http://hot.org/")).otherwise(F.col("url")))
+    check(pages.repartition(5))
+
+
+def test_a_bad_record_is_a_row(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(5)
+    stored = W.archives(pages).withColumn("member", F.when(F.col("page_id") == 2, F.lit(b"no gzip")).when(F.col("page_id") != 3, F.col("member")))
+    got = {r.page_id: r for r in W.histories(W.index(stored)).collect()}
+    assert len(got) == 5 and [got[i].error is None for i in range(5)] == [True, True, False, False, True]
+
+
 def test_archives_are_gzip_members(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").limit(7)
     rows = sorted(W.archives(pages).filter("archive = 0").collect(), key=lambda r: r.offset)
