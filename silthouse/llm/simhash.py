@@ -57,8 +57,12 @@ def hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
 
 def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each text: bits set in over half of its shingles' hashes."""
-    each = [hashes(t, shingle) for t in texts]
-    out = np.zeros(len(texts), np.uint64)
+    return majorities([hashes(t, shingle) for t in texts])
+
+
+def majorities(each: list[list[int]]) -> np.ndarray:
+    """The bits set in over half of each list's hashes."""
+    out = np.zeros(len(each), np.uint64)
     sizes = np.array([len(x) for x in each], np.int64)
     full = np.flatnonzero(sizes)
     if not len(full):

@@ -1,14 +1,22 @@
-"""Near copies by the similarity of their shingle sets: every pair at SHARE or more, verified exactly.
-
-1. Each task turns its texts into sets of hashed word shingles. Equal sets are one node from here on.
-2. All sets are ordered alike: shingles that are common in a sample of documents last, else by hash. Two sets
-   at SHARE or more have a shingle in common among the first 1 / 5 of each (prefix filter), which is the key.
-   Any order finds all pairs; the sample only makes keys rarer.
-3. Of the rows of a key, one pivot meets all others, PIVOTS times, and pairs that hold are linked. A key whose
+"""The near-copy stage of the SimHash operator: word shingles in sets, every pair at SHARE or more, verified exactly.
+
+Golay keys find fingerprints a few bits apart, but sets at 0.8 may differ in a quarter of their fingerprints' bits, so
+the keys alone would lose links. They come first, as the cheap way to most links, and a prefix filter,
+which misses none, finds the rest.
+
+1. Each task turns its texts into sets of hashed word shingles, with the fingerprint, the first shingles in
+   an order and a sketch of counts. Equal sets are one node, a number, from here on.
+2. Fingerprints that are equal or linked by their Golay keys (llm/simhash.py) are candidates; those that hold are
+   links, and their components are known to the next step.
+3. The order: shingles that are common in a sample of documents last, else by hash. Two sets at SHARE or more have
+   a shingle in common among the first 1 / 5 of each, which is the key. Any order finds all pairs; the sample
+   only makes keys rarer.
+4. Of the rows of a key, one pivot meets all others, PIVOTS times, and pairs that hold are linked. A key whose
    rows are all in one component has nothing more to tell; those of the others meet each other, but for pairs
    that a component has already. So a large group of near copies doesn't make its square of pairs.
-4. Sizes and places in the order bound a pair's overlap; those that may reach SHARE are counted from the texts.
-5. Components of the links, then the smallest id of each.
+5. Sizes and places in the order bound a pair's overlap, then the sketches do (the sum of the lesser counts of each
+   bucket); pairs that may still reach SHARE are counted from the texts, which only they are joined with.
+6. Components of the links, then the smallest id of each.
 
 Nulls and edges: a null text is empty; texts without words are copies of each other; fewer words than a
 shingle are one shingle. Ids may repeat or be null.
@@ -22,10 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from silthouse.llm import common
-from silthouse.llm.simhash import SLICE_BYTES, hashes
+from silthouse.llm import common, simhash
 from silthouse.operators.graph import components
 
 SHINGLE = 5
@@ -34,11 +40,29 @@ SHARE = (4, 5)
 PIVOTS = 2
 #: Documents that say which shingles are common, and in how many of them a shingle is.
 SAMPLE, COMMON = 4000, 3
+#: Buckets of a sketch, a power of two of about half as many as shingles: the fewest and the most.
+BUCKETS = (32, 4096)
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The different shingles of a text, sorted."""
-    return np.unique(np.array(hashes(text, shingle), np.uint64).view(np.int64))
+    return np.unique(np.array(simhash.hashes(text, shingle), np.uint64).view(np.int64))
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles fall into each bucket, by their lowest bits; empty where a count has no room."""
+    buckets = 1 << min(max(BUCKETS[0].bit_length() - 1, len(own).bit_length() - 1), BUCKETS[1].bit_length() - 1)
+    counts = np.bincount(own & (buckets - 1), minlength=buckets)
+    return counts.astype("<u2").tobytes() if counts.max(initial=0) < 1 << 16 else b""
+
+
+def most_shared(x: bytes, y: bytes) -> int | None:
+    """No two sets with these sketches share more shingles; None where a sketch can't tell."""
+    if not x or not y:
+        return None
+    a, b = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
+    n = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, n).sum(axis=0), b.reshape(-1, n).sum(axis=0)).sum())
 
 
 def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +70,7 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     every = rows.count() // SAMPLE + 1
 
     def emit(batches):
-        for batch in common.slices(batches, "_body", SLICE_BYTES):
+        for batch in common.slices(batches, "_body", simhash.SLICE_BYTES):
             found = [shingles(t, shingle) for t in common.strings(batch.column("_body"))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["h"])
 
@@ -56,7 +80,7 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tagged(rows: DataFrame, shingle: int) -> DataFrame:
-    """The rows with `_set` (a hash of all shingles), `_size` and `_keys`, the first shingles in the order."""
+    """_id, _t (a hash of the text), _set (a hash of all shingles), _size, _fp, _keys (the first shingles in the order), _sketch."""
     told = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))
     top, whole = SHARE
 
@@ -72,91 +96,128 @@ def _tagged(rows: DataFrame, shingle: int) -> DataFrame:
         return own[np.lexsort((own, weight))][: n - -(-top * n // whole) + 1]
 
     def add(batches):
-        for batch in common.slices(batches, "_body", SLICE_BYTES):
-            sets = [shingles(t, shingle) for t in common.strings(batch.column("_body"))]
+        for batch in common.slices(batches, "_body", simhash.SLICE_BYTES):
+            each = [simhash.hashes(t, shingle) for t in common.strings(batch.column("_body"))]
+            sets = [np.unique(np.array(x, np.uint64).view(np.int64)) for x in each]
             keys = [first(x) for x in sets]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             tags = [
                 pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
                 pa.array([len(x) for x in sets], pa.int32()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())),
+                pa.array(simhash.majorities(each).view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys), pa.int64())),
+                pa.array([sketch(x) for x in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *tags], names=[*batch.schema.names, "_set", "_size", "_keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_t"), *tags], names=["_id", "_t", "_set", "_size", "_fp", "_keys", "_sketch"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.select("_id", "_t", "_body").mapInArrow(add, f"_id {kind}, _t string, _set binary, _size int, _fp long, _keys array<bigint>, _sketch binary")
 
-    schema = StructType([*rows.schema, StructField("_set", BinaryType()), StructField("_size", IntegerType()), StructField("_keys", ArrayType(LongType()))])
-    return rows.mapInArrow(add, schema)
 
+def nodes_of(rows: DataFrame, shingle: int) -> DataFrame:
+    """Written: node, size, fp, keys, sketch, and `least`, the smallest id and its text's hash, of each different set; null ids last."""
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_t").alias("t")))
+    sets = _tagged(rows, shingle).groupBy("_set").agg(F.first("_size").alias("size"), F.first("_fp").alias("fp"), F.first("_keys").alias("keys"), F.first("_sketch").alias("sketch"), least.alias("least"))
+    return common.written(sets.drop("_set").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-def _alike(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """u, v: of the pairs of sets those at SHARE or more, counted from the texts."""
-    pairs = common.written(pairs.distinct(), "candidates")
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("_set")).distinct()
-    bodies = common.written(rows.join(needed, "_set", "left_semi").groupBy("_set").agg(F.first("_body").alias("body")), "bodies")
-    both = pairs.join(bodies.select(F.col("_set").alias("u"), F.col("body").alias("x")), "u").join(bodies.select(F.col("_set").alias("v"), F.col("body").alias("y")), "v")
+
+def _may(x: str, y: str) -> Column:
+    """Whether two sets whose first shared shingle is at these places can reach SHARE."""
     top, whole = SHARE
+    left = F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place"))
+    return (top + whole) * left >= top * (F.col(f"{x}.size") + F.col(f"{y}.size"))
+
+
+def _enough(shared: int, a: int, b: int) -> bool:
+    top, whole = SHARE
+    return whole * shared >= top * (a + b - shared)
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Written u, v: the different pairs whose sketches may reach SHARE."""
+    both = pairs.distinct()
+    for side, sk, size in (("u", "x", "m"), ("v", "y", "n")):
+        both = both.join(nodes.select(F.col("node").alias(side), F.col("sketch").alias(sk), F.col("size").alias(size)), side)
+
+    def hold(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("x", "y", "m", "n")]
+            kept = [(s := most_shared(x, y)) is None or _enough(min(s, m, n), m, n) for x, y, m, n in zip(*columns, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    return common.written(both.select("u", "v", "x", "y", "m", "n").mapInArrow(hold, "u long, v long"), "likely")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, bodies: DataFrame, shingle: int) -> DataFrame:
+    """Written u, v: of the pairs of nodes those at SHARE or more, counted from the texts. bodies: node, body, written."""
+    both = _likely(pairs, nodes)
+    bodies = bodies.join(both.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
+    both = both.join(bodies.select(F.col("node").alias("u"), F.col("body").alias("x")), "u").join(bodies.select(F.col("node").alias("v"), F.col("body").alias("y")), "v")
 
     def hold(batches):
-        for batch in common.slices(batches, "x", SLICE_BYTES):
+        for batch in common.slices(batches, "x", simhash.SLICE_BYTES):
             kept, last, a = [], None, None
             for x, y in zip(common.strings(batch.column("x")), common.strings(batch.column("y")), strict=True):
                 if x != last:
                     last, a = x, shingles(x, shingle)
                 b = shingles(y, shingle)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                kept.append(whole * shared >= top * (len(a) + len(b) - shared))
+                kept.append(_enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
             yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    return common.written(both.select("u", "v", "x", "y").mapInArrow(hold, "u binary, v binary"), "alike")
+    return common.written(both.select("u", "v", "x", "y").mapInArrow(hold, "u long, v long"), "alike")
 
 
-def _may(x: str, y: str) -> Column:
-    """Whether two sets whose first shared shingle is at these places can reach SHARE."""
-    top, whole = SHARE
-    left = F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place"))
-    return (top + whole) * left >= top * (F.col(f"{x}.size") + F.col(f"{y}.size"))
+def _golay(nodes: DataFrame) -> DataFrame:
+    """u, v: a star for each fingerprint that several nodes have, and for each link of two fingerprints a pair of nodes."""
+    prints = common.written(nodes.groupBy(F.col("fp").alias("_fp")).agg(F.min("node").alias("node")), "prints")
+    same = nodes.join(prints.select(F.col("_fp").alias("fp"), F.col("node").alias("u")), "fp").filter("u < node").select("u", F.col("node").alias("v"))
+    near = simhash.links(prints).withColumnsRenamed({"u": "a", "v": "b"})
+    near = near.join(prints.select(F.col("_fp").alias("a"), F.col("node").alias("x")), "a").join(prints.select(F.col("_fp").alias("b"), F.col("node").alias("y")), "b")
+    return same.unionByName(near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
+
+
+def _components(live: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings with the component of their node as `comp`."""
+    star = components(found).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    return common.written(live.select("key", "x").join(star, F.col("x.node") == F.col("_u"), "left").select("key", "x", F.coalesce("_v", "x.node").alias("comp")), "postings")
 
 
-def links(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """u, v: pairs of `_set` at SHARE or more, which connect all sets that any such pairs connect. rows: tagged, written."""
-    nodes = rows.groupBy("_set").agg(F.first("_size").alias("size"), F.first("_keys").alias("keys"))
-    live = nodes.select("_set", "size", F.posexplode("keys").alias("place", "key")).select("key", F.struct("_set", "size", "place").alias("x"))
+def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """u, v: pairs of nodes at SHARE or more, which connect all nodes that any such pairs connect. texts: _id, _t, _body."""
+    live = nodes.select("node", "size", F.posexplode("keys").alias("place", "key")).select("key", F.struct("node", "size", "place").alias("x"))
     many = live.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    live = common.written(live.join(many, "key"), "postings").withColumn("comp", F.col("x._set"))
-    found = None
+    live = common.written(live.join(many, "key"), "postings")
+    first = common.written(_golay(nodes), "golay")
+    needed = live.select("x.node").union(first.select(F.explode(F.array("u", "v")))).distinct()
+    # written, so that its size is known before the join with all texts; a row that repeats id and text repeats a pair, no more
+    needed = common.written(nodes.select("node", "least.id", "least.t").join(needed, "node"), "needed")
+    bodies = common.written(texts.join(needed, (F.col("_t") == F.col("t")) & F.col("_id").eqNullSafe(F.col("id"))).select("node", F.col("_body").alias("body")), "bodies", compression="zstd")
+    found = _alike(first, nodes, bodies, shingle)
+    live = _components(live, found)
     for k in range(PIVOTS + 1):
-        mixed = live.groupBy("key").agg(F.min_by("x", F.xxhash64("x._set", F.lit(k))).alias("p"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
+        mixed = live.groupBy("key").agg(F.min_by("x", F.xxhash64("x.node", F.lit(k))).alias("p"), F.min_by("comp", F.xxhash64("x.node", F.lit(k))).alias("c"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
+        own = common.written(live.join(mixed.select("key", "p", "c"), "key"), "met")
+        if own.isEmpty():
+            break
         if k < PIVOTS:
-            own = live.join(mixed.select("key", "p"), "key").filter("x._set <> p._set")
-            own = common.written(own, "met")
-            if found is not None and own.isEmpty():
-                break
-            pairs = own.filter(_may("x", "p"))
-            pairs = pairs.select(F.least("x._set", "p._set").alias("u"), F.greatest("x._set", "p._set").alias("v"))
+            pairs = own.filter((F.col("comp") != F.col("c")) & _may("x", "p")).select(F.least("x.node", "p.node").alias("u"), F.greatest("x.node", "p.node").alias("v"))
         else:
-            own = common.written(live.join(mixed.select("key"), "key"), "left")
-            if found is not None and own.isEmpty():
-                break
             y = own.select("key", F.col("x").alias("y"), F.col("comp").alias("other"))
-            pairs = own.join(y, "key").filter((F.col("x._set") < F.col("y._set")) & (F.col("comp") != F.col("other")) & _may("x", "y"))
-            pairs = pairs.select(F.col("x._set").alias("u"), F.col("y._set").alias("v"))
-        fresh = _alike(pairs, rows, shingle)
-        found = fresh if found is None else found.unionByName(fresh)
+            pairs = own.join(y, "key").filter((F.col("x.node") < F.col("y.node")) & (F.col("comp") != F.col("other")) & _may("x", "y")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+        found = found.unionByName(_alike(pairs, nodes, bodies, shingle))
         if k < PIVOTS:
-            star = components(found).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-            live = own.select("key", "x").join(star, F.col("x._set") == F.col("_u"), "left").select("key", "x", F.coalesce("_v", "x._set").alias("comp"))
-            live = common.written(live, "postings")
+            live = _components(own, found)
     return found
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Of each component, the document of the smallest key; all columns stay. Of rows that repeat it, one stays."""
-    rows = common.written(_tagged(common.set_aside(docs, key, text), shingle), "shingled")
-    star = components(links(rows, shingle)).select(F.col("u").alias("_set"), F.col("v").alias("_to"))
-    nodes = rows.groupBy("_set").agg(F.min("_id").alias("_least")).join(star, "_set", "left").withColumn("_to", F.coalesce("_to", "_set"))
-    # the smallest key and one of the sets that have it; a null key counts only where there is no other
-    chosen = nodes.groupBy("_to").agg(F.min(F.struct(F.col("_least").isNull().alias("none"), F.col("_least"), F.col("_set"))).alias("c")).select(F.col("c._set").alias("_set"), F.col("c._least").alias("_least"))
-    own = chosen.withColumnRenamed("_set", "_chosen")
-    kept = rows.join(own, (F.col("_set") == F.col("_chosen")) & F.col("_id").eqNullSafe(F.col("_least"))).select(*rows.columns)
-    first = Window.partitionBy("_set", "_id").orderBy(F.xxhash64("_body"))
+    rows = common.set_aside(docs, key, text)
+    rows = rows.withColumn("_t", F.md5(F.coalesce("_body", F.lit(""))))
+    nodes = nodes_of(rows, shingle)
+    star = components(links(nodes, rows.select("_id", "_t", "_body"), shingle)).select(F.col("u").alias("node"), F.col("v").alias("_to"))
+    own = nodes.select("node", "least").join(star, "node", "left").groupBy(F.coalesce("_to", "node").alias("_to")).agg(F.min("least").alias("c"))
+    chosen = own.select(F.col("c.id").alias("_least"), F.col("c.t").alias("_chosen"))
+    kept = rows.join(chosen, (F.col("_t") == F.col("_chosen")) & F.col("_id").eqNullSafe(F.col("_least"))).select(*rows.columns)
+    first = Window.partitionBy("_t", "_id").orderBy(F.lit(0))
     return common.restored(kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1"), docs, key, text)

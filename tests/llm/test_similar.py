@@ -2,6 +2,7 @@ import random
 import re
 
 import corpus_pipeline as C
+import numpy as np
 
 from silthouse.llm import similar as S
 
@@ -80,3 +81,11 @@ def test_large_group_and_pivots(spark, monkeypatch):
 
 def test_documents(docs):
     check(docs)
+
+
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((3, 40, 3), (100, 900, 60), (5000, 5100, 4500), (0, 7, 0)):
+        own = rng.integers(-(2**63), 2**63, n + m - both)
+        assert both <= S.most_shared(S.sketch(own[:n]), S.sketch(own[n - both :])) <= min(n, m)
+    assert S.most_shared(S.sketch(np.zeros(70_000, np.int64)), S.sketch(own)) is None
