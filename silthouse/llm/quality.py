@@ -1,17 +1,26 @@
 """Quality classification by co-training two views of a document.
 
 The content view has the words of the whole text (hashed) and binned statistics of it; the
-metadata view has the other columns of the page. Each is a logistic regression. They are fitted
-on at most LABELLED labelled documents, chosen by a hash of the id; over ROUNDS rounds each view
-labels what it is sure of (CONFIDENT by its own calibration) among at most POOL unlabelled
-documents for the other one. A regression over both views' scores, fitted on labelled documents
-that neither view has trained on, gives the probability that a document is good: of good quality
-and not toxic. A document is kept from probability THRESHOLD on, or from the lower one that costs
-no more than LOST of the good documents held back. Fitting is the only bounded step; every document is scored, over its whole text.
+metadata view has the other columns of the page. Each is a logistic regression.
+
+1. Features of every document are written once.
+2. At most LABELLED labelled documents, chosen by a hash of the id, go to the driver, in three parts: three fifths
+   fit the views, a fifth calibrates them and their combination, a fifth sets the threshold.
+3. In each of ROUNDS rounds both views score every other document, each in its own task. What a view is sure of
+   (CONFIDENT by its own calibration) is a pseudo-label for the other view. Labels are exchanged as
+   counts: in how many documents of each class a feature is. They are partial sums, so every
+   document counts and only one row for each feature reaches the driver.
+4. A view is then fitted again with one more feature, the sum of the log-odds of its features in these counts.
+5. The combination of both views' calibrated scores gives the probability that a document is good: of good quality
+   and not toxic. A document is kept from probability THRESHOLD on, or from the lower one, not below FLOOR, that costs
+   no more than LOST of the good documents of the last fifth. Every document is scored, over its whole text.
+
+A word may only speak against a document: fitted freely, a long text makes up for anything by its many ordinary
+words, and a short good one has too few of them.
 
 Nulls and edges: a null text is empty; a null in a metadata column is a value of its own; a null
 quality is no label, a null toxic is not toxic; a null id is scored but never fitted on.
-Repeated rows are scored alike. Without labels of both classes every document scores 0.5 and is
+Repeated rows are scored alike. Without labels of both classes in each part every document scores 0.5 and is
 kept. Columns other than those named are not looked at.
 """
 
@@ -19,6 +28,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +39,6 @@ from pyspark.sql import functions as F
 from silthouse.llm import common
 
 LABELLED = 8000
-POOL = 8000
 ROUNDS = 3
 CONFIDENT = 0.98
 THRESHOLD = 0.5
@@ -46,6 +55,8 @@ STEM_BYTES = 6
 N_STATS = 9
 #: Documents of the good class that the threshold may cost, of those held back.
 LOST = 0.005
+#: The threshold is never lower.
+FLOOR = 0.3
 
 
 def _bin(x: float, top: float) -> int:
@@ -109,12 +120,31 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(x: Rows, y: np.ndarray, size: int, against: int = 0, steps: int = 200, ridge: float = 1e-4) -> np.ndarray:
+def log_odds(counts: np.ndarray, sizes: np.ndarray, against: int = 0) -> np.ndarray:
+    """What each feature tells, from the documents of either class (bad, good) that have it; 0 where they don't differ.
+
+    The first `against` features may only speak against a document.
+    """
+    seen, total = counts.sum(axis=0), max(sizes.sum(), 1)
+    share = sizes[1] / total
+    z = (counts[1] - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
+    odds = np.log((counts[1] + 1) / (sizes[1] + 2)) - np.log((counts[0] + 1) / (sizes[0] + 2))
+    odds[(np.abs(z) <= MIN_Z) | (min(sizes) == 0)] = 0
+    odds[:against] = np.minimum(odds[:against], 0)
+    return odds
+
+
+def fit(x: Rows, y: np.ndarray, size: int, against: int = 0, told: np.ndarray | None = None, steps: int = 200, ridge: float = 1e-4) -> np.ndarray:
     """Weights of a logistic regression over the features whose classes differ; the last is the constant.
 
-    The first `against` features, a text's words, may only speak against it: else a long text
-    makes up for anything by its many ordinary words.
+    The first `against` features may only speak against a document. `told` are the log-odds
+    of all features in the other view's labels; their sum is one more feature, never a negative one.
     """
+    told = np.zeros(size) if told is None else told
+    sums = x.sums(told)
+    spread = sums.std()
+    told, sums = (told / spread, sums / spread) if spread > 0 else (np.zeros(size), np.zeros(len(y)))
+    trust, trusted = 0.0, 1e-8
     good = np.bincount(x.numbers, np.repeat(y, x.sizes), size)
     seen = np.bincount(x.numbers, minlength=size)
     share = y.mean()
@@ -126,12 +156,16 @@ def fit(x: Rows, y: np.ndarray, size: int, against: int = 0, steps: int = 200, r
     w, pace = np.zeros(size + 1), np.full(size + 1, 1e-8)
     w[-1] = np.log(share / (1 - share))
     for _ in range(steps):
-        miss = _squash(own.sums(w) + w[-1]) - y
+        miss = _squash(own.sums(w) + trust * sums + w[-1]) - y
         step = np.append(np.bincount(own.numbers, np.repeat(miss, own.sizes), size), miss.sum()) / len(y) + ridge * w
         step[:-1][~used] = 0
         pace += step**2
         w -= 0.5 * step / np.sqrt(pace)
         w[:against] = np.minimum(w[:against], 0)
+        pull = (miss * sums).mean() + ridge * trust
+        trusted += pull**2
+        trust = max(trust - 0.5 * pull / np.sqrt(trusted), 0.0)
+    w[:-1] += trust * told
     return w
 
 
@@ -152,34 +186,38 @@ def scale(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
 SIZES = ((WORDS + BINS * N_STATS, WORDS), (WORDS, 0))
 
 
-def co_train(views: list[Rows], y: np.ndarray, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray, float] | None:
-    """Weights of both views and of their combination, and the least probability of a document that is kept. y: 1 good, 0 not, -1 unlabelled."""
-    labelled = np.flatnonzero(y >= 0)
-    held = labelled[::5]  # rows come in the order of a hash
-    train = np.setdiff1d(labelled, held)
-    if len({*y[train]}) < 2 or len({*y[held]}) < 2:
+def co_train(views: list[Rows], y: np.ndarray, exchange: Callable, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray, float] | None:
+    """Weights of both views and of their combination, and the least probability of a document that is kept.
+
+    views: the labelled documents, in the order of a hash; y: 1 good, 0 not. exchange(weights, scales)
+    gives, for each view, the counts of features and the documents of either class by the other view's labels.
+    """
+    part = np.arange(len(y)) % 5
+    held, last, train = np.flatnonzero(part == 0), np.flatnonzero(part == 1), np.flatnonzero(part > 1)
+    if any(len({*y[x]}) < 2 for x in (held, last, train)):
         return None
-    own = [{int(i): int(y[i]) for i in train} for _ in views]
-    pool = np.flatnonzero(y < 0)
-    weights: list[np.ndarray] = []
+    told: list[np.ndarray | None] = [None, None]
     for r in range(rounds + 1):
-        weights = []
-        for view, known, (size, against) in zip(views, own, SIZES, strict=True):
-            where = np.array(sorted(known))
-            weights.append(fit(view.take(where), np.array([known[i] for i in where], float), size, against))
-        if r == rounds or not len(pool):
-            break
-        for k, view in enumerate(views):
-            slope, constant = scale(view.take(held).sums(weights[k])[:, None] + weights[k][-1], y[held])
-            p = _squash(slope * (view.take(pool).sums(weights[k]) + weights[k][-1]) + constant)
-            for i, sure in zip(pool.tolist(), p.tolist(), strict=True):
-                if max(sure, 1 - sure) >= CONFIDENT:
-                    own[1 - k].setdefault(i, int(sure > 0.5))
-        pool = np.array([i for i in pool.tolist() if not all(i in known for known in own)], np.int64)
-    both = np.column_stack([v.take(held).sums(w) + w[-1] for v, w in zip(views, weights, strict=True)])
-    mix = scale(both, y[held])
-    good = _squash(np.column_stack([both, np.ones(len(held))]) @ mix)[y[held] > 0]
-    return weights, mix, min(THRESHOLD, float(np.quantile(good, LOST)))
+        weights = [fit(v.take(train), y[train].astype(float), size, against, t) for v, (size, against), t in zip(views, SIZES, told, strict=True)]
+        if r < rounds:
+            scales = [scale(v.take(held).sums(w)[:, None] + w[-1], y[held]) for v, w in zip(views, weights, strict=True)]
+            told = [log_odds(counts, sizes, against) for (counts, sizes), (_, against) in zip(exchange(weights, scales), SIZES, strict=True)]
+
+    def both(where: np.ndarray) -> np.ndarray:
+        return np.column_stack([v.take(where).sums(w) + w[-1] for v, w in zip(views, weights, strict=True)])
+
+    mix = scale(both(held), y[held])
+    good = _squash(np.column_stack([both(last), np.ones(len(last))]) @ mix)[y[last] > 0]
+    return weights, mix, min(THRESHOLD, max(FLOOR, float(np.quantile(good, LOST))))
+
+
+def pseudo_labels(views: list[Rows], weights: list[np.ndarray], scales: list[np.ndarray]) -> list[np.ndarray]:
+    """For each view, what the other one is sure of: 1 good, 0 not, -1 unsure."""
+    out = []
+    for v, w, (slope, constant) in zip(views, weights, scales, strict=True):
+        p = _squash(slope * (v.sums(w) + w[-1]) + constant)
+        out.append(np.where(np.maximum(p, 1 - p) >= CONFIDENT, (p > 0.5).astype(np.int64), -1))
+    return out[::-1]
 
 
 def _features(batch: pa.RecordBatch, text: str, columns: tuple[str, ...]) -> list[Rows]:
@@ -188,64 +226,104 @@ def _features(batch: pa.RecordBatch, text: str, columns: tuple[str, ...]) -> lis
     return [Rows.of([content(t) for t in common.strings(batch.column(text))]), Rows.of([metadata(r) for r in rows])]
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = METADATA, labelled: int = LABELLED, pool: int = POOL):
-    """The fitted model, or None where the labels have one class only."""
-    good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
-    known = labels.filter("quality is not null").groupBy(key).agg(F.min(good).alias("_y"))
-    ids = docs.select(key).filter(F.col(key).isNotNull()).distinct().join(known, key, "left")
-    order = [F.xxhash64(key), F.col(key)]
-    chosen = ids.filter("_y is not null").orderBy(*order).limit(labelled).unionByName(ids.filter("_y is null").orderBy(*order).limit(pool))
-    rows = docs.select(key, text, *(c for c in columns)).join(F.broadcast(chosen.withColumn("_y", F.coalesce("_y", F.lit(-1))).withColumn("_order", F.xxhash64(key))), key)
+def featured(docs: DataFrame, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = METADATA) -> DataFrame:
+    """Written: _key and the feature numbers of both views, a and b, of every document."""
 
     def emit(batches):
-        for batch in common.slices(batches, text, SLICE_BYTES):
-            a, b = _features(batch, text, columns)
-            lists = [pa.ListArray.from_arrays(pa.array(x.at, pa.int32()), pa.array(x.numbers, pa.int32())) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column("_order"), batch.column("_y"), *lists], names=["_order", "_y", "a", "b"])
+        for batch in common.slices(batches, "_body", SLICE_BYTES):
+            lists = [pa.ListArray.from_arrays(pa.array(x.at, pa.int32()), pa.array(x.numbers, pa.int32())) for x in _features(batch, "_body", names)]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), *lists], names=["_key", "a", "b"])
 
-    table = rows.mapInArrow(emit, "_order long, _y int, a array<int>, b array<int>").toArrow().combine_chunks()
-    table = table.take(pc.sort_indices(table, [("_order", "ascending")])) if len(table) else table
-    views = []
+    names = tuple(f"_c{k}" for k in range(len(columns)))
+    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_body"), *(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)))
+    return common.written(rows.mapInArrow(emit, f"_key {docs.schema[key].dataType.simpleString()}, a array<int>, b array<int>"), "features", compression="zstd")
+
+
+def _rows(table: pa.Table | pa.RecordBatch) -> list[Rows]:
+    out = []
     for c in ("a", "b"):
-        lists = table.column(c).combine_chunks()
-        sizes = np.array(pc.list_value_length(lists), np.int64) if len(lists) else np.zeros(0, np.int64)
-        views.append(Rows(np.array(lists.flatten(), np.int64), np.concatenate([[0], np.cumsum(sizes)])))
-    return co_train(views, np.array(table.column("_y"), np.int64))
+        lists = table.column(c)
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        out.append(Rows(lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])))
+    return out
 
 
-def _probability(batch: pa.RecordBatch, model, text: str, columns: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def train(features: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int = LABELLED):
+    """The fitted model, or None where the labels have one class only. features: of featured()."""
+    spark = features.sparkSession
+    good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
+    known = labels.filter("quality is not null").groupBy(F.col(key).alias("_key")).agg(F.min(good).alias("_y"))
+    ids = features.select("_key").filter("_key is not null").distinct().join(known, "_key")
+    # at most `labelled` rows
+    chosen = common.written(ids.orderBy(F.xxhash64("_key"), "_key").limit(labelled).withColumn("_order", F.xxhash64("_key")), "labelled")
+    table = features.join(F.broadcast(chosen), "_key").select("_order", "_y", "a", "b").toArrow()
+    table = table.take(pc.sort_indices(table, [("_order", "ascending")])) if len(table) else table
+    others = features.filter("_key is not null").join(F.broadcast(chosen.select("_key")), "_key", "left_anti").select("a", "b")
+
+    def exchange(weights, scales):
+        sent = spark.sparkContext.broadcast((weights, scales))
+
+        def count(batches):
+            totals = [np.zeros((2, size + 1), np.int64) for size, _ in SIZES]
+            for batch in batches:
+                views = _rows(batch)
+                for total, view, own in zip(totals, views, pseudo_labels(views, *sent.value), strict=True):
+                    each = np.repeat(own, view.sizes)
+                    for c in (0, 1):
+                        total[c] += np.bincount(view.numbers[each == c], minlength=total.shape[1])
+                        total[c, -1] += (own == c).sum()
+            for k, total in enumerate(totals):
+                at = np.flatnonzero(total.any(axis=0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], names=["view", "feature", "bad", "good"])
+
+        summed = others.mapInArrow(count, "view int, feature int, bad long, good long").groupBy("view", "feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+        sent.destroy()
+        view, feature, bad, good = (summed.column(c).to_numpy() for c in ("view", "feature", "bad", "good"))
+        out = []
+        for k, (size, _) in enumerate(SIZES):
+            total = np.zeros((2, size + 1), np.int64)
+            total[:, feature[view == k]] = bad[view == k], good[view == k]
+            out.append((total[:, :-1], total[:, -1]))
+        return out
+
+    return co_train(_rows(table), table.column("_y").to_numpy().astype(np.int64), exchange)
+
+
+def _probability(views: list[Rows], n: int, model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Scores of both views, probability, and whether to keep, for each row."""
-    views = _features(batch, text, columns)
     if model is None:
-        return [np.zeros(batch.num_rows)] * 2, np.full(batch.num_rows, 0.5), np.ones(batch.num_rows, bool)
+        return [np.zeros(n)] * 2, np.full(n, 0.5), np.ones(n, bool)
     weights, mix, least = model
     scores = [v.sums(w) + w[-1] for v, w in zip(views, weights, strict=True)]
-    p = _squash(np.column_stack([*scores, np.ones(batch.num_rows)]) @ mix)
+    p = _squash(np.column_stack([*scores, np.ones(n)]) @ mix)
     return scores, p, p >= least
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = METADATA) -> DataFrame:
     """One row per document: key, both views' scores, probability, keep."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key, text, columns))
+    features = featured(docs, key, text, columns)
+    model = docs.sparkSession.sparkContext.broadcast(train(features, labels, key))
 
     def judge(batches):
-        for batch in common.slices(batches, text, SLICE_BYTES):
-            (a, b), p, keep = _probability(batch, model.value, text, columns)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(a), pa.array(b), pa.array(p), pa.array(keep)], names=[key, "content_score", "metadata_score", "probability", "keep"])
+        for batch in batches:
+            (a, b), p, keep = _probability(_rows(batch), batch.num_rows, model.value)
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(a), pa.array(b), pa.array(p), pa.array(keep)], names=[key, "content_score", "metadata_score", "probability", "keep"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text, *(c for c in columns if c != key)).mapInArrow(judge, f"`{key}` {kind}, content_score double, metadata_score double, probability double, keep boolean")
+    return features.mapInArrow(judge, f"`{key}` {docs.schema[key].dataType.simpleString()}, content_score double, metadata_score double, probability double, keep boolean")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = METADATA) -> DataFrame:
     """The documents that are good by the classifier; all columns stay."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key, text, columns))
+    model = docs.sparkSession.sparkContext.broadcast(train(featured(docs, key, text, columns), labels, key))
+    rows = common.set_aside(docs, key, text).withColumns({f"_c{k}": F.col("_id" if c == key else f"_rest.`{c}`") for k, c in enumerate(columns)})
+    names = tuple(f"_c{k}" for k in range(len(columns)))
 
     def judge(batches):
-        for batch in common.slices(batches, text, SLICE_BYTES):
-            yield batch.filter(pa.array(_probability(batch, model.value, text, columns)[2]))
+        for batch in common.slices(batches, "_body", SLICE_BYTES):
+            yield batch.filter(pa.array(_probability(_features(batch, "_body", names), batch.num_rows, model.value)[2]))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return common.restored(rows.mapInArrow(judge, rows.schema), docs, key, text)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
