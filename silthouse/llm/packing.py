@@ -3,26 +3,32 @@
 1. Tokenise: each task turns its documents into pieces of at most `limit` tokens.
 2. Range-sort the pieces by length over the cluster and number them inside their length; the
    partition counts, at most one row for each partition and length, give every piece its rank.
-3. Supersteps, one for each length from the longest down: that length's pieces and all gaps
-   meet in a successor sweep over gap sizes, which sends the pieces, by rank, to the smallest
-   gaps that hold them; gaps are updated and what found no gap opens new sequences.
-   A gap or piece is known by its size, so a sweep handles whole runs of them: its state has at
-   most two runs for each length and no run is visited more than log2(limit) times, hence at most
-   2 * limit * log2(limit) assignments, whatever the number of documents.
+3. Pieces and gaps are tables of runs: a length with its pieces' ranks, a gap with the sequences that have
+   it. Supersteps go from the longest pieces down, halving the length each time. In a superstep the class's
+   pieces and all gaps that may hold them are dealt by ranges of size, and each task sweeps its range: longest
+   first, pieces go by rank to the smallest gap that holds them. What a range can't place meets the gaps of
+   the next larger range, in pairs of ranges, then pairs of pairs; matches inside a range are those of
+   the whole. The last sweep of a superstep opens new sequences for what found no gap; gaps are updated,
+   written, and the next class follows.
+   Runs of equal size have at most two entries for each length and sweep, so the tables' size depends on
+   the limit, never on the number of documents: at most about 2 * limit * log2(limit) assignments.
 4. Every task looks its pieces up in the assignments by length and rank.
 
 Nulls and edges: a null text is empty and is the single end token; repeated rows are pieces of
-their own; a null key is kept. Columns other than key and text are not looked at.
+their own; a null key is kept. Columns other than key and text are not looked at. Vocabularies that
+don't split at white space as the production one does are used on whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -41,6 +47,9 @@ CACHE_WORDS = 400_000
 # The vocabulary file's own split into words, digits and runs of signs.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[!-~¡-ɏ]+")
+_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "</w>")
+#: Ranges of size that a superstep starts with, a power of two.
+RANGES = 4
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -53,7 +62,8 @@ class Encoder:
     """Token ids as little-endian 32-bit bytes, word by word, each word encoded once.
 
     The vocabulary splits at white space before anything else, so a text's ids are those of its
-    words in turn. A text that spells a special token is encoded whole.
+    words in turn. A text that spells a special token is encoded whole, and so are all texts
+    where the vocabulary is of another make.
     """
 
     _open: dict[str, Encoder] = {}
@@ -65,6 +75,7 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.parts: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.by_word = self._by_word()
         self.closes = np.zeros(1 + max(self.model.get_vocab().values()), bool)
         self.closes[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
 
@@ -74,6 +85,13 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    def _by_word(self) -> bool:
+        made = json.loads(self.model.to_str())
+        normal, split = made["normalizer"] or {}, made["pre_tokenizer"] or {}
+        parts = split.get("pretokenizers", [])
+        steps = [x["type"] for x in normal.get("normalizers", [])], [x["type"] for x in parts], made["model"].get("end_of_word_suffix")
+        return steps == _STEPS and parts[0]["pattern"] == {"Regex": _SPLIT.pattern} and all("<|" in x["content"] for x in made["added_tokens"])
+
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -109,7 +127,7 @@ class Encoder:
             self.words.clear()
         if len(self.parts) > CACHE_WORDS:
             self.parts.clear()
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
+        split = [t.lower().split() if self.by_word and b"<|" not in t else None for t in texts]
         known = self.words
         if new := {w for x in split if x for w in x if w not in known}:
             self.learn(new)
@@ -138,14 +156,15 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     return docs.select(key, text).mapInArrow(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], limit: int = LIMIT) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Assignments (length, first rank, first sequence, pieces a sequence, offset) and the sequences used.
+def sweep(pieces: list[tuple[int, int, int]], free: list[tuple[int, int, int]], limit: int, used: int | None) -> tuple[list, list, list]:
+    """Assignments (length, first rank, first sequence, pieces a sequence, offset, sequences), pieces left over, and gaps after.
 
-    Pieces of that length, from that rank to the next assignment's, fill the sequences in turn.
+    pieces: runs (length, first rank, n); free: runs (gap, first sequence, n). Pieces of an assignment, from its rank
+    on, fill the sequences in turn. With `used`, the number of sequences so far, the rest opens new ones.
     """
     gaps: list[int] = []
     runs: dict[int, list[tuple[int, int]]] = {}
-    plan, used = [], 0
+    plan, over = [], []
 
     def leave(gap: int, first: int, n: int) -> None:
         if gap and n:
@@ -154,8 +173,10 @@ def best_fit(counts: dict[int, int], limit: int = LIMIT) -> tuple[list[tuple[int
                 insort(gaps, gap)
             runs[gap].append((first, n))
 
-    for length in sorted(counts, reverse=True):
-        rank, left, behind = 0, counts[length], []
+    for run in sorted(free):
+        leave(*run)
+    for length, rank, left in sorted(pieces, key=lambda x: (-x[0], x[1])):
+        behind: list[tuple[int, int, int]] = []
 
         def fill(gap, first, n, length=length, behind=behind):
             nonlocal rank, left
@@ -164,7 +185,7 @@ def best_fit(counts: dict[int, int], limit: int = LIMIT) -> tuple[list[tuple[int
             rest = left - full * each if full < n else 0
             for at, bins, k in ((first, full, each), (first + full, int(rest > 0), rest)):
                 if bins:
-                    plan.append((length, rank, at, k, limit - gap))
+                    plan.append((length, rank, at, k, limit - gap, bins))
                     rank, left = rank + bins * k, left - bins * k
                     behind.append((gap - k * length, at, bins))
             done = full + (rest > 0)
@@ -181,13 +202,58 @@ def best_fit(counts: dict[int, int], limit: int = LIMIT) -> tuple[list[tuple[int
                     fill(gap, first, n)
                 else:
                     behind.append((gap, first, n))
-        if left:
+        if left and used is None:
+            over.append((length, rank, left))
+        elif left:
             n = -(-left // (limit // length))
             fill(limit, used, n)
             used += n
         for run in behind:
             leave(*run)
-    return plan, used
+    return plan, over, [(gap, *run) for gap in gaps for run in runs[gap]]
+
+
+_RUNS = "kind int, size int, first long, n long, sequence long, offset int, bins long"
+_PIECE, _GAP, _PLAN = range(3)
+
+
+def _swept(rows: DataFrame, span: int, limit: int, used: int | None) -> DataFrame:
+    """The runs after a sweep of each `span` ranges; assignments pass through."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        runs = {k: list(g[["size", "first", "n"]].itertuples(index=False, name=None)) for k, g in group.groupby("kind")}
+        plan, over, gaps = sweep(runs.get(_PIECE, []), runs.get(_GAP, []), limit, used)
+        out = [(_PIECE, *x, 0, 0, 0) for x in over] + [(_GAP, *x, 0, 0, 0) for x in gaps] + [(_PLAN, a, b, each, at, offset, bins) for a, b, at, each, offset, bins in plan]
+        made = pd.DataFrame(out, columns=list(group.columns[:-1]))
+        return pd.concat([made, group[group["kind"] == _PLAN].iloc[:, :-1]]).assign(range=group["range"].min())
+
+    return rows.groupBy(F.floor(F.col("range") / span)).applyInPandas(one, f"{_RUNS}, range int")
+
+
+def best_fit(lengths: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Written assignments (length, first, sequence, each, offset) of lengths (length, n), by supersteps over tables of runs."""
+    zero = F.lit(0).cast("long")
+    runs = common.written(
+        lengths.select(F.lit(_PIECE).alias("kind"), F.col("length").cast("int").alias("size"), zero.alias("first"), F.col("n").cast("long").alias("n"), zero.alias("sequence"), F.lit(0).alias("offset"), zero.alias("bins")), "runs"
+    )
+    gaps = plan = runs.limit(0)
+    top, used = limit, 0
+    while top:
+        least = top // 2
+        pieces = runs.filter((F.col("size") <= top) & (F.col("size") > least))
+        if not pieces.isEmpty():
+            # the class in ranges of size, larger gaps with the largest
+            range_of = F.least(F.floor((F.col("size") - least - 1) / max((top - least) // RANGES, 1)), F.lit(RANGES - 1)).cast("int")
+            state, span = pieces.unionByName(gaps.filter(F.col("size") > least)).withColumn("range", range_of), 1
+            while span < RANGES:
+                state, span = _swept(state, span, limit, None), 2 * span
+            state = common.written(_swept(state, span, limit, used).drop("range"), "swept")
+            done = state.filter(F.col("kind") == _PLAN)
+            used = max(used, done.agg(F.max(F.col("sequence") + F.col("bins"))).first()[0])
+            gaps = common.written(gaps.filter(F.col("size") <= least).unionByName(state.filter(F.col("kind") == _GAP)), "gaps")
+            plan = plan.unionByName(done)
+        top = least
+    return plan.select(F.col("size").alias("length"), "first", "sequence", F.col("n").alias("each"), "offset")
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, tokenizer: str | None = None) -> DataFrame:
@@ -196,35 +262,37 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     found = common.written(pieces(docs, key, text, limit, tokenizer), "pieces")
 
     def number(batches):
-        part, seen = TaskContext.get().partitionId(), {}
+        part, last, seen = TaskContext.get().partitionId(), -1, 0
         for batch in batches:
-            rank = []
-            for n in batch.column("length").to_pylist():
-                rank.append(seen.get(n, 0))
-                seen[n] = rank[-1] + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(rank), pa.int32()), pa.array(rank, pa.int64())], names=[*batch.schema.names, "part", "rank"])
+            length = batch.column("length").to_numpy()
+            if not len(length):
+                continue
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], length[1:] != length[:-1]]), np.arange(len(length)), 0))
+            rank = np.arange(len(length)) - start + np.where((start == 0) & (length == last), seen, 0)
+            last, seen = int(length[-1]), int(rank[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(rank), part, np.int32)), pa.array(rank)], names=[*batch.schema.names, "part", "rank"])
 
     order = ["length", key, "piece", "_tie"]
     ranged = found.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order).drop("_tie")
     kind = docs.schema[key].dataType.simpleString()
     ranked = common.written(ranged.mapInArrow(number, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long"), "ranked")
 
-    totals: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for part, length, n in sorted(tuple(r) for r in ranked.groupBy("part", "length").count().collect()):
-        before[part, length] = totals.get(length, 0)
-        totals[length] = before[part, length] + n
-    plan, _ = best_fit(totals, limit)
-    shared = spark.sparkContext.broadcast((before, np.array(sorted(plan), np.int64).reshape(-1, 5)))
+    counts = common.written(ranked.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    plan = best_fit(counts.groupBy("length").agg(F.sum("n").alias("n")), limit).toPandas().sort_values(["length", "first"])
+    # a row for each partition and length it has, which are few more than either
+    before = counts.toPandas().sort_values(["length", "part"])
+    before["n"] = before.groupby("length")["n"].cumsum() - before["n"]
+    wide = np.int64(1) << 48
+    shared = spark.sparkContext.broadcast(
+        (before["length"].to_numpy(np.int64) * wide + before["part"].to_numpy(np.int64), before["n"].to_numpy(np.int64), plan["length"].to_numpy(np.int64) * wide + plan["first"].to_numpy(np.int64), plan[["first", "sequence", "each", "offset"]].to_numpy(np.int64))
+    )
 
     def place(batches):
-        before, plan = shared.value
-        wide = np.int64(1) << 48
-        steps = plan[:, 0] * wide + plan[:, 1]
+        parts, behind, steps, plan = shared.value
         for batch in batches:
-            part, length, rank = (batch.column(c).to_numpy() for c in ("part", "length", "rank"))
-            rank = rank + np.array([before[x] for x in zip(part.tolist(), length.tolist(), strict=True)], np.int64)
-            _, first, sequence, each, offset = plan[np.searchsorted(steps, length * wide + rank, side="right") - 1].T
+            part, length, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("part", "length", "rank"))
+            rank = rank + behind[np.searchsorted(parts, length * wide + part)]
+            first, sequence, each, offset = plan[np.searchsorted(steps, length * wide + rank, side="right") - 1].T
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:5], pa.array(sequence + (rank - first) // each), pa.array(offset + (rank - first) % each * length)],
                 names=[*batch.schema.names[:5], "sequence_id", "offset"],

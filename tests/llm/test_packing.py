@@ -1,4 +1,5 @@
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
@@ -42,19 +43,59 @@ def test_edges(spark, odd, empty):
     check(spark.createDataFrame([(1, t) for t in tricky] * 2, "doc_id long, text string"))
 
 
-@given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), max_size=12))
-def test_plan_places_every_piece_once(counts):
-    plan, used = P.best_fit(counts, 40)
+def plain_best_fit(lengths, limit):
+    """Sequences that best fit decreasing uses, piece by piece."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        k = bisect_left(gaps, n)
+        gap = gaps.pop(k) if k < len(gaps) else limit
+        insort(gaps, gap - n)
+    return len(gaps)
+
+
+def placed(plan, counts, limit):
     steps, room = sorted(plan), defaultdict(list)
     for length, n in counts.items():
         own = [s for s in steps if s[0] == length]
         for rank in range(n):
-            _, first, seq, each, off = [s for s in own if s[1] <= rank][-1]
+            _, first, seq, each, off = [s for s in own if s[1] <= rank][-1][:5]
             room[seq + (rank - first) // each].append((off + (rank - first) % each * length, length))
-    assert len(room) == used
     for x in room.values():
         at = 0
         for offset, length in sorted(x):
             assert offset == at
             at += length
-        assert at <= 40
+        assert at <= limit
+    return len(room)
+
+
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), max_size=12))
+def test_a_sweep_is_best_fit_decreasing(counts):
+    plan, over, _ = P.sweep([(n, 0, c) for n, c in counts.items()], [], 40, 0)
+    assert not over and placed(plan, counts, 40) == plain_best_fit([n for n, c in counts.items() for _ in range(c)], 40)
+
+
+def test_supersteps_against_plain_best_fit(spark):
+    rng = np.random.default_rng(2)
+    for k, limit in enumerate((40, 40, 100, 1000, 4096)):
+        counts = {int(n): int(c) for n, c in zip(rng.integers(1, limit + 1, 8 + 40 * k), rng.integers(1, 50, 8 + 40 * k))}
+        plan = P.best_fit(spark.createDataFrame(list(counts.items()), "length int, n long"), limit)
+        used = placed([tuple(r) for r in plan.select("length", "first", "sequence", "each", "offset").collect()], counts, limit)
+        assert used <= plain_best_fit([n for n, c in counts.items() for _ in range(c)], limit) * 1.002 + 1
+
+
+def test_documents_use_as_few_sequences_as_plain_best_fit(docs):
+    rows = P.pack(docs).collect()
+    assert len({r.sequence_id for r in rows}) == plain_best_fit([r.length for r in rows], 4096)
+
+
+def test_other_vocabularies(spark):
+    """Ids are those of the vocabulary itself, whatever its make."""
+    texts = ["Hello  World", "it's a\ttest\n\nof 123 things", "Ünïcode 你好 x", "", " lead"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name in ("byte_bpe_50k.json", P.TOKENIZER):
+        model = Tokenizer.from_file(P.tokenizer_path(name))
+        got = {r.doc_id: (r.length, r.ids_crc32) for r in P.pieces(docs, tokenizer=P.tokenizer_path(name)).collect()}
+        for i, t in enumerate(texts):
+            ids = [*model.encode(t, add_special_tokens=False).ids, 1]
+            assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
