@@ -7,13 +7,16 @@ where the last match ended), and card lengths inside the pattern.
 
 Then corpus statistics: IC(e) = log(N / df(e)) is the information of an entity, PMI(e; t) =
 log(N df(e, t) / (df(e) df(t))) what a term t tells of it, with df counted over all documents. A
-term whose PMI is GENERALISE of the IC or more discloses the entity where both occur: its uses there
-are spans of kind "term", replaced by their class, or removed from REMOVE of the IC on. Entities
-and pairs count if at least SUPPORT different texts have them, so that copies prove nothing.
-Words are counted by a 64-bit hash.
+term whose PMI is GENERALISE of the IC or more discloses the entity. Its uses are spans of kind
+"term" in every document, whether the entity is named there or not, replaced by their class, or removed from
+REMOVE of the IC on. Entities and pairs count if at least SUPPORT different texts have them, so that copies
+prove nothing. Words are counted by a 64-bit hash.
 
 DataFrame functions only. Document frequencies are partial sums before the shuffle; the pairs of
-an entity are never gathered, only counted; a document's own matches and tokens stay in its row.
+an entity are never gathered, only counted. Entities that occur in the same texts tell the same of a word, and words of
+the same texts and frequency are told the same, so that pairs are made of such classes (known by 128 bits of
+hash over their texts), not of all entities and words of a text. Terms are found by a join of tokens with
+the disclosing words.
 
 Nulls and edges: a null text is empty and has no spans; repeated rows are judged alike and count
 as documents; null ids are kept. Terms shorter than MIN_LETTERS are no terms, and a term inside a
@@ -51,7 +54,7 @@ MIN_LETTERS = 3
 _WORD = r"[\p{L}\p{N}]++"
 _CHUNK = 256
 _SPANS = "array<struct<kind:string,start:int,stop:int,value:string>>"
-_TOKENS = "array<struct<word:string,start:int,stop:int>>"
+_TERMS = "array<struct<start:int,stop:int,ratio:double>>"
 
 
 def _add_up(numbers: Column) -> Column:
@@ -108,60 +111,83 @@ def _count_of(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def _named(docs: DataFrame, text: str) -> DataFrame:
+    """The rows with _text, and its hashes _t1 and _t2."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.select("*", F.xxhash64(body).alias("_t1"), F.xxhash64(F.lit("text"), body).alias("_t2"), body.alias("_text"))
+
+
+def _words(text: Column) -> Column:
+    """Hashes of the different words of a text that may be terms."""
+    plain = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
+    return F.array_distinct(F.transform(F.filter(plain, lambda w: F.length(w) >= MIN_LETTERS), lambda w: F.xxhash64(w)))
+
+
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, _t1, _t2 (of the text), base (spans by kind and place), entities; tokens where there are entities."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(body).alias("_t1"), F.xxhash64(F.lit("text"), body).alias("_t2"), body.alias("_text"))
+    """key, _t1, _t2 (of the text), base (spans by kind and place), entities; hashes of the words where there are entities."""
+    rows = _named(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_body")), "_body")
     for kind in KINDS:
         matches = F.regexp_extract_all("_text", F.lit(LINEAR[kind]), F.lit(0))
         rows = rows.withColumn(f"_{kind}", F.when(F.contains("_text", F.lit(NEEDS[kind])), matches) if kind in NEEDS else matches)
     rows = rows.withColumn("base", F.concat(*(_spans_of(kind) for kind in KINDS)))
     entity = lambda s: F.coalesce(*(F.when(s["kind"] == kind, _entity(kind, s["value"])) for kind in KINDS))
     rows = rows.withColumn("entities", F.array_distinct(F.transform("base", entity)))
-    rows = rows.withColumn("_words", F.when(F.size("entities") > 0, F.regexp_extract_all("_text", F.lit(_WORD), F.lit(0))))
-    token = F.zip_with("_words", _ends(F.col("_text"), _WORD, F.col("_words")), lambda w, e: F.struct(F.lower(w).alias("word"), (e - F.length(w)).alias("start"), e.alias("stop")))
-    rows = rows.withColumn("tokens", F.when(F.size("_words") > 0, token).otherwise(F.array().cast(_TOKENS)))
-    return rows.select(F.col("_key").alias(key), "_t1", "_t2", "base", "entities", "tokens")
+    return rows.select(F.col("_key").alias(key), "_t1", "_t2", "base", "entities", F.when(F.size("entities") > 0, _words(F.col("_text"))).alias("words"))
+
+
+def _class(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, c1, c2: a hash of the ids of each group, which is the same for groups of the same ids."""
+    return rows.groupBy(*by).agg(F.bit_xor(F.xxhash64("id")).alias("c1"), F.bit_xor(F.xxhash64(F.lit("class"), "id")).alias("c2"))
 
 
 def disclosing(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """entity, word (a hash), ratio of PMI to IC, for every pair at GENERALISE or more. rows: of found(), written.
+    """word (a hash), ratio: the most that PMI is of an entity's IC, for every word with GENERALISE or more. rows: of found(), written.
 
     PMI reaches that share of IC only if df(t) <= df(e) (N / df(e)) ** (1 - GENERALISE). So the words of
     texts with an entity that recurs meet their document frequencies first, in rows of a few bytes,
     and only those rare enough for one of their text's entities are paired and counted.
     """
     n = float(max(docs.count(), 1))
-    own = rows.filter(F.size("entities") > 0).groupBy("_t1", "_t2").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("tokens").alias("tokens"))
-    words = F.array_distinct(F.transform(F.filter("tokens", lambda t: F.length(t["word"]) >= MIN_LETTERS), lambda t: F.xxhash64(t["word"])))
-    own = common.written(own.select(F.monotonically_increasing_id().alias("id"), "copies", "entities", words.alias("words")), "entities")
+    own = rows.filter(F.size("entities") > 0).groupBy("_t1", "_t2").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    own = common.written(own.select(F.monotonically_increasing_id().alias("id"), "copies", "entities", "words"), "entities")
     each = own.select("id", "copies", F.explode("entities").alias("entity"))
-    known = each.groupBy("entity").agg(F.sum("copies").alias("e"), F.count(F.lit(1)).alias("texts")).filter((F.col("texts") >= SUPPORT) & (F.col("e") < n))
+    known = each.groupBy("entity").agg(F.sum("copies").alias("e"), F.count(F.lit(1)).alias("texts")).filter((F.col("texts") >= SUPPORT) & (F.col("e") < n)).drop("texts")
     most = F.floor(F.col("e") * F.pow(n / F.col("e"), 1 - GENERALISE) + 1e-6)
-    told = each.join(known.select("entity", "e", most.alias("most")), "entity").groupBy("id").agg(F.max("most").alias("bound"), F.collect_list(F.struct("entity", "e", "most")).alias("told"))
-    told = common.written(own.select("id", "copies", "words").join(told, "id"), "told")
-    plain = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD), F.lit(0)), F.lower)
-    every = docs.select(F.explode(F.array_distinct(F.transform(F.filter(plain, lambda w: F.length(w) >= MIN_LETTERS), lambda w: F.xxhash64(w)))).alias("word"))
-    counts = every.groupBy("word").agg(F.count(F.lit(1)).alias("t")).filter(F.col("t") >= SUPPORT)
-    rare = told.select("id", "bound", F.explode("words").alias("word")).join(counts, "word").filter(F.col("t") <= F.col("bound")).select("id", "word", "t")
-    pairs = rare.join(told.select("id", "copies", "told"), "id").select("copies", "word", "t", F.explode("told").alias("x")).filter(F.col("t") <= F.col("x.most"))
+    alike = known.join(_class(each, ["entity"]), "entity").groupBy("c1", "c2", "e").agg(F.min("entity").alias("entity"))  # one entity of each class
+    told = common.written(each.join(alike, "entity").select("id", "copies", F.struct("entity", "e", most.alias("most")).alias("x")), "told")
+    counts = docs.select(F.explode(_words(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("t")).filter(F.col("t") >= SUPPORT)
+    bounds = told.groupBy("id").agg(F.max("x.most").alias("bound"))
+    rare = own.join(bounds, "id").select("id", "bound", F.explode("words").alias("word")).join(counts, "word").filter(F.col("t") <= F.col("bound"))
+    rare = common.written(rare.select("id", "word", "t"), "rare")
+    words = common.written(_class(rare, ["word", "t"]), "words")
+    first = words.groupBy("c1", "c2", "t").agg(F.min("word").alias("word"))  # one word of each class
+    pairs = rare.join(first.select("word"), "word", "left_semi").join(told, "id").filter(F.col("t") <= F.col("x.most"))
     counted = pairs.groupBy("x.entity", "x.e", "word", "t").agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT)
     ratio = F.log(n * F.col("both") / (F.col("e") * F.col("t"))) / F.log(n / F.col("e"))
-    return counted.withColumn("ratio", ratio).filter(F.col("ratio") >= GENERALISE).select("entity", "word", "ratio")
+    best = counted.groupBy("word").agg(F.max(ratio).alias("ratio")).filter(F.col("ratio") >= GENERALISE)
+    classes = best.join(first, "word").select("c1", "c2", "t", "ratio")
+    return words.join(classes, ["c1", "c2", "t"]).select("word", "ratio")
+
+
+def _terms(docs: DataFrame, told: DataFrame, text: str) -> DataFrame:
+    """_t1, _t2, terms (struct start, stop, ratio; by place) of each text with disclosing words."""
+    named = _named(docs.select(F.col(f"`{text}`").alias("_body")), "_body")
+    hit = named.select("_t1", "_t2", F.explode(_words(F.col("_text"))).alias("word")).join(told, "word", "left_semi").select("_t1", "_t2").distinct()
+    hit = common.written(hit, "disclosed")
+    texts = named.join(hit, ["_t1", "_t2"]).groupBy("_t1", "_t2").agg(F.first("_text").alias("_text"))
+    texts = texts.withColumn("_all", F.regexp_extract_all("_text", F.lit(_WORD), F.lit(0)))
+    token = F.zip_with("_all", _ends(F.col("_text"), _WORD, F.col("_all")), lambda w, e: F.struct(F.xxhash64(F.lower(w)).alias("word"), F.length(F.lower(w)).alias("n"), (e - F.length(w)).alias("start"), e.alias("stop")))
+    each = texts.select("_t1", "_t2", F.explode(token).alias("x")).filter(F.col("x.n") >= MIN_LETTERS).select("_t1", "_t2", "x.word", "x.start", "x.stop")
+    return each.join(told, "word").groupBy("_t1", "_t2").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "ratio"))).alias("terms"))
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, _t1, _t2, base, terms (struct start, stop, ratio; by place): one row per document."""
     rows = common.written(found(docs, key, text), "found")
-    told = common.written(disclosing(rows, docs.select(text), text), "disclosing")
-    owners = rows.filter(F.size("entities") > 0).select("_t1", "_t2", F.explode("entities").alias("entity")).distinct()
-    own = owners.join(told, "entity").groupBy("_t1", "_t2", "word").agg(F.max("ratio").alias("ratio")).groupBy("_t1", "_t2").agg(F.map_from_entries(F.collect_list(F.struct("word", "ratio"))).alias("_told"))
-    joined = rows.join(own, ["_t1", "_t2"], "left")
+    told = common.written(disclosing(rows, docs.select(f"`{text}`"), text), "disclosing")
+    joined = rows.join(_terms(docs, told, text), ["_t1", "_t2"], "left")
     apart = lambda t: ~F.exists("base", lambda b: (t["start"] < b["stop"]) & (b["start"] < t["stop"]))
-    ratio = lambda t: F.try_element_at("_told", F.xxhash64(t["word"]))
-    terms = F.transform(F.filter("tokens", lambda t: ratio(t).isNotNull() & apart(t)), lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), ratio(t).alias("ratio")))
-    none = F.array().cast("array<struct<start:int,stop:int,ratio:double>>")
-    return joined.select(key, "_t1", "_t2", "base", F.when(F.col("_told").isNotNull(), terms).otherwise(none).alias("terms"))
+    return joined.select(key, "_t1", "_t2", "base", F.coalesce(F.filter("terms", apart), F.array().cast(_TERMS)).alias("terms"))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -43,7 +43,7 @@ def brute(rows):
             told[e].add(w)
     out = []
     for i, t in texts:
-        words = set().union(*(told[s[3]] for s in own[t]))
+        words = set().union(*told.values())
         terms = [(a, b) for w, a, b in tokens[t] if w in words and not any(a < s[2] and s[1] < b for s in own[t])]
         count = Counter(s[0] for s in own[t])
         parts = [f"{k}:{a}:{b}" for k, a, b, _ in own[t]]
@@ -84,3 +84,19 @@ def test_terms(spark):
     clean = P.sanitised(docs)
     assert clean.columns == docs.columns
     assert {r.doc_id: r.text for r in clean.collect()}[2] == " wrote 2 to [email] about the quarterly plan"
+
+
+def test_bare_terms(spark):
+    """A term that discloses is marked where the entity isn't named too."""
+    rows = [(i, f"Zebulon wrote {i} to boss@x.org about the quarterly plan") for i in range(5)] + [(7, "all about Zebulon and the plan")] + [(20 + i, f"the plan number {i} about quarterly things to wrote") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: r for r in check(docs)}
+    assert got[7][6] == "term:10:17" and got[20][7] == 0
+    assert {r.doc_id: r.text for r in P.sanitised(docs).collect()}[7].startswith("all about [term] and") or {r.doc_id: r.text for r in P.sanitised(docs).collect()}[7] == "all about  and the plan"
+
+
+def test_many_entities_in_few_texts(spark):
+    """Texts with the same entities and words make one pair of classes, not all pairs."""
+    body = " ".join(f"u{i}@h.org word{i}x" for i in range(1200))
+    docs = spark.createDataFrame([(i, f"{body} n{i}") for i in range(4)] + [(10 + i, f"other text {i}") for i in range(40)], "doc_id long, text string")
+    check(docs)
