@@ -3,15 +3,14 @@
 Rules are configuration: at most MAX_RULES of them, kept as a literal map from host to rules.
 A url looks up each suffix of its host, so the work does not grow with the number of rules.
 
-The listed URLs fill a filter of blocks of eight 64-bit words; a key sets one bit in each word
-of one block, so that an aggregation by block with bit_or builds it. It has BITS_PER_KEY bits
-for each listed URL but never more than MAX_BLOCKS blocks (64 bytes each), which bounds what is
-broadcast; beyond that more pages pass it, and the exact join still decides. Only pages that
-pass it are shuffled to that join.
+The listed URLs, in whatever spelling, are made canonical and fill a filter of blocks of eight 64-bit words; a key
+sets one bit in each word of one block, so that an aggregation by block with bit_or builds it. It has BITS_PER_KEY
+bits for each different listed URL. Up to MAX_BLOCKS blocks (64 bytes each) it is broadcast; a larger one is joined by
+block number like any table, and Spark chooses how. Only pages that pass it are shuffled to the exact join.
 
 Nulls and edges: a null url, or one without "://", has an empty host and path, which no rule
 fits and which is never listed. Repeated pages are judged one by one; a null page id is kept.
-Listed nulls are left out. Other columns are not looked at.
+Listed nulls, and listed URLs without a host, are left out; repeats count once. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-#: First labels of the hosts whose pages the production query lists.
-LISTED_SITES = ("free-bets", "casino-win")
+#: The production query's list: sites, endings, languages, and page numbers of each.
+SITES, ENDINGS, LANGUAGES, NUMBERS = ("free-bets", "m.casino-win", "spam-farm", "cheap-pills"), ("com", "net", "org"), ("en", "de", "fr", "es"), 10_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,9 +87,10 @@ def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
 def listed_among(pages: DataFrame, listed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """The pages whose key may be in `listed`, each with `_listed` by the exact join; the pages that aren't there for sure."""
     listed = common.written(listed.select(F.col(key).alias("_key")).filter("_key is not null").distinct(), "listed")
-    blocks = min(MAX_BLOCKS, max(1, -(-listed.count() * BITS_PER_KEY // 512)))
+    blocks = max(1, -(-listed.count() * BITS_PER_KEY // 512))
     block, bits = _place(F.col(key), blocks)
-    filled = F.broadcast(bloom(listed, "_key", blocks).withColumnRenamed("block", "_block"))
+    filled = bloom(listed, "_key", blocks).withColumnRenamed("block", "_block")
+    filled = F.broadcast(filled) if blocks <= MAX_BLOCKS else filled
     probed = pages.withColumn("_block", block).join(filled, "_block", "left")
     passes = F.col("w0").isNotNull()
     for j, b in enumerate(bits):
@@ -111,15 +111,27 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, key: str = "page_id"
     return both.select(key, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", plain).alias("verdict"))
 
 
-def listing(pages: DataFrame, sites=LISTED_SITES, url: str = "url") -> DataFrame:
-    """The canonical URLs of the pages of some sites."""
-    own = pages.select(host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
-    return own.filter(F.col("host").rlike(rf"(^|\.)({'|'.join(sites)})\.")).select(canonical(F.col("host"), F.col("path")).alias("canonical"))
+def canonical_list(urls: DataFrame, url: str = "url") -> DataFrame:
+    """`canonical` of each listed URL that has a host."""
+    own = urls.select(host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    return own.filter("host <> ''").select(canonical(F.col("host"), F.col("path")).alias("canonical"))
+
+
+def production_list(spark: SparkSession) -> DataFrame:
+    """The production query's list as its keepers would spell it: capitals, ports, slashes, queries, repeats, nulls and URLs that are no page."""
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    n = len(SITES) * len(ENDINGS) * len(LANGUAGES) * NUMBERS
+    k = F.col("id") % n
+    site, ending = pick(SITES, k), pick(ENDINGS, F.floor(k / len(SITES)))
+    language, number = pick(LANGUAGES, F.floor(k / (len(SITES) * len(ENDINGS)))), F.floor(k / (n // NUMBERS)).cast("string")
+    formal = F.concat(F.lit("HTTP://WWW."), F.upper(site), F.lit(".example."), ending, F.lit(":80/"), language, F.lit("/"), number, F.lit("/"))
+    plain = F.concat(F.lit("https://"), site, F.lit(".example."), ending, F.lit("/"), language, F.lit("/"), number, F.lit("?from=list"))
+    # a tenth is there twice, in the other spelling
+    return spark.range(n + n // 10).select(F.when(F.col("id") % 97 == 0, F.lit(None)).when(F.col("id") < n, formal).otherwise(plain).alias("url"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = common.read(spark, sf_dir, "pages")
-    return judge(pages, listing(pages))
+    return judge(common.read(spark, sf_dir, "pages"), canonical_list(production_list(spark)))
 
 
 SQL = r"""
@@ -129,7 +141,10 @@ WITH p AS (
          coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
   FROM pages),
 c AS (SELECT *, regexp_replace(host, '^www\.|:(80|443)$', '', 'g') || regexp_replace(path, '/+$', '') AS canonical FROM p),
-listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '(^|\.)(free-bets|casino-win)\.')),
+ids AS (SELECT id, id % 480000 AS k FROM range(528000) t(id) WHERE id % 97 <> 0),
+listed AS (
+  SELECT DISTINCT ['free-bets', 'm.casino-win', 'spam-farm', 'cheap-pills'][1 + k % 4] || '.example.' || ['com', 'net', 'org'][1 + k // 4 % 3] || '/' || ['en', 'de', 'fr', 'es'][1 + k // 12 % 4] || '/' || k // 48 AS canonical
+  FROM ids),
 rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 fit AS (
   SELECT c.page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict

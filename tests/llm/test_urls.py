@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from silthouse.llm import urls as U
 
 ODD = [
@@ -21,8 +23,9 @@ def brute(rows, listed):
     return sorted(out, key=str)
 
 
-def check(pages):
-    listed = U.listing(pages)
+def check(pages, listed=None):
+    sites = pages.filter(U.host(F.col("url")).rlike(r"(^|\.)(free-bets|casino-win)\."))
+    listed = U.canonical_list(sites) if listed is None else listed
     got = sorted(map(tuple, U.judge(pages, listed).collect()), key=str)
     assert got == brute([(r.page_id, r.url) for r in pages.collect()], {r.canonical for r in listed.collect()})
     return got
@@ -40,3 +43,23 @@ def test_edges(spark, monkeypatch):
     check(pages.limit(0))
     monkeypatch.setattr(U, "MAX_BLOCKS", 1)  # a full filter passes more, and the join still decides
     check(pages)
+
+
+def test_the_production_list(spark, sf):
+    """Nulls, repeats and other spellings of the list make the same keys; some pages are on it, most of it is no page."""
+    raw = U.production_list(spark)
+    listed = U.canonical_list(raw)
+    keys = {r.canonical for r in listed.collect()}
+    assert raw.filter("url is null").count() > 200 and len(keys) < listed.count() < raw.count()
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    hit = [r for r in check(pages, listed) if r[3] is None and r[4] == "block"]
+    assert 0 < len(hit) < pages.count() / 4
+
+
+def test_false_positives_of_the_filter(spark):
+    """Of keys that aren't listed few pass the filter, and the join takes them out."""
+    listed = spark.range(20_000).selectExpr("concat('a', id) canonical")
+    pages = spark.range(100_000).selectExpr("id", "concat('b', id) canonical")
+    hits, rest = U.listed_among(pages, listed, "canonical")
+    wrong = hits.count()
+    assert wrong + rest.count() == 100_000 and wrong < 1000 and not hits.filter("_listed").count()
