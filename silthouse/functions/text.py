@@ -91,18 +91,17 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column, a_tokens: Column, b_tokens: Column, organisation: Column | bool = False) -> Column:
-    """Likeness of two names: 1 if equal, 0.97 with the same tokens, 0.88 or more where an organisation's tokens contain the other's."""
-    ratio, shared = token_sort_ratio(a_tokens, b_tokens), jaccard(a_tokens, b_tokens)
-    mixed = F.least(F.lit(1.0), 0.6 * ratio + 0.4 * shared + F.when(F.size(F.array_intersect(a_tokens, b_tokens)) >= 2, 0.08).otherwise(0.0))
-    some = (F.size(a_tokens) > 0) & (F.size(b_tokens) > 0)
-    inside = (F.size(F.array_except(a_tokens, b_tokens)) == 0) | (F.size(F.array_except(b_tokens, a_tokens)) == 0)
+    """Likeness of two names: 1 if equal, 0.97 with the same tokens; an organisation's two or more tokens that are half or
+    more of the other's count 0.88 or more; else 0.6 of the likeness of the sorted tokens and 0.4 of their share."""
+    x, y = F.array_distinct(a_tokens), F.array_distinct(b_tokens)
+    shared, least, most = F.size(F.array_intersect(x, y)), F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
     company = organisation if isinstance(organisation, Column) else F.lit(organisation)
     return (
         F.when(plain_name(a) == plain_name(b), F.lit(1.0))
-        .when(some & (F.array_distinct(a_tokens) == F.array_distinct(b_tokens)), F.lit(0.97))
-        .when(company & some & inside, F.greatest(F.lit(0.88), mixed))
-        .when(some, mixed)
-        .otherwise(F.lit(0.0))
+        .when(least == 0, F.lit(0.0))
+        .when((shared == least) & (least == most), F.lit(0.97))
+        .when(company & (shared == least) & (least >= 2) & (2 * least >= most), F.greatest(F.lit(0.88), 0.7 + 0.25 * least / most))
+        .otherwise(F.least(F.lit(1.0), 0.6 * token_sort_ratio(a_tokens, b_tokens) + 0.4 * jaccard(a_tokens, b_tokens)))
     )
 
 

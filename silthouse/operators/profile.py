@@ -7,16 +7,16 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Date patterns, in the order in which they are tried.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "d/M/yyyy", "d/M/yyyy HH:mm", "d.M.yyyy", "d-M-yyyy", "M/d/yyyy", "yyyy/MM/dd", "yyyyMMdd", "d/M/yy", "MM/yyyy")
-#: What a column's name says of it.
+#: Date patterns, in the order in which they are tried; the first that fits best counts.
+DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "M/d/yyyy", "yyyyMMdd", "d/M/yy")
+#: What a column's name, in lower case, says of it, and what it must not say.
 FLAGS = {
-    "has_locality": (r"city|town|locality|settlement|yishuv|ישוב|עיר", r"capacity|velocity"),
-    "has_authority": (r"authority|municipal|council|rashut|רשות|מועצה", r"^$"),
-    "has_ministry": (r"ministry|office|משרד", r"officer"),
-    "has_date": (r"date|year|month|time|תאריך|שנה", r"update_by|timeout"),
-    "has_parcel": (r"gush|helka|parcel|block|גוש|חלקה", r"blocked"),
-    "has_geometry": (r"geom|wkt|lat|lon|coord", r"latest|long_|plat|flat"),
+    "has_locality": (r"יישוב|ישוב|עיר|(^|[^a-z])(city|town|locality)", r"עירוני|capacity"),
+    "has_authority": (r"רשות|מועצה|(^|[^a-z])(authority|municipal)", r"לרשות|ברשות|רשותם"),
+    "has_ministry": (r"משרד|ministry|(^|[^a-z])office($|[^a-z])", None),
+    "has_date": (r"תאריך|שנה|שנת|date|datetime|(^|_)dt($|_)|(^|_)yr($|_)|year", r"אחוז"),
+    "has_parcel": (r"גוש|חלקה|חלקות|(^|[^a-z])(gush|parcel|helka)", r"אבו גוש|גוש עציון|גוש חלב|גוש יער|היערני|מחלקת|המחלקה"),
+    "has_geometry": (r"(^|_)geom($|_)|geometry|_wkt$|קואורדינט|נ\.צ|(^|[^a-z])(lat|lon|lng|latitude|longitude|easting|northing)($|[^a-z])", None),
 }
 STOPWORDS = ("the", "and", "of", "to", "in", "is", "it", "for", "that", "was", "with", "this", "are", "be", "by", "or", "at", "as", "on", "an", "de", "la", "der", "die", "und")
 
@@ -89,7 +89,7 @@ def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def name_flags(columns: list[str]) -> dict[str, bool]:
-    return {flag: any(re.search(yes, c, re.I) and not re.search(no, c, re.I) for c in columns) for flag, (yes, no) in FLAGS.items()}
+    return {flag: any(re.search(yes, c.lower()) and not (no and re.search(no, c.lower())) for c in columns) for flag, (yes, no) in FLAGS.items()}
 
 
 def entity_guess(kind: str, name: str, top: list[str], places: set[str]) -> str:

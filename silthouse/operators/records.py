@@ -146,5 +146,6 @@ def mentions(events: DataFrame, ident: str, text: str, names: DataFrame, name: s
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
     known = names.select(F.lower(F.trim(F.regexp_replace(name, r"[^\p{L}\p{N}]+", " "))).alias("plain"), F.col(name).alias("name")).filter(F.length("plain") >= least).withColumn("n", F.size(F.split("plain", " ")))
     rows = events.select(F.col(ident).alias("id"), words.alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.array_join(F.slice("w", k, n), " "))).otherwise(F.array().cast("array<string>"))))
-    return rows.select("id", F.explode(F.array_distinct(runs)).alias("plain")).join(known.filter("n <= 4"), "plain").select("id", "name").distinct()
+    lengths = sorted(r.n for r in known.select("n").distinct().collect())  # as many rows as there are lengths
+    runs = F.flatten(F.transform(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.array_join(F.slice("w", k, n), " "))).otherwise(F.array().cast("array<string>"))))
+    return rows.select("id", F.explode(F.array_distinct(runs)).alias("plain")).join(known, "plain").select("id", "name").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from silthouse.functions.text import block_key, jaccard, name_tokens, no_parens, norm, plain_name, similarity
 from silthouse.operators.graph import clusters
+from silthouse.storage import written
 
 #: Weights of a place's aliases.
 PLACE_WEIGHTS = {"official": 100, "no_paren": 90, "english": 70}
@@ -114,12 +115,24 @@ def two_pass_registry(names: DataFrame, registry: DataFrame, ident: str, name: s
 
 
 def same_day_matches(events: DataFrame, ident: str, source: str, day: str, title: str, least: float = 0.65) -> DataFrame:
-    """a, b, score: for each event the most alike title of other sources on the same day."""
-    rows = events.select(F.col(ident).alias("id"), F.col(source).alias("source"), F.col(day).alias("day"), F.array_distinct(F.split(plain_name(F.col(title)), " ")).alias("tokens"))
-    x, y = rows.alias("x"), rows.alias("y")
+    """a, b, score: for each event the most alike title of other sources on the same day.
+
+    Events with the same day, source and tokens are one title, with the least of their ids. Titles meet if they
+    share one of their rarest tokens (as many as must hold one that both have, at `least`), not for being of a day.
+    """
+    rows = events.select(F.col(ident).alias("id"), F.col(source).alias("source"), F.col(day).alias("day"), F.array_sort(F.array_distinct(F.split(plain_name(F.col(title)), " "))).alias("tokens"))
+    titles = written(rows.groupBy("day", "source", "tokens").agg(F.min("id").alias("id")), "titles")
+    often = titles.select("day", F.explode("tokens").alias("token")).groupBy("day", "token").agg(F.count(F.lit(1)).alias("n"))
+    ranked = titles.select("id", "day", F.explode("tokens").alias("token")).join(often, ["day", "token"]).groupBy("id", "day").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("rare"))
+    own = titles.join(ranked, ["id", "day"])
+    keep = F.size("rare") - F.ceil(F.size("rare") * least - 1e-9).cast("int") + 1
+    own = own.withColumn("token", F.explode(F.slice(F.col("rare")["token"], F.lit(1), keep))).drop("rare")
+    x, y = own.alias("x"), own.alias("y")
     score = F.round(jaccard(F.col("x.tokens"), F.col("y.tokens"), 1.0), 6)
-    pairs = x.join(y, (F.col("x.day") == F.col("y.day")) & (F.col("x.source") != F.col("y.source"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), score.alias("score")).filter(F.col("score") >= least)
-    return pairs.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("m")).select("a", "m.b", (-F.col("m.s")).alias("score"))
+    pairs = x.join(y, (F.col("x.day") == F.col("y.day")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.source") != F.col("y.source")))
+    best = pairs.select(F.struct("x.day", "x.source", "x.tokens").alias("t"), F.col("y.id").alias("b"), score.alias("score")).filter(F.col("score") >= least)
+    best = best.groupBy("t").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("m")).select("t.*", "m")
+    return rows.join(best, ["day", "source", "tokens"]).select(F.col("id").alias("a"), "m.b", (-F.col("m.s")).alias("score"))
 
 
 def within_span(events: DataFrame, spans: DataFrame, person: str, day: str, first: str, last: str) -> DataFrame:

@@ -63,35 +63,41 @@ def _cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
 
 
-def _around(points: DataFrame, lon: str, lat: str, size: float, ring: int = 1) -> DataFrame:
-    """Each point once for every cell within `ring` cells of its own."""
-    steps = [F.lit(k) for k in range(-ring, ring + 1)]
-    grown = points.withColumn("_dx", F.explode(F.array(*steps))).withColumn("_dy", F.explode(F.array(*steps)))
-    return grown.withColumn("_cx", _cell(F.col(lon), size) + F.col("_dx")).withColumn("_cy", _cell(F.col(lat), size) + F.col("_dy")).drop("_dx", "_dy")
+def _columns(band: Column, step: float, metres: float) -> Column:
+    """Into how many cells a band of latitude is cut, so that points at most `metres` apart that are in or next to it lie in
+    the same cell or in neighbours; near the poles there is one."""
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(band), F.abs(band + 1)) * step + step)
+    half = math.sin(min(metres / (2 * EARTH_M), math.pi / 2))
+    wide = F.degrees(2 * F.asin(F.least(F.lit(1.0), half / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12)))))
+    return F.greatest(F.floor(360 / F.greatest(wide * (1 + 1e-9), F.lit(1e-9))), F.lit(1)).cast("long")
 
 
-def _degrees(metres: float, north: float) -> float:
-    """A cell size in degrees that is at least so many metres in both directions up to a latitude."""
-    return math.degrees(metres / EARTH_M / math.cos(math.radians(min(north, 89.0))))
+def _column(lon: Column, n: Column) -> Column:
+    return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n).cast("long"), n - 1)
 
 
-def within(left: DataFrame, right: DataFrame, metres: float, north: float = 60.0, inner: float = -1.0) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, metres: float, inner: float = -1.0) -> DataFrame:
     """Pairs of rows (each with lon, lat) at most `metres` apart and more than `inner`: an equi-join on cells, then the distance.
 
-    Both sides need other column names except lon and lat, which the result has as lon, lat (of the left) and distance_m.
+    Cells are bands of latitude, each cut into as many cells as fit around the earth there, so the poles and the 180th
+    meridian are no edges. Both sides need other column names except lon and lat, which the result has as lon, lat (of the
+    left) and distance_m.
     """
-    size = _degrees(metres, north)
-    near = _around(left, "lon", "lat", size)
-    own = right.withColumn("_cx", _cell(F.col("lon"), size)).withColumn("_cy", _cell(F.col("lat"), size)).withColumnRenamed("lon", "_lon").withColumnRenamed("lat", "_lat")
-    pairs = near.join(own, ["_cx", "_cy"]).withColumn("distance_m", distance_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")))
+    step = min(math.degrees(metres / EARTH_M) * (1 + 1e-9), 180.0) or 1e-9
+    grown = left.withColumn("_cy", F.explode(F.array(*(_cell(F.col("lat"), step) + k for k in (-1, 0, 1)))))
+    n = _columns(F.col("_cy"), step, metres)
+    grown = grown.withColumn("_cx", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(_column(F.col("lon"), n) + k, n)))))
+    own = right.withColumn("_cy", _cell(F.col("lat"), step))
+    own = own.withColumn("_cx", _column(F.col("lon"), _columns(F.col("_cy"), step, metres))).withColumnRenamed("lon", "_lon").withColumnRenamed("lat", "_lat")
+    pairs = grown.join(own, ["_cx", "_cy"]).withColumn("distance_m", distance_m(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")))
     return pairs.filter((F.col("distance_m") <= metres) & (F.col("distance_m") > inner)).drop("_cx", "_cy", "_lon", "_lat")
 
 
-def nearest(left: DataFrame, key: str, right: DataFrame, target: str, metres: float, north: float = 60.0, most: float = 1_000_000.0) -> DataFrame:
-    """The nearest row of `right` within `most` metres for each of `left`: cells of growing size, rows without a hit go on to the next."""
+def nearest(left: DataFrame, key: str, right: DataFrame, target: str, metres: float, most: float = math.pi * EARTH_M) -> DataFrame:
+    """The nearest row of `right` for each of `left`, within `most` metres where that is asked: cells of growing size, rows without a hit go on to the next."""
     rest, found = left, None
     while True:
-        best = written(within(rest, right, metres, north).groupBy(key).agg(F.min(F.struct("distance_m", target)).alias("_b")).select(key, f"_b.{target}", "_b.distance_m"), "nearest")
+        best = written(within(rest, right, metres).groupBy(key).agg(F.min(F.struct("distance_m", target)).alias("_b")).select(key, f"_b.{target}", "_b.distance_m"), "nearest")
         found = best if found is None else found.unionByName(best)
         rest = written(rest.join(best.select(key), key, "left_anti"), "rest")
         if metres >= most or not rest.limit(1).count():

@@ -68,8 +68,8 @@ def suggest_order(spark, sf):
 
 @query(
     "federated_search",
-    """SELECT * FROM (SELECT 'part' AS source, CAST(p_partkey AS VARCHAR) AS id, p_name AS title FROM part WHERE contains(lower(p_name || ' ' || p_type), 'steel') ORDER BY 2 LIMIT 5)
-       UNION ALL SELECT * FROM (SELECT 'customer', CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'steel') ORDER BY 2 LIMIT 5)""",
+    """SELECT * FROM (SELECT 'part' AS source, CAST(p_partkey AS VARCHAR) AS id, p_name AS title FROM part WHERE contains(lower(p_name || ' ' || p_type), 'red') ORDER BY 2 LIMIT 5)
+       UNION ALL SELECT * FROM (SELECT 'customer', CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'red') ORDER BY 2 LIMIT 5)""",
 )
 def federated_search(spark, sf):
     part, customer = load(spark, sf, "part"), load(spark, sf, "customer")
@@ -77,7 +77,7 @@ def federated_search(spark, sf):
         "part": (part, {"id": F.col("p_partkey"), "title": F.col("p_name"), "body": F.col("p_type")}),
         "customer": (customer, {"id": F.col("c_custkey"), "title": F.col("c_name"), "body": F.col("c_mktsegment")}),
     }
-    return S.federated(sources, "STEEL", 5).select("source", "id", "title")
+    return S.federated(sources, "RED", 5).select("source", "id", "title")
 
 
 @query("facet_distincts", "SELECT DISTINCT unnest(string_split(p_type, ' ')) AS element FROM part")

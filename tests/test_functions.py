@@ -47,7 +47,10 @@ def similar(spark, a, b, organisation=False):
 def test_similarity(spark):
     assert similar(spark, "Cohen David", "David  Cohen") == 0.97
     assert similar(spark, "Anna Levi", "Zoe Brown") < 0.85
-    assert similar(spark, "Acme Trading Ltd", "Acme", True) >= 0.88
+    assert similar(spark, "Acme Trading Company of Ghent", "Acme", True) < 0.85  # one token inside another name tells little
+    assert similar(spark, "Acme Trading Ghent", "Acme Trading", True) == 0.88
+    assert round(similar(spark, "Acme Trading Ghent Port", "Acme Trading Ghent", True), 6) == 0.8875
+    assert similar(spark, "a1 b1 c1 d1 e1", "a1 b1", True) < 0.85
     assert similar(spark, "same", "SAME") == 1.0
     assert of(spark, lambda c: T.block_key(T.name_tokens(c)), "bob alexander", "") == ["al", None]
 

@@ -1,5 +1,7 @@
 """Operators whose results SQL doesn't show: guards, compilers, components, files and streams."""
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -14,12 +16,13 @@ from silthouse.operators import console as C
 from silthouse.operators import graph as G
 from silthouse.operators import merge as M
 from silthouse.operators import profile as P
+from silthouse.operators import records as RC
+from silthouse.operators import resolve as RS
 from silthouse.operators import search as S
 from silthouse.operators import semantic as Q
 from silthouse.operators import spatial as X
 from silthouse.plans import registry
 from silthouse.plans.analysis import MODEL
-from silthouse.plans.entities import _heads
 from silthouse.sources import readers as R
 from silthouse.sources import writers as W
 from silthouse.streaming import ingest as N
@@ -39,6 +42,15 @@ def test_console_runs_queries_only(spark, nation):
     for bad in ("drop table nation", "select 1; select 2", "insert into nation values (1)", "create table t (a int)", "set a = b", "explain select 1", "select * from other", "update nation set n_name = ''", "select reflect('java.lang.System', 'getenv', 'HOME')"):
         with pytest.raises(C.Refused):
             C.run(spark, bad, {"nation"})
+    for bad in (
+        "create database d", "execute immediate 'drop view nation'", "begin drop view nation; end", "cache table nation", "show tables", "describe nation", "with x as (select * from other) select * from x",
+        "with x as (select 1 a) select * from nation where n_nationkey in (select k from other)", "select (select max(k) from other)", "select * from nation where exists (select 1 from other)", "select * from parquet.`/etc/x`",
+        "with nation2 as (select * from nation2) select * from nation2", "select * from nation union select * from other", "select * from nation n join lateral (select * from other) o", "select upper(reflect('a', 'b'))", "values (1), ((select k from other))",
+    ):
+        with pytest.raises(C.Refused):
+            C.run(spark, bad, {"nation"})
+    for good in ("with x as (select * from nation), y as (select n_name from x) select count(*) from y where n_name in (select n_name from x)", "select n_regionkey, count(*) c from nation group by 1 having count(*) > 1 order by 2 limit 3 offset 1", "select * from nation n left join (values (1, 'a')) v(k, t) on n_nationkey = k", "select explode(array(1, 2))", "select n_name, row_number() over (partition by n_regionkey order by n_name) from nation"):
+        C.run(spark, good, {"nation"})
     with pytest.raises(C.Refused, match="Did you mean n_name"):
         C.run(spark, "select n_nam from nation", {"nation"})
     assert len(C.register(spark)) == 4
@@ -104,11 +116,11 @@ def alike(a, b):
         return 0.97
     p, q = " ".join(x), " ".join(y)
     both = set(x) & set(y)
-    return min(1.0, 0.6 * (1 - edits(p, q) / max(len(p), len(q))) + 0.4 * len(both) / len(set(x) | set(y)) + (0.08 if len(both) >= 2 else 0))
+    return min(1.0, 0.6 * (1 - edits(p, q) / max(len(p), len(q))) + 0.4 * len(both) / len(set(x) | set(y)))
 
 
 def test_duplicate_clusters_match_union_find(spark, sf):
-    heads = {r.doc_id: r["head"] for r in _heads(spark, sf).collect()}
+    heads = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
     of = {i: i for i in heads if tokens(heads[i])}
 
     def root(i):
@@ -116,7 +128,7 @@ def test_duplicate_clusters_match_union_find(spark, sf):
             i = of[i]
         return i
 
-    block = lambda n: (re.sub("[^0-9a-zא-ת]+", "", n.lower())[:12], max(tokens(n), key=len)[:2])
+    block = lambda n: max(tokens(n), key=len)[:2]
     for a in of:
         for b in of:
             if a < b and block(heads[a]) == block(heads[b]) and alike(heads[a], heads[b]) >= 0.85:
@@ -128,12 +140,13 @@ def test_duplicate_clusters_match_union_find(spark, sf):
 
 
 def test_registry_fuzzy_matches_plain_likeness(spark, sf):
-    part = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    rows = spark.read.parquet(f"{sf}/part.parquet").collect()
+    part = {r.p_partkey: r.p_name for r in rows}
     known: dict = {}
-    for k in sorted(k for k in part if k % 10 == 1):
-        known.setdefault(plain(part[k]), k)
+    for r in sorted(rows, key=lambda r: r.p_partkey):
+        known.setdefault(plain(f"{r.p_name} {r.p_type}"), r.p_partkey)
     want = set()
-    for k in (k for k in part if k % 10 == 0):
+    for k in part:
         own = plain(part[k])
         if own in known:
             want.add((k, known[own], 1.0, "exact"))
@@ -156,6 +169,53 @@ def test_search_terms():
     assert (terms.wanted, terms.excluded, terms.any) == (["big house", "red", "green"], ["blue"], True)
 
 
+def plain_distance(a, b):
+    (x, y), (u, v) = [(math.radians(p), math.radians(q)) for p, q in (a, b)]
+    return 2 * 6371008.8 * math.asin(min(1, math.sqrt(math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2)))
+
+
+def test_distances_everywhere(spark):
+    """Across the 180th meridian, at the poles and anywhere else, for small and huge radii; no row is without its nearest."""
+    rng = random.Random(4)
+    a = [(179.99, 10), (-179.99, 10), (0, 90), (120, 89.99), (-60, -89.95), (120, -90), (10, 75), (10.34, 75)] + [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(40)]
+    b = [(-179.995, 10.001), (77, 89.98), (10.3, 75.01), (180, 0), (-180, 0)] + [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(40)]
+    left = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)], "a int, lon double, lat double")
+    right = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(b)], "b int, lon double, lat double")
+    for metres in (3000.0, 400_000.0, 5_000_000.0, 15_000_000.0):
+        got = {(r.a, r.b) for r in X.within(left, right, metres).collect()}
+        assert got == {(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if plain_distance(p, q) <= metres}
+    got = {r.a: r.distance_m for r in X.nearest(left, "a", right, "b", 5000.0).collect()}
+    assert len(got) == len(a) and all(abs(got[i] - min(plain_distance(p, q) for q in b)) < 1e-3 for i, p in enumerate(a))
+
+
+def test_names_of_any_length(spark):
+    events = spark.createDataFrame([(1, "the Ministry of Very Long Names met Ann"), (2, "Ministry of Very"), (3, None)], "id int, text string")
+    names = spark.createDataFrame([("ministry of very long names",), ("Ann",), ("Bo",)], "name string")
+    got = {(r.id, r.name) for r in RC.mentions(events, "id", F.col("text"), names, "name").collect()}
+    assert got == {(1, "ministry of very long names"), (1, "Ann")}
+
+
+def test_titles_of_a_day_against_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("xyz"), f"d{rng.randrange(4)}", " ".join(rng.choice("ab cd ef gh ij".split()) for _ in range(rng.randrange(0, 5)))) for i in range(120)]
+    events = spark.createDataFrame(rows, "id int, source string, day string, title string")
+    for least in (0.5, 0.65, 1.0):
+        want = {}
+        for i, s, d, t in rows:
+            x = set(t.split()) or {""}
+            best = sorted((-round(len(x & y) / len(x | y), 6), j) for j, r, e, u in rows if e == d and r != s for y in [set(u.split()) or {""}] if round(len(x & y) / len(x | y), 6) >= least)
+            if best:
+                want[i] = (best[0][1], -best[0][0])
+        assert {r.a: (r.b, r.score) for r in RS.same_day_matches(events, "id", "source", "day", "title", least).collect()} == want
+
+
+def test_names_say_what_columns_hold():
+    flags = lambda *c: {k for k, v in P.name_flags(list(c)).items() if v}
+    assert flags("electricity_use", "translation_id", "lifetime_value", "plateau", "officer") == set()
+    assert flags("City") == {"has_locality"} and flags("the_geom") == flags("start_lat") == flags("shape_WKT") == {"has_geometry"}
+    assert flags("dt_open") == flags("birth_year") == {"has_date"} and flags("home_office") == {"has_ministry"} and flags("capacity_city") == set()
+
+
 def test_places(spark):
     assert X.coordinate_columns(["id", "Lat", "LON"]) == ("LON", "Lat")
     assert X.parse_wkt("POLYGON((0 0, 1 0))") and X.parse_wkt("nonsense") is None and X.parse_wkt(None) is None
