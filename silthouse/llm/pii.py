@@ -15,8 +15,8 @@ prove nothing. Words are counted by a 64-bit hash.
 DataFrame functions only. Document frequencies are partial sums before the shuffle; the pairs of
 an entity are never gathered, only counted. Entities that occur in the same texts tell the same of a word, and words of
 the same texts and frequency are told the same, so that pairs are made of such classes (known by 128 bits of
-hash over their texts), not of all entities and words of a text. Terms are found by a join of tokens with
-the disclosing words.
+hash over their texts), not of all entities and words of a text. Terms are found by a join of each text's
+words with the disclosing ones; their places are looked up in the text's own row.
 
 Nulls and edges: a null text is empty and has no spans; repeated rows are judged alike and count
 as documents; null ids are kept. Terms shorter than MIN_LETTERS are no terms, and a term inside a
@@ -172,13 +172,12 @@ def disclosing(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFram
 def _terms(docs: DataFrame, told: DataFrame, text: str) -> DataFrame:
     """_t1, _t2, terms (struct start, stop, ratio; by place) of each text with disclosing words."""
     named = _named(docs.select(F.col(f"`{text}`").alias("_body")), "_body")
-    hit = named.select("_t1", "_t2", F.explode(_words(F.col("_text"))).alias("word")).join(told, "word", "left_semi").select("_t1", "_t2").distinct()
-    hit = common.written(hit, "disclosed")
-    texts = named.join(hit, ["_t1", "_t2"]).groupBy("_t1", "_t2").agg(F.first("_text").alias("_text"))
+    hit = named.select("_t1", "_t2", F.explode(_words(F.col("_text"))).alias("word")).join(told, "word").groupBy("_t1", "_t2", "word").agg(F.first("ratio").alias("ratio"))
+    hit = common.written(hit.groupBy("_t1", "_t2").agg(F.map_from_entries(F.collect_list(F.struct("word", "ratio"))).alias("_told")), "disclosed")
+    texts = named.join(hit, ["_t1", "_t2"]).groupBy("_t1", "_t2").agg(F.first("_text").alias("_text"), F.first("_told").alias("_told"))
     texts = texts.withColumn("_all", F.regexp_extract_all("_text", F.lit(_WORD), F.lit(0)))
-    token = F.zip_with("_all", _ends(F.col("_text"), _WORD, F.col("_all")), lambda w, e: F.struct(F.xxhash64(F.lower(w)).alias("word"), F.length(F.lower(w)).alias("n"), (e - F.length(w)).alias("start"), e.alias("stop")))
-    each = texts.select("_t1", "_t2", F.explode(token).alias("x")).filter(F.col("x.n") >= MIN_LETTERS).select("_t1", "_t2", "x.word", "x.start", "x.stop")
-    return each.join(told, "word").groupBy("_t1", "_t2").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "ratio"))).alias("terms"))
+    token = F.zip_with("_all", _ends(F.col("_text"), _WORD, F.col("_all")), lambda w, e: F.struct((e - F.length(w)).alias("start"), e.alias("stop"), F.try_element_at("_told", F.xxhash64(F.lower(w))).alias("ratio")))
+    return texts.select("_t1", "_t2", F.filter(token, lambda t: t["ratio"].isNotNull()).alias("terms"))
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
