@@ -8,7 +8,7 @@ Each packet is a byte range of the file, so no frame is copied to list them.
 Files are columns of a table in the shared folder; a task writes or reads its own rows in slices
 of a few MB, and a longer single file is a slice of its own. Nothing is shuffled.
 
-Nulls and edges: a null text is empty and becomes one frame of padding; a null file has no
+Nulls and edges: a null text is empty and becomes one frame of padding; a null file is an empty one and has no
 packets; ids may repeat or be null; a file that breaks off or has a length that leads outside
 it raises ValueError. Other columns are not looked at.
 """
@@ -259,7 +259,7 @@ def digests(files: DataFrame, key: str = "doc_id", column: str = "media") -> Dat
     def read(batches):
         for batch in _files(batches, column):
             rows = []
-            for data in batch.column(column).to_pylist():
+            for data in (x or b"" for x in batch.column(column).to_pylist()):
                 payload, feature = describe(data)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             size, sha, tail, total, whole, feature = zip(*rows, strict=True)

@@ -62,3 +62,9 @@ def test_unknown_sizes_groups_and_voids():
     for broken in (data[:-1], data + b"\xa3", M.element(M.SIMPLE_BLOCK, M.block(1, 0, [b"abc", b"de"], M.FIXED))):
         with pytest.raises(ValueError):
             M.parse(broken)
+
+
+def test_null_files(spark):
+    files = spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")
+    r = M.digests(files).collect()[0]
+    assert (r.payload_bytes, r.media_bytes, r.tail_crc32) == (0, 0, 0) and M.packets(files).count() == M.cues(files).count() == 0
