@@ -17,6 +17,8 @@ QUERY_NODES = frozenset(
     Offset OneRowRelation Pivot Project Range Sort SubqueryAlias UnresolvedHaving Union UnresolvedInlineTable UnresolvedPivot UnresolvedRelation
     UnresolvedSubqueryColumnAliases UnresolvedUnpivot UnresolvedWith Unpivot WithCTE WithWindowDefinition""".split()
 )
+#: Table functions that a query may name; those of this module are added to them.
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode inline stack sh_places_near sh_parcels".split())
 SUBQUERIES = frozenset("ScalarSubquery Exists ListQuery LateralSubquery FunctionTableSubqueryArgumentExpression".split())
 #: Functions that call into the machine, read files or change the session.
 FORBIDDEN = frozenset("java_method reflect try_reflect read_files input_file_name set_config raise_error".split())
@@ -33,7 +35,11 @@ def _parts(found) -> list:
 def _walk(plan, known: frozenset[str], seen: set[str]) -> None:
     """Refuses any node that isn't a query's, in the plan, its named queries and the subqueries of its expressions; adds the tables it reads."""
     kind = plan.getClass().getSimpleName().rstrip("$")
-    if kind not in QUERY_NODES:
+    if kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases"):
+        names = _parts(plan.name())
+        if len(names) > 1 or names[0].lower() not in TABLE_FUNCTIONS:
+            raise Refused(f"no table function {'.'.join(names)}")
+    elif kind not in QUERY_NODES:
         raise Refused("only queries are allowed")
     if kind == "UnresolvedRelation":
         name = _parts(plan.multipartIdentifier())
@@ -105,3 +111,28 @@ def register(spark: SparkSession) -> list[str]:
     for signature, (kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")
     return list(FUNCTIONS)
+
+
+#: Table functions over the views `places` (id, lon, lat) and `parcels` (parcel_key, block, parcel).
+TABLES = {
+    "sh_places_near(x DOUBLE, y DOUBLE, metres DOUBLE)": (
+        "places",
+        "id STRING, lon DOUBLE, lat DOUBLE, distance_m DOUBLE",
+        "SELECT * FROM (SELECT CAST(id AS STRING), lon, lat, sh_distance_m(lon, lat, x, y) AS distance_m FROM places WHERE lat BETWEEN y - metres / 111000 AND y + metres / 111000) WHERE distance_m <= metres",
+    ),
+    "sh_parcels(b BIGINT, p BIGINT)": ("parcels", "parcel_key STRING, block BIGINT, parcel BIGINT", "SELECT parcel_key, block, parcel FROM parcels WHERE block = b AND parcel = p"),
+}
+
+
+def register_tables(spark: SparkSession) -> list[str]:
+    """Creates the scalar helpers and the table functions whose view the session has; the signatures of the latter.
+
+    They are SQL, so that their filters reach the view's scan. A query may call them without being allowed the view.
+    """
+    register(spark)
+    made = []
+    for signature, (view, columns, body) in TABLES.items():
+        if spark.catalog.tableExists(view):
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS TABLE ({columns}) RETURN {body}")
+            made.append(signature)
+    return made

@@ -105,3 +105,41 @@ def clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     star = components(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")))
     rows = star.select(F.col("u").alias("id"), F.col("v").alias("cluster")).unionByName(star.select(F.col("v").alias("id"), F.col("v").alias("cluster")).distinct())
     return rows.join(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster").select("id", "cluster", "size")
+
+
+def hydrated(edges: DataFrame, kinds: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """Edges with src_kind, src_name, dst_kind, dst_name from the tables of their ends. kinds: kind to table, id and name; ids are unique over all kinds."""
+    nodes = None
+    for kind, (df, ident, name) in kinds.items():
+        own = df.select(F.col(ident).alias("id"), F.lit(kind).alias("kind"), F.col(name).alias("name"))
+        nodes = own if nodes is None else nodes.unionByName(own)
+    out = edges
+    for s in ("src", "dst"):
+        out = out.join(nodes.select(F.col("id").alias(s), F.col("kind").alias(f"{s}_kind"), F.col("name").alias(f"{s}_name")), s, "left")
+    return out
+
+
+def registered(entities: DataFrame, number: str | None = None, name: str | None = None, most: int = 5) -> DataFrame:
+    """Entities (id, number, name) with a registration number, else the first `most` whose name has a text."""
+    if number is not None:
+        return entities.filter(F.col("number") == number)
+    return entities.filter(F.contains(F.lower("name"), F.lit((name or "").lower()))).orderBy("id").limit(most)
+
+
+def around(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges at some entities (id), with the entity as `anchor`; an edge between two of them stands for both."""
+    own = found.select(F.col("id").alias("anchor")).distinct()
+    out = edges.join(own, edges.src == own.anchor)
+    back = edges.filter("src <> dst").join(own, F.col("dst") == F.col("anchor"))
+    return out.unionByName(back)
+
+
+def document_subgraph(edges: DataFrame, document, column: str = "document") -> tuple[DataFrame, DataFrame]:
+    """Nodes (id) and distinct edges of one document."""
+    own = edges.filter(F.col(column) == F.lit(document)).select("src", "dst").distinct()
+    return nodes_of(own), own
+
+
+def entity_documents(edges: DataFrame, entity, column: str = "document") -> DataFrame:
+    """The documents whose edges touch an entity."""
+    return neighbourhood(edges, entity).select(column).distinct()

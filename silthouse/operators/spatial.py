@@ -217,3 +217,33 @@ def simplify(wkt: Column, tolerance: float) -> Column:
         return pd.Series(out, dtype="object")
 
     return run(wkt)
+
+
+def point_wkt(lon: Column, lat: Column, digits: int = 6) -> Column:
+    """POINT text of a place, null where a part is."""
+    return F.when(lon.isNotNull() & lat.isNotNull(), F.format_string(f"POINT(%.{digits}f %.{digits}f)", lon.cast("double"), lat.cast("double")))
+
+
+def z_order(lon: Column, lat: Column, bits: int = 15) -> Column:
+    """A number whose bits are those of the cells of lon and lat in turn, lon first: near places mostly have near numbers.
+
+    As many bits for each, null where a part is; sort or range-partition by it to keep places together.
+    """
+    top = (1 << bits) - 1
+    x = F.greatest(F.lit(0), F.least(F.lit(top), F.floor((lon + 180) / 360 * (1 << bits)))).cast("long")
+    y = F.greatest(F.lit(0), F.least(F.lit(top), F.floor((lat + 90) / 180 * (1 << bits)))).cast("long")
+    bit = lambda v, k: F.shiftright(v, k).bitwiseAND(F.lit(1))
+    mixed = sum((F.shiftleft(bit(x, k), 2 * k + 1) + F.shiftleft(bit(y, k), 2 * k) for k in range(bits)), F.lit(0).cast("long"))
+    return F.when(lon.isNotNull() & lat.isNotNull(), mixed)
+
+
+def geohash(lon: Column, lat: Column) -> Column:
+    """The six characters of a place's geohash."""
+    z, digits = z_order(lon, lat, 15), F.lit("0123456789bcdefghjkmnpqrstuvwxyz")
+    return F.concat(*(F.substring(digits, (F.shiftright(z, 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in range(5, -1, -1)))
+
+
+def points_per_polygon(points: DataFrame, polygons: DataFrame, key: str, wkt: str = "wkt", size: float = 0.01) -> DataFrame:
+    """key, points of every polygon, 0 where it has none."""
+    found = point_in_polygon(points, polygons, wkt, size).groupBy(key).agg(F.count(F.lit(1)).alias("points"))
+    return polygons.select(key).join(found, key, "left").fillna(0, ["points"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silthouse.operators.merge import insert_if_absent
+
 
 def _fs(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -62,3 +64,17 @@ def version_record(old: DataFrame | None, summary: DataFrame, dataset: str, numb
     counts = [F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "modified")]
     row = summary.agg(*counts).select(F.lit(dataset).alias("dataset"), F.lit(number).alias("version"), F.to_json(F.struct("added", "removed", "modified")).alias("change_summary"))
     return row if old is None else old.unionByName(row)
+
+
+def dual_write(batch: DataFrame, rows_root: str, version_root: str, number: int, key: list[str] | None = None) -> int:
+    """Writes a batch twice: whole as version `number` in CSV, and the rows that the archive lacks below `rows_root`; the count of the latter.
+
+    For foreachBatch: both writes replace what an earlier try of the same number left, so a repeated batch changes nothing.
+    """
+    spark = batch.sparkSession
+    batch.write.mode("overwrite").option("header", True).csv(f"{version_root}/v={number}")
+    older = [n for n in versions(spark, rows_root) if n != number]
+    old = spark.read.parquet(*(f"{rows_root}/v={n}" for n in older)) if older else batch.limit(0)
+    fresh = insert_if_absent(old, batch, key)
+    fresh.write.mode("overwrite").parquet(f"{rows_root}/v={number}")
+    return spark.read.parquet(f"{rows_root}/v={number}").count()
