@@ -10,15 +10,31 @@ from silthouse.operators.graph import clusters
 from silthouse.storage import written
 
 #: Weights of a place's aliases.
-PLACE_WEIGHTS = {"official": 100, "no_paren": 90, "english": 70}
+PLACE_WEIGHTS = {"official": 100, "no_paren": 90, "english": 70, "translit": 70, "admin_prefix": 55, "prefix": 50}
+#: What stands before a Hebrew place name, a preposition or its kind of authority, both in normal form.
+PREFIXES = ("ה", "ו", "ב", "ל", "מ", "כ", "ש", "וה", "ול", "וב", "ומ", "וכ", "כש", "מה", "שב", "של", "שה", "לכ")
+ADMIN_PREFIXES = ("עיריית", "עירית", "מועצהמקומית", "מועצהאזורית", "מא", "ממ", "מועצה")
 #: Weights of a street's aliases.
 STREET_WEIGHTS = {"official": 100, "no_paren": 90, "no_type": 85, "no_article": 70, "token_set": 60, "last_token": 40}
 
 
-def place_aliases(places: DataFrame, code: str, name: str, english: str | None = None) -> DataFrame:
-    """variant, code, surface, kind, weight: the spellings under which a place is known."""
-    kinds = [("official", F.col(name)), ("no_paren", no_parens(F.col(name)))] + ([("english", F.col(english))] if english else [])
-    rows = F.array(*(F.struct(norm(c).alias("variant"), c.alias("surface"), F.lit(k).alias("kind"), F.lit(PLACE_WEIGHTS[k]).alias("weight")) for k, c in kinds))
+def place_aliases(places: DataFrame, code: str, name: str, english: str | None = None, translit: str | None = None) -> DataFrame:
+    """variant, code, surface, kind, weight: the spellings under which a place is known.
+
+    Hebrew names also stand behind prepositions and kinds of authorities. Empty and null names have no variants.
+    """
+
+    def alias(variant: Column, surface: Column, kind: str) -> Column:
+        return F.struct(variant.alias("variant"), surface.alias("surface"), F.lit(kind).alias("kind"), F.lit(PLACE_WEIGHTS[kind]).alias("weight"))
+
+    def behind(c: Column) -> Column:
+        near = F.transform(F.array(*map(F.lit, PREFIXES)), lambda p: alias(F.concat(p, norm(c)), F.concat(p, c), "prefix"))
+        office = F.transform(F.array(*map(F.lit, ADMIN_PREFIXES)), lambda p: alias(F.concat(p, norm(c)), c, "admin_prefix"))
+        return F.filter(F.concat(near, office), lambda x: norm(c).rlike("[א-ת]"))
+
+    own = [("official", F.trim(F.col(name))), ("no_paren", no_parens(F.col(name)))]
+    latin = [(k, F.trim(F.col(c))) for k, c in (("english", english), ("translit", translit)) if c]
+    rows = F.concat(F.array(*(alias(norm(c), c, k) for k, c in own + latin)), *(behind(c) for _, c in own))
     return best_alias(places.select(F.col(code).alias("code"), F.explode(rows).alias("a")).select("a.variant", "code", "a.surface", "a.kind", "a.weight"), ["variant", "code"])
 
 
@@ -47,10 +63,17 @@ def unambiguous(aliases: DataFrame, scope: list[str], target: str) -> DataFrame:
 
 
 def spelling_swaps(aliases: DataFrame, a: str = "ת", b: str = "ט", weight: int = 30) -> DataFrame:
-    """variant, code, weight with one letter taken for another once; real and ambiguous variants are left out."""
-    chars = F.sequence(F.lit(1), F.length("variant"))
-    swap = F.transform(chars, lambda i: F.concat(F.substring("variant", F.lit(1), i - 1), F.translate(F.substring("variant", i, F.lit(1)), a + b, b + a), F.substring("variant", i + 1, F.length("variant"))))
-    made = aliases.select("code", "variant", F.explode(F.array_distinct(swap)).alias("_new")).filter("_new <> variant").select(F.col("_new").alias("variant"), "code").distinct()
+    """variant, code, weight with one letter taken for another once or twice; real and ambiguous variants are left out."""
+
+    def swapped(text: Column, at: Column) -> Column:
+        letter = F.translate(F.substring(text, at, F.lit(1)), a + b, b + a)
+        return F.concat(F.substring(text, F.lit(1), at - 1), letter, F.substring(text, at + 1, F.length(text)))
+
+    variant = F.col("variant")
+    at = F.filter(F.sequence(F.lit(1), F.length(variant)), lambda i: F.substring(variant, i, F.lit(1)).isin(a, b))
+    once = F.transform("_at", lambda i: swapped(variant, i))
+    twice = F.flatten(F.transform("_at", lambda i: F.transform(F.filter("_at", lambda j: j > i), lambda j: swapped(swapped(variant, i), j))))
+    made = aliases.filter("variant <> ''").withColumn("_at", at).select("code", F.explode(F.array_distinct(F.concat(once, twice))).alias("variant")).distinct()
     single = made.groupBy("variant").agg(F.min("code").alias("code"), F.countDistinct("code").alias("_n")).filter("_n = 1").drop("_n")
     return single.join(aliases.select("variant").distinct(), "variant", "left_anti").withColumn("weight", F.lit(weight))
 

@@ -53,16 +53,38 @@ def delimiter_of(text: str) -> str:
     return max((",", ";", "\t", "|"), key=lambda d: (line.count(d), d == ","))
 
 
+def _undefined(name: str) -> list[str]:
+    """The bytes, in hex, that an 8-bit encoding has no character for."""
+    return [f"{k:02X}" for k in range(256) if not bytes([k]).decode(name, errors="ignore")]
+
+
+def csv_facts(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The first encoding of the ladder that every line of a file can be read in, and whether a quoted newline may occur.
+
+    One pass over all lines, as bytes. A line break inside quotes leaves an odd number of quotes on its line.
+    """
+    lines = spark.read.text(path)
+    digits = F.hex(F.col("value").cast("binary"))
+    gaps = {n: _undefined(n) for n in ("windows-1255", "iso-8859-8")}
+    broken = [F.bool_or(digits.rlike(f"^(?:..)*?(?:{'|'.join(g)})")).alias(n) for n, g in gaps.items()]
+    quotes = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    facts = lines.agg(F.bool_or(~F.is_valid_utf8("value")).alias("utf-8"), *broken, F.bool_or(quotes % 2 == 1).alias("odd")).first()
+    name = next((n for n in ("utf-8", *gaps) if not facts[n]), "latin-1")
+    return name, bool(facts["odd"])
+
+
 def csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """A CSV file as texts: encoding and separator from its prefix, short rows padded, long ones cut, clean headers."""
-    data = prefix(spark, path)
-    name = encoding_of(data)
+    """A CSV file as texts: the encoding by all its bytes, the separator by its first line, short rows padded, long ones cut, clean headers.
+
+    It is split over tasks unless a quoted newline may occur.
+    """
+    name, whole = csv_facts(spark, path)
     if name in ("windows-1255", "iso-8859-8"):  # Spark reads these only with Java's character sets
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    text = data.decode(name, errors="ignore").lstrip("\ufeff")
+    text = prefix(spark, path).decode(name, errors="ignore").lstrip("\ufeff")
     sep = delimiter_of(text)
-    rows = spark.read.option("encoding", _SPARK_NAMES[name]).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").option("header", header).csv(path)
-    # Spark renames repeated headers, so the names come from the prefix
+    rows = spark.read.option("encoding", _SPARK_NAMES[name]).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", whole).option("mode", "PERMISSIVE").option("header", header).csv(path)
+    # Spark renames repeated headers, so the names come from the first line
     names = next(reader(io.StringIO(text), delimiter=sep), []) if header else []
     return rows.toDF(*clean_headers((names + [""] * len(rows.columns))[: len(rows.columns)]))
 

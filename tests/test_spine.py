@@ -125,3 +125,30 @@ def test_lookup_with_neighbours(spark):
     assert {tuple(r) for r in by_number.collect()} == {("c1", "p2", "c1"), ("p1", "c1", "c1"), ("c1", "c1", "c1")}
     assert [r.id for r in graph.registered(entities, name="acme").collect()] == ["c1", "p1"]
     assert graph.around(edges, entities.limit(0)).count() == 0
+
+
+def test_csv_encoding_by_all_bytes(spark, tmp_path):
+    from silthouse.sources import readers
+
+    line = "plain,words\n" * 1000
+    (tmp_path / "late.csv").write_bytes(b"a,b\n" + line.encode() * 400 + "שלום,x\n".encode("windows-1255"))
+    rows = readers.csv(spark, str(tmp_path / "late.csv"))
+    assert rows.count() == 400_001 and rows.filter("a = 'שלום'").count() == 1
+    (tmp_path / "quoted.csv").write_bytes('﻿a,b\n"one\ntwo","say ""x"""\n3,שלום\n'.encode())
+    rows = readers.csv(spark, str(tmp_path / "quoted.csv"))
+    assert rows.columns == ["a", "b"] and [tuple(r) for r in rows.collect()] == [("one\ntwo", 'say "x"'), ("3", "שלום")]
+    assert readers.csv_facts(spark, str(tmp_path / "quoted.csv")) == ("utf-8", True) and readers.csv_facts(spark, str(tmp_path / "late.csv")) == ("windows-1255", False)
+    (tmp_path / "empty.csv").write_bytes(b"")
+    assert readers.csv_facts(spark, str(tmp_path / "empty.csv")) == ("utf-8", False)
+
+
+def test_place_tiers_and_two_swaps(spark):
+    from silthouse.operators import resolve
+
+    places = spark.createDataFrame([(1, "בנימין (מועצה)", "Binyamin", "Binjamin"), (2, "", None, None), (3, None, "Only", None)], "c int, n string, e string, t string")
+    got = {r.variant: (r.code, r.kind, r.weight) for r in resolve.place_aliases(places, "c", "n", "e", "t").collect()}
+    assert got["בנימין"] == (1, "no_paren", 90) and got["בבנימין"] == (1, "prefix", 50) and got["מאבנימין"] == (1, "admin_prefix", 55) and got["binjamin"] == (1, "translit", 70)
+    assert got["only"] == (3, "english", 70) and all(c != 2 for c, _, _ in got.values())
+    names = spark.createDataFrame([("תתא", 1), ("טבת", 2), ("תבט", 3), ("", 4)], "variant string, code int")
+    swaps = {r.variant: r.code for r in resolve.spelling_swaps(names).collect()}
+    assert swaps == {"טתא": 1, "תטא": 1, "טטא": 1}  # the others are ambiguous or real
