@@ -152,3 +152,10 @@ def clitic_tokens(c: Column) -> Column:
 def decoded_list(c: Column) -> Column:
     """A JSON array kept as text; [] where it is none."""
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
+def prefix_hits(words: Column, title: Column, least: int = 4) -> Column:
+    """The title's words that may be another form of a question's word: a different word with the same first `least` letters."""
+    own = F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    alike = lambda w, q: (w != q) & (F.length(w) >= least) & (F.length(q) >= least) & (F.substring(w, 1, least) == F.substring(q, 1, least))
+    return F.array_sort(F.filter(own, lambda w: F.exists(words, lambda q: alike(w, q))))

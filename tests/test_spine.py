@@ -152,3 +152,11 @@ def test_place_tiers_and_two_swaps(spark):
     names = spark.createDataFrame([("תתא", 1), ("טבת", 2), ("תבט", 3), ("", 4)], "variant string, code int")
     swaps = {r.variant: r.code for r in resolve.spelling_swaps(names).collect()}
     assert swaps == {"טתא": 1, "תטא": 1, "טטא": 1}  # the others are ambiguous or real
+
+
+def test_prefix_hits(spark):
+    from silthouse.functions.text import prefix_hits
+
+    rows = spark.createDataFrame([(["trees", "in", "town"], "Treehouses, towns and inns"), (["שמאויות"], "שמאות 2024"), ([], "x"), (["town"], None)], "q array<string>, t string")
+    got = [r[0] for r in rows.select(prefix_hits(F.col("q"), F.col("t"))).collect()]
+    assert got == [["towns", "treehouses"], ["שמאות"], [], None]
