@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, DoubleType, FloatType, NumericType, StringType, TimestampNTZType, TimestampType
 
 #: Date patterns, in the order in which they are tried; the first that fits best counts.
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "M/d/yyyy", "yyyyMMdd", "d/M/yy")
@@ -31,18 +32,36 @@ def numeric_value(c: Column) -> Column:
     return F.when(numeric_text(c), F.regexp_replace(c.cast("string"), r"[,\s]", "")).try_cast("double")
 
 
+def _cell(df: DataFrame, c: str) -> tuple[Column, Column]:
+    """A column as it is counted (null where it says nothing) and its number, if it has one, by the column's type."""
+    kind, own = df.schema[c].dataType, F.col(f"`{c}`")
+    if isinstance(kind, (FloatType, DoubleType)):
+        plain = own.cast("double")
+        return own, F.when(~F.isnan(plain) & (F.abs(plain) < float("inf")), plain)
+    if isinstance(kind, NumericType):
+        return own, own.cast("double")
+    if isinstance(kind, StringType):
+        return F.nullif(F.trim(own), F.lit("")), numeric_value(own)
+    flat = own if isinstance(kind, (DateType, TimestampType, TimestampNTZType, BooleanType)) else own.cast("string")
+    return flat, F.lit(None).cast("double")
+
+
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column: rows, filled, distinct (estimate), numeric share, min/max/avg of numbers. One aggregate over one scan."""
+    """One row per column: rows, filled, distinct (estimate), numeric share, min/max/avg of numbers. One aggregate over one scan.
+
+    Only text is parsed; numbers are taken as they are, dates and flags have none. Blank texts are not filled.
+    """
     columns = columns or df.columns
+    cells = [_cell(df, c) for c in columns]
+    flat = df.select(*(x.alias(f"{n}{k}") for k, cell in enumerate(cells) for n, x in zip("tv", cell, strict=True)))
     parts = []
-    for k, c in enumerate(columns):
-        text, value = F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), numeric_value(F.col(c))
-        parts += [F.count(text).alias(f"f{k}"), F.approx_count_distinct(text).alias(f"d{k}"), F.avg(numeric_text(F.col(c)).cast("int")).alias(f"s{k}"), F.min(value).alias(f"l{k}"), F.max(value).alias(f"h{k}"), F.avg(value).alias(f"a{k}")]
-    one = df.agg(F.count(F.lit(1)).alias("rows"), *parts)
-    rows = [F.struct(F.lit(c).alias("column"), F.col("rows"), *(F.col(f"{x}{k}").alias(n) for x, n in (("f", "filled"), ("d", "distinct_estimate"), ("s", "numeric_share"), ("l", "min"), ("h", "max"), ("a", "avg")))) for k, c in enumerate(columns)]
-    flat = one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
-    share = F.col("filled") / F.nullif(F.col("rows"), F.lit(0))
-    return flat.withColumn("fill_rate", share).withColumn("distinct_ratio", F.col("distinct_estimate") / F.nullif(F.col("filled"), F.lit(0)))
+    for k in range(len(columns)):
+        parts += [F.count(f"t{k}").alias(f"f{k}"), F.approx_count_distinct(f"t{k}").alias(f"d{k}"), F.count(f"v{k}").alias(f"s{k}"), F.min(f"v{k}").alias(f"l{k}"), F.max(f"v{k}").alias(f"h{k}"), F.avg(f"v{k}").alias(f"a{k}")]
+    one = flat.agg(F.count(F.lit(1)).alias("rows"), *parts)
+    share = {k: (F.col(f"s{k}") / F.nullif(F.col(f"f{k}"), F.lit(0))).alias("numeric_share") for k in range(len(columns))}
+    rows = [F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"f{k}").alias("filled"), F.col(f"d{k}").alias("distinct_estimate"), share[k], *(F.col(f"{x}{k}").alias(n) for x, n in (("l", "min"), ("h", "max"), ("a", "avg")))) for k, c in enumerate(columns)]
+    found = one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    return found.withColumn("fill_rate", F.col("filled") / F.nullif(F.col("rows"), F.lit(0))).withColumn("distinct_ratio", F.col("distinct_estimate") / F.nullif(F.col("filled"), F.lit(0)))
 
 
 def candidate_key(profiled: DataFrame) -> Column:

@@ -35,24 +35,37 @@ def oriented(x: Column, y: Column, west=33.0, east=37.0, south=29.0, north=34.0)
     return F.when(ok(x, y), made(x, y, "degrees")).when(ok(y, x), made(y, x, "swapped")).when(grid, made(point["lon"], point["lat"], "grid"))
 
 
+#: The third flattening, the rectifying radius and the series of the grid, forwards and backwards, up to its third power.
+_N = _F / (2 - _F)
+_RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_OUT = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+_ECC = 2 * math.sqrt(_N) / (1 + _N)
+_XI0 = math.atan(math.sinh(math.atanh(math.sin(_LAT0)) - _ECC * math.atanh(_ECC * math.sin(_LAT0))))
+_ORIGIN = _XI0 + sum(a * math.sin(2 * j * _XI0) for j, a in enumerate(_OUT, 1))
+
+
 def from_grid(x: Column, y: Column) -> Column:
     """Struct lon, lat of grid metres: the inverse transverse Mercator series, as a Column expression."""
-    n = _F / (2 - _F)
-    a1 = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    t0 = math.sinh(math.atanh(math.sin(_LAT0)) - 2 * math.sqrt(n) / (1 + n) * math.atanh(2 * math.sqrt(n) / (1 + n) * math.sin(_LAT0)))
-    xi_ = math.atan(t0)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    m0 = xi_ + sum(al * math.sin(2 * j * xi_) for j, al in enumerate(alpha, 1))
-    xi, eta = (y - _Y0) / (_K0 * a1) + m0, (x - _X0) / (_K0 * a1)
-    u = xi - sum((F.sin(2 * j * xi) * F.cosh(2 * j * eta) * b for j, b in enumerate(beta, 1)), F.lit(0.0))
-    v = eta - sum((F.cos(2 * j * xi) * F.sinh(2 * j * eta) * b for j, b in enumerate(beta, 1)), F.lit(0.0))
+    xi, eta = (y - _Y0) / (_K0 * _RADIUS) + _ORIGIN, (x - _X0) / (_K0 * _RADIUS)
+    u = xi - sum((F.sin(2 * j * xi) * F.cosh(2 * j * eta) * b for j, b in enumerate(_BACK, 1)), F.lit(0.0))
+    v = eta - sum((F.cos(2 * j * xi) * F.sinh(2 * j * eta) * b for j, b in enumerate(_BACK, 1)), F.lit(0.0))
     chi = F.asin(F.sin(u) / F.cosh(v))
-    lat = chi + sum((F.sin(2 * j * chi) * d for j, d in enumerate(delta, 1)), F.lit(0.0))
+    lat = chi + sum((F.sin(2 * j * chi) * d for j, d in enumerate(_LATITUDE, 1)), F.lit(0.0))
     return F.struct(F.degrees(F.lit(_LON0) + F.atan2(F.sinh(v), F.cos(u))).alias("lon"), F.degrees(lat).alias("lat"))
 
 
+def to_grid(lon: Column, lat: Column) -> Column:
+    """Struct x, y in grid metres of a place in degrees: the transverse Mercator series."""
+    sine, away = F.sin(F.radians(lat)), F.radians(lon) - _LON0
+    t = F.sinh(F.atanh(sine) - _ECC * F.atanh(_ECC * sine))
+    u, v = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+    xi = u + sum((F.sin(2 * j * u) * F.cosh(2 * j * v) * a for j, a in enumerate(_OUT, 1)), F.lit(0.0))
+    eta = v + sum((F.cos(2 * j * u) * F.sinh(2 * j * v) * a for j, a in enumerate(_OUT, 1)), F.lit(0.0))
+    return F.struct((_X0 + _K0 * _RADIUS * eta).alias("x"), (_Y0 + _K0 * _RADIUS * (xi - _ORIGIN)).alias("y"))
+
+
 def distance_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Great-circle metres."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
@@ -135,6 +148,18 @@ def interior_point(rings: list[list[tuple[float, float]]]) -> tuple[float, float
     return (a + b) / 2, y
 
 
+def interior(wkt: Column) -> Column:
+    """Struct lon, lat of a point inside a polygon's text; null where it can't be read."""
+
+    @F.pandas_udf("lon double, lat double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        points = [interior_point(rings) if (rings := parse_wkt(t)) else (None, None) for t in texts]
+        return pd.DataFrame(points, columns=["lon", "lat"], dtype="float64")
+
+    point = run(wkt)
+    return F.when(point["lon"].isNotNull(), point)
+
+
 def polygons_in_cells(polygons: DataFrame, wkt: str, size: float) -> DataFrame:
     """Each polygon once for every cell that its box meets, with cx, cy; polygons that can't be read are left out."""
 

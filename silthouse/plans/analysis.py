@@ -15,14 +15,25 @@ from silthouse.session import load
 _MONEY = "decimal(18,2)"
 
 
-@query(
-    "column_profile",
-    """SELECT 'l_quantity' AS "column", count(*) AS rows, count(l_quantity) AS filled, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem
-       UNION ALL SELECT 'l_linenumber', count(*), count(l_linenumber), min(l_linenumber), max(l_linenumber) FROM lineitem
-       UNION ALL SELECT 'l_returnflag', count(*), count(l_returnflag), NULL, NULL FROM lineitem""",
-)
+_PROFILED = {"l_orderkey": True, "l_partkey": True, "l_suppkey": True, "l_linenumber": True, "l_quantity": True, "l_extendedprice": True, "l_discount": True, "l_tax": True, "l_returnflag": False, "l_linestatus": False, "l_shipdate": False}
+
+
+def _profiled(c: str, number: bool) -> str:
+    value = c if number else "CAST(NULL AS DOUBLE)"
+    return f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS filled, CAST({int(number)} AS DOUBLE) AS numeric_share, CAST(min({value}) AS DOUBLE) AS min, CAST(max({value}) AS DOUBLE) AS max, round(avg({value}), 4) AS avg FROM lineitem"""
+
+
+@query("column_profile", " UNION ALL ".join(_profiled(c, n) for c, n in _PROFILED.items()))
 def column_profile(spark, sf):
-    return P.profile(load(spark, sf, "lineitem"), ["l_quantity", "l_linenumber", "l_returnflag"]).select("column", "rows", "filled", "min", "max")
+    return P.profile(load(spark, sf, "lineitem")).select("column", "rows", "filled", "numeric_share", "min", "max", F.round("avg", 4).alias("avg"))
+
+
+@query("distinct_estimates", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS distinct_values, true AS near FROM orders""" for c in ("o_custkey", "o_orderdate", "o_orderpriority")))
+def distinct_estimates(spark, sf):
+    """Estimates of a profile next to exact counts: near where they differ by a tenth at most."""
+    names, rows = ("o_custkey", "o_orderdate", "o_orderpriority"), load(spark, sf, "orders")
+    exact = rows.agg(*(F.countDistinct(c).alias(c) for c in names)).select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("distinct_values")) for c in names))).alias("x")).select("x.*")
+    return P.profile(rows, list(names)).join(exact, "column").select("column", "distinct_values", (F.abs(F.col("distinct_estimate") - F.col("distinct_values")) <= F.col("distinct_values") / 10).alias("near"))
 
 
 @query("top_values", "SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
