@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
@@ -10,6 +11,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silthouse.storage import written
+
 
 @dataclass
 class Terms:
@@ -44,32 +47,50 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def has_prefix(words: Column, prefix: str) -> Column:
-    return F.exists(words, lambda w: F.startswith(w, F.lit(prefix.lower())))
+_WORD = r"[\p{L}\p{N}]"
+
+
+def _pattern(word: str, whole: bool = False) -> str | None:
+    """What finds a word, or the beginning of one, in a text in lower case; None for what no word can have in it.
+
+    The first letter comes before the look behind it, so that most places are left at once.
+    """
+    own = word.lower()
+    if any(unicodedata.category(c)[0] not in "LN" for c in own):
+        return None
+    return (f"{own[0]}(?<!{_WORD}{own[0]}){own[1:]}" if own else _WORD) + (f"(?!{_WORD})" if whole else "")
+
+
+def has_word(text: Column, word: str, whole: bool = False) -> Column:
+    """Whether some word of a text begins with the given one, or is it. The search ends at the first hit."""
+    found = _pattern(word, whole)
+    return F.lower(text).rlike(found) if found else F.when(text.isNotNull(), F.lit(False))
 
 
-def boolean(words: Column, query: list) -> Column:
-    """A nested query ['and', a, b], ['or', ...], ['not', a] of words; a word with a quote mark matches whole, others by their beginning."""
+def boolean(text: Column, query: list) -> Column:
+    """A nested query ['and', a, b], ['or', ...], ['not', a] over a text's words; a word with a quote mark matches whole, others by their beginning."""
     if isinstance(query, str):
-        whole = query.strip("'\"").lower()
-        return F.array_contains(words, whole) if query != whole and re.search("['\"]", query) else has_prefix(words, query)
+        whole = query.strip("'\"")
+        return has_word(text, whole if re.search("['\"]", query) else query, query != whole)
     op, *parts = query
-    own = [boolean(words, p) for p in parts]
+    own = [boolean(text, p) for p in parts]
     return ~own[0] if op == "not" else reduce(and_ if op == "and" else or_, own)
 
 
-def _with_prefix(words: Column, prefix: str) -> Column:
-    return F.size(F.filter(words, lambda w: F.startswith(w, F.lit(prefix.lower()))))
+def _beginning_with(text: Column, prefix: str) -> Column:
+    """How many words of a text begin so."""
+    found = _pattern(prefix)
+    return F.regexp_count(F.lower(text), F.lit(found)) if found else F.when(text.isNotNull(), F.lit(0))
 
 
 def ranked(df: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
     """key, hits, score: BM25 over words by their beginnings; rows without a hit are left out.
 
-    Two aggregates: one row of corpus figures, and the rows themselves, which never leave their tasks.
+    Texts are read once: their lengths and hits are written, for the one row of corpus figures and the scores.
     """
-    own = tokens(F.col(text))
-    hits = [_with_prefix(F.col("_words"), p).alias(f"h{k}") for k, p in enumerate(words)]
-    rows = df.select(key, own.alias("_words")).select(key, F.size("_words").alias("_n"), *hits)
+    body = F.col(text)
+    hits = [_beginning_with(body, p).alias(f"h{k}") for k, p in enumerate(words)]
+    rows = written(df.select(key, F.size(tokens(body)).alias("_n"), *hits), "hits")
     total = rows.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_mean"), *(F.count_if(F.col(f"h{k}") > 0).alias(f"d{k}") for k in range(len(words))))
     joined = rows.filter(reduce(or_, [F.col(f"h{k}") > 0 for k in range(len(words))])).join(F.broadcast(total))
     idf = lambda k: F.log(1 + (F.col("_docs") - F.col(f"d{k}") + 0.5) / (F.col(f"d{k}") + 0.5))

@@ -30,7 +30,7 @@ def operator_search(spark, sf):
        SELECT doc_id FROM d WHERE (len(list_filter(w, lambda x: starts_with(x, 'sch'))) > 0 OR len(list_filter(w, lambda x: starts_with(x, 'that'))) > 0) AND NOT list_contains(w, 'der')""",
 )
 def boolean_search(spark, sf):
-    return load(spark, sf, "documents").filter(S.boolean(S.tokens(F.col("text")), ["and", ["or", "sch", "that"], ["not", "'der'"]])).select("doc_id")
+    return load(spark, sf, "documents").filter(S.boolean(F.col("text"), ["and", ["or", "sch", "that"], ["not", "'der'"]])).select("doc_id")
 
 
 @query(
