@@ -10,7 +10,7 @@ from silthouse.operators import profile as P
 from silthouse.operators import semantic as S
 from silthouse.operators.resolve import rank_in
 from silthouse.plans.registry import query
-from silthouse.session import load
+from silthouse.session import TABLES, load
 
 _MONEY = "decimal(18,2)"
 
@@ -51,34 +51,55 @@ def keywords(spark, sf):
     return P.keywords(load(spark, sf, "documents"), "text")
 
 
-@query("type_inference", """SELECT * FROM (VALUES ('a', 'integer'), ('b', 'numeric'), ('c', 'date'), ('d', 'text')) AS t("column", kind)""")
+def _kind_of(table: str, c: str) -> str:
+    """SQL for what all filled values of a column are."""
+    text = f"trim(CAST({c} AS VARCHAR))"
+    return f"""SELECT '{c}' AS "column", CASE WHEN bool_and(regexp_matches({text}, '^[+-]?[0-9]+$')) THEN 'integer' WHEN bool_and(TRY_CAST({text} AS DOUBLE) IS NOT NULL) THEN 'numeric'
+       WHEN bool_and(TRY_CAST({text} AS TIMESTAMP) IS NOT NULL AND regexp_matches({text}, '^[0-9]{{4}}-')) THEN 'date' ELSE 'text' END AS kind FROM {table} WHERE {text} <> ''"""
+
+
+_TYPED = {"orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")}
+
+
+@query("type_inference", " UNION ALL ".join(_kind_of(t, c) for t, columns in _TYPED.items() for c in columns))
 def type_inference(spark, sf):
-    rows = load(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("a"), F.col("o_totalprice").cast("string").alias("b"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("c"), F.col("o_orderpriority").alias("d"))
-    return spark.createDataFrame(list(P.infer_types(rows).items()), "column string, kind string")
+    """Of every column of two tables, all of it as text."""
+    found = {}
+    for t, columns in _TYPED.items():
+        found |= P.infer_types(load(spark, sf, t).select(*(F.col(c).cast("string").alias(c) for c in columns)))
+    return spark.createDataFrame(list(found.items()), "column string, kind string")
 
 
-@query(
-    "date_format_detection",
-    "SELECT 'd/M/yyyy' AS pattern, 1.0::DOUBLE AS share",
-)
+_PATTERNS = {"d/M/yyyy": "%d/%m/%Y", "M/d/yyyy": "%m/%d/%Y", "yyyy-MM-dd": "%Y-%m-%d", "d.M.yyyy": "%d.%m.%Y", "d/M/yyyy HH:mm": "%d/%m/%Y %H:%M"}
+_SHARES = " UNION ALL ".join(f"SELECT '{p}' AS pattern, avg(CAST(try_strptime(strftime(o_orderdate, '%-d/%-m/%Y'), '{f}') IS NOT NULL AS INTEGER)) AS share FROM orders" for p, f in _PATTERNS.items())
+
+
+@query("date_format_detection", f"SELECT pattern, share FROM ({_SHARES}) WHERE share >= 0.8")
 def date_format_detection(spark, sf):
     rows = load(spark, sf, "orders").select(F.date_format("o_orderdate", "d/M/yyyy").alias("day"))
     return spark.createDataFrame(P.date_formats(rows, "day"), "pattern string, share double")
 
 
-@query("candidate_key", "SELECT 'o_orderkey' AS \"column\"")
+_KEYS = ("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("candidate_key", " UNION ALL ".join(f"""SELECT '{c}' AS "column" FROM orders HAVING count(DISTINCT {c}) >= 0.99 * count(*) AND count({c}) >= 0.99 * count(*)""" for c in _KEYS))
 def candidate_key(spark, sf):
     rows = load(spark, sf, "orders")
-    exact = rows.agg(*(F.countDistinct(c).alias(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus")), F.count(F.lit(1)).alias("n"))
-    flat = exact.select("n", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("d")) for c in ("o_orderkey", "o_custkey", "o_orderstatus")))).alias("p"))
+    exact = rows.agg(*(F.countDistinct(c).alias(c) for c in _KEYS), F.count(F.lit(1)).alias("n"))
+    flat = exact.select("n", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("d")) for c in _KEYS))).alias("p"))
     own = flat.select("p.column", (F.col("p.d") / F.col("n")).alias("distinct_ratio"), F.lit(1.0).alias("fill_rate"))
     return own.filter(P.candidate_key(own)).select("column")
 
 
-@query("field_flags", "SELECT * FROM (VALUES ('has_date', true), ('has_locality', false), ('has_parcel', false)) AS t(flag, found)")
+_FLAGGED = {"has_date": "date|(^|_)(dt|yr)($|_)|year", "has_locality": "(^|[^a-z])(city|town|locality)", "has_geometry": "geometry|_wkt$|(^|[^a-z])(lat|lon|lng)($|[^a-z])", "has_parcel": "(^|[^a-z])(gush|parcel|helka)"}
+
+
+@query("field_flags", " UNION ALL ".join(f"""SELECT table_name AS "table", '{k}' AS flag, bool_or(regexp_matches(lower(column_name), '{p}')) AS found FROM information_schema.columns GROUP BY 1""" for k, p in _FLAGGED.items()))
 def field_flags(spark, sf):
-    flags = P.name_flags(load(spark, sf, "orders").columns)
-    return spark.createDataFrame([(k, flags[k]) for k in ("has_date", "has_locality", "has_parcel")], "flag string, found boolean")
+    """What the names of each table's columns say of it."""
+    flags = {t: P.name_flags(load(spark, sf, t).columns) for t in TABLES}
+    return spark.createDataFrame([(t, k, f[k]) for t, f in flags.items() for k in _FLAGGED], "table string, flag string, found boolean")
 
 
 @query("entity_guess", "SELECT * FROM (VALUES ('n_name', 'locality'), ('o_orderdate', 'date'), ('o_orderkey', 'id'), ('o_totalprice', 'amount')) AS t(\"column\", guess)")
