@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silthouse.llm import lines, urls, warc
+from silthouse.llm import lines, spellings, urls, warc
 from silthouse.llm.decontaminate import op9_decontaminate
 from silthouse.llm.lines import op3_line_dedup
 from silthouse.llm.matroska import op1_matroska
@@ -14,6 +14,7 @@ from silthouse.llm.packing import op4_best_fit_packing
 from silthouse.llm.pii import op5_pii
 from silthouse.llm.quality import op6_quality
 from silthouse.llm.simhash import op10_simhash
+from silthouse.llm.spellings import op12_spelling_variants
 from silthouse.llm.substrings import op2_substrings
 from silthouse.llm.urls import op7_url_filter
 from silthouse.llm.warc import op8_warc
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": lines.SQL,
     "op7_url_filter": urls.SQL,
     "op8_warc": warc.SQL,
+    "op12_spelling_variants": spellings.SQL,
 }
