@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silthouse.llm import lines, spellings, urls, warc
+from silthouse.llm import lines, spellings, trie, urls, warc
 from silthouse.llm.decontaminate import op9_decontaminate
 from silthouse.llm.lines import op3_line_dedup
 from silthouse.llm.matroska import op1_matroska
@@ -16,6 +16,7 @@ from silthouse.llm.quality import op6_quality
 from silthouse.llm.simhash import op10_simhash
 from silthouse.llm.spellings import op12_spelling_variants
 from silthouse.llm.substrings import op2_substrings
+from silthouse.llm.trie import op13_prefix_trie
 from silthouse.llm.urls import op7_url_filter
 from silthouse.llm.warc import op8_warc
 
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -38,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": urls.SQL,
     "op8_warc": warc.SQL,
     "op12_spelling_variants": spellings.SQL,
+    "op13_prefix_trie": trie.SQL,
 }
