@@ -16,6 +16,7 @@ from silthouse.llm.quality import op6_quality
 from silthouse.llm.simhash import op10_simhash
 from silthouse.llm.spellings import op12_spelling_variants
 from silthouse.llm.substrings import op2_substrings
+from silthouse.llm.syncmers import op11_syncmers
 from silthouse.llm.trie import op13_prefix_trie
 from silthouse.llm.urls import op7_url_filter
 from silthouse.llm.warc import op8_warc
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op11_syncmers": op11_syncmers,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_prefix_trie": op13_prefix_trie,
 }
