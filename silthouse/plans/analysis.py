@@ -95,7 +95,7 @@ def candidate_key(spark, sf):
 _FLAGGED = {"has_date": "date|(^|_)(dt|yr)($|_)|year", "has_locality": "(^|[^a-z])(city|town|locality)", "has_geometry": "geometry|_wkt$|(^|[^a-z])(lat|lon|lng)($|[^a-z])", "has_parcel": "(^|[^a-z])(gush|parcel|helka)"}
 
 
-@query("field_flags", " UNION ALL ".join(f"""SELECT table_name AS "table", '{k}' AS flag, bool_or(regexp_matches(lower(column_name), '{p}')) AS found FROM information_schema.columns GROUP BY 1""" for k, p in _FLAGGED.items()))
+@query("field_flags", " UNION ALL ".join(f"""SELECT table_name AS "table", '{k}' AS flag, bool_or(regexp_matches(lower(column_name), '{p}')) AS found FROM information_schema.columns WHERE table_name IN {TABLES} GROUP BY 1""" for k, p in _FLAGGED.items()))
 def field_flags(spark, sf):
     """What the names of each table's columns say of it."""
     flags = {t: P.name_flags(load(spark, sf, t).columns) for t in TABLES}

@@ -90,7 +90,7 @@ def stacked_sources(spark, sf):
     return R.stacked({"buyers": buyers, "sellers": load(spark, sf, "supplier").select(_C("s_suppkey").alias("id"), _C("s_name").alias("name"))})
 
 
-@query("tables_with_columns", """SELECT table_name AS "table" FROM information_schema.columns WHERE column_name IN ('doc_id', 'text') GROUP BY 1 HAVING count(DISTINCT column_name) = 2""")
+@query("tables_with_columns", f"""SELECT table_name AS "table" FROM information_schema.columns WHERE table_name IN {TABLES} AND column_name IN ('doc_id', 'text') GROUP BY 1 HAVING count(DISTINCT column_name) = 2""")
 def tables_with_columns(spark, sf):
     columns = spark.createDataFrame([(t, c) for t in TABLES for c in load(spark, sf, t).columns], "table string, column string")
     return R.tables_with(columns, {"DOC_ID", "text"})

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _loaded() -> None:
     """The modules that register queries when they are imported."""
-    for name in ("archive", "analysis", "entities", "texts", "records", "spine", "cells", "files"):
+    for name in ("archive", "analysis", "entities", "texts", "records", "spine", "cells", "files", "streams"):
         importlib.import_module(f"silthouse.plans.{name}")
 
 

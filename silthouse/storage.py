@@ -38,3 +38,20 @@ def written(df: DataFrame, tag: str, compression: str | None = None, **options:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, on any file system that Spark knows; none if it is not there."""
+    own, fs = _place(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(own)) if fs.exists(own) else []
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    own, fs = _place(spark, path)
+    return fs.getContentSummary(own).getLength()

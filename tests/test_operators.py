@@ -261,16 +261,6 @@ def test_versions_and_files(spark, nation, tmp_path):
     assert {r.table for r in R.tables_with(R.catalog(spark), {"N_NAME", "n_regionkey"}).collect()} >= {"nation"}
 
 
-def test_generation_window_stream_is_the_batch_one(spark, tmp_path):
-    rows = [("a", 1), ("a", 3), ("a", 9), ("b", 2), ("b", 6), ("b", 7), ("b", 12)]
-    spark.createDataFrame(rows, "id string, gen long").write.parquet(str(tmp_path / "in"))
-    stream = N.generation_window_stream(N.file_stream(spark, str(tmp_path / "in"), "id string, gen long"), "id", "gen", 5)
-    run = stream.writeStream.format("memory").queryName("gens").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    run.awaitTermination()
-    batch = N.generation_window(spark.createDataFrame(rows, "id string, gen long"), ["id"], "gen", 5)
-    assert sorted(map(tuple, spark.table("gens").collect())) == sorted(map(tuple, batch.collect())) == [("a", 1), ("a", 9), ("b", 2), ("b", 12)]
-
-
 def test_entry_and_registry(spark, sf):
     import __spark_entry__ as E
 
