@@ -106,16 +106,48 @@ def within(left: DataFrame, right: DataFrame, metres: float, inner: float = -1.0
     return pairs.filter((F.col("distance_m") <= metres) & (F.col("distance_m") > inner)).drop("_cx", "_cy", "_lon", "_lat")
 
 
-def nearest(left: DataFrame, key: str, right: DataFrame, target: str, metres: float, most: float = math.pi * EARTH_M) -> DataFrame:
-    """The nearest row of `right` for each of `left`, within `most` metres where that is asked: cells of growing size, rows without a hit go on to the next."""
-    rest, found = left, None
-    while True:
-        best = written(within(rest, right, metres).groupBy(key).agg(F.min(F.struct("distance_m", target)).alias("_b")).select(key, f"_b.{target}", "_b.distance_m"), "nearest")
-        found = best if found is None else found.unionByName(best)
-        rest = written(rest.join(best.select(key), key, "left_anti"), "rest")
-        if metres >= most or not rest.limit(1).count():
-            return found
-        metres = min(metres * 8, most)
+#: Halvings of the world in the grid of counts; its smallest cells have about 19 metres.
+HALVINGS = 20
+
+
+def reach(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """The rows of `left` with `_reach`: metres within which there are at least k rows of `right` for sure, from counts in a grid.
+
+    Counts of the smallest cells are summed for the cells around them, at every size; a point takes the smallest of its
+    cells that has k rows, and no two points of a cell are farther apart than its height and width along the ground.
+    """
+    cell = lambda v, top: F.floor((v + top) * (float(1 << HALVINGS) / 180.0)).cast("long")
+    placed = lambda df: df.withColumn("_gx", cell(F.col("lon"), 180.0)).withColumn("_gy", cell(F.col("lat"), 90.0))
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(HALVINGS)))
+    up = lambda c: F.call_function("shiftright", F.col(c), F.col("_up"))
+    coarse = lambda df: df.withColumn("_up", sizes).withColumn("_ux", up("_gx")).withColumn("_uy", up("_gy"))
+    counts = placed(right).groupBy("_gx", "_gy").agg(F.count(F.lit(1)).alias("_n"))
+    full = coarse(counts).groupBy("_up", "_ux", "_uy").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= k)
+    cells = coarse(placed(left).select("_gx", "_gy").distinct()).join(full, ["_up", "_ux", "_uy"]).groupBy("_gx", "_gy").agg(F.min("_up").alias("_up"))
+    half = math.pi * EARTH_M
+    degrees = 2 * 180.0 * F.pow(F.lit(2.0), F.col("_up") - HALVINGS)
+    metres = F.coalesce(F.least(F.lit(half), F.radians(degrees) * EARTH_M * (1 + 1e-9) + 1e-6), F.lit(half))
+    return placed(left).join(cells, ["_gx", "_gy"], "left").withColumn("_reach", metres).drop("_gx", "_gy", "_up")
+
+
+def nearest(left: DataFrame, key: str, right: DataFrame, target: str, k: int = 1, most: float | None = None) -> DataFrame:
+    """key, target, distance_m, rank of the k nearest rows of `right` for each of `left`, equal distances by target; fewer where
+    there are fewer, or within `most` metres.
+
+    Each point is joined once, within its reach: points are dealt to classes of reach (powers of two), one distance join each.
+    A far-off point costs one wide ring, and the others nothing.
+    """
+    rows = written(reach(left.select(key, "lon", "lat"), right.select("lon", "lat"), k).withColumn("_class", F.ceil(F.log2(F.greatest("_reach", F.lit(1.0)))).cast("int")), "reach")
+    near, half = None, math.pi * EARTH_M
+    for row in rows.select("_class").distinct().orderBy("_class").collect():  # at most one for each halving
+        metres = min(2.0 ** row["_class"], half, half if most is None else most)
+        own = rows.filter(F.col("_class") == row["_class"]).select(key, "lon", "lat")
+        found = within(own, right.select(target, "lon", "lat"), metres).select(key, target, "distance_m")
+        near = found if near is None else near.unionByName(found)
+    if near is None:
+        near = left.select(key).join(right.select(target), F.lit(False)).withColumn("distance_m", F.lit(0.0))
+    ranked = Window.partitionBy(key).orderBy("distance_m", target)
+    return near.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
 def parse_wkt(text: str | None) -> list[list[tuple[float, float]]] | None:
@@ -160,40 +192,6 @@ def interior(wkt: Column) -> Column:
     return F.when(point["lon"].isNotNull(), point)
 
 
-def polygons_in_cells(polygons: DataFrame, wkt: str, size: float) -> DataFrame:
-    """Each polygon once for every cell that its box meets, with cx, cy; polygons that can't be read are left out."""
-
-    def cover(batches):
-        for frame in batches:
-            rows = []
-            for k, text in enumerate(frame[wkt]):
-                rings = parse_wkt(text)
-                if rings:
-                    xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
-                    rows += [(k, cx, cy) for cx in range(math.floor(min(xs) / size), math.floor(max(xs) / size) + 1) for cy in range(math.floor(min(ys) / size), math.floor(max(ys) / size) + 1)]
-            at = [r[0] for r in rows]
-            yield frame.iloc[at].assign(_cx=[r[1] for r in rows], _cy=[r[2] for r in rows])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in polygons.schema)
-    return polygons.mapInPandas(cover, f"{kinds}, _cx long, _cy long")
-
-
-def point_in_polygon(points: DataFrame, polygons: DataFrame, wkt: str = "wkt", size: float = 0.01) -> DataFrame:
-    """The points (lon, lat) joined with the polygons that contain them: an equi-join on cells, then crossings batch by batch."""
-    own = points.withColumn("_cx", _cell(F.col("lon"), size)).withColumn("_cy", _cell(F.col("lat"), size))
-    pairs = own.join(polygons_in_cells(polygons, wkt, size), ["_cx", "_cy"]).drop("_cx", "_cy")
-
-    @F.pandas_udf("boolean")
-    def contains(x: pd.Series, y: pd.Series, text: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), bool)
-        for shape, rows in text.reset_index(drop=True).groupby(text.reset_index(drop=True)).groups.items():
-            rings = parse_wkt(shape)
-            out[rows] = inside(x.to_numpy()[rows], y.to_numpy()[rows], rings)
-        return pd.Series(out)
-
-    return pairs.filter(contains("lon", "lat", wkt))
-
-
 def first_polygon(joined: DataFrame, point: str, order: str) -> DataFrame:
     """One polygon for each point."""
     own = Window.partitionBy(point).orderBy(order)
@@ -267,8 +265,3 @@ def geohash(lon: Column, lat: Column) -> Column:
     z, digits = z_order(lon, lat, 15), F.lit("0123456789bcdefghjkmnpqrstuvwxyz")
     return F.concat(*(F.substring(digits, (F.shiftright(z, 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in range(5, -1, -1)))
 
-
-def points_per_polygon(points: DataFrame, polygons: DataFrame, key: str, wkt: str = "wkt", size: float = 0.01) -> DataFrame:
-    """key, points of every polygon, 0 where it has none."""
-    found = point_in_polygon(points, polygons, wkt, size).groupBy(key).agg(F.count(F.lit(1)).alias("points"))
-    return polygons.select(key).join(found, key, "left").fillna(0, ["points"])

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silthouse.operators import cover as V
 from silthouse.operators import search as S
 from silthouse.operators import spatial as P
 from silthouse.operators.console import register
@@ -111,10 +112,11 @@ def ring_join(spark, sf):
     return found.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("nearest", f"SELECT a.vec_id AS a, min_by(b.vec_id, {_METRES}) AS b FROM {_POINTS} a JOIN {_POINTS} b ON a.label = 1 AND b.label = 2 GROUP BY 1")
+@query("nearest", f"SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_METRES}, b.vec_id) AS rank FROM {_POINTS} a JOIN {_POINTS} b ON true QUALIFY rank <= 3")
 def nearest(spark, sf):
-    a, b = _points(spark, sf).filter("label = 1"), _points(spark, sf).filter("label = 2")
-    return P.nearest(a.select(F.col("vec_id").alias("a"), "lon", "lat"), "a", b.select(F.col("vec_id").alias("b"), "lon", "lat"), "b", 1000.0).select("a", "b")
+    """The three nearest places of every place, itself among them."""
+    places = _points(spark, sf)
+    return P.nearest(places.select(F.col("vec_id").alias("a"), "lon", "lat"), "a", places.select(F.col("vec_id").alias("b"), "lon", "lat"), "b", 3).select("a", "b", "rank")
 
 
 @query("point_in_polygon", f"SELECT vec_id, CAST(floor(lon / 0.05) AS BIGINT) AS x, CAST(floor(lat / 0.05) AS BIGINT) AS y FROM {_POINTS} WHERE lon >= 35 AND lon < 35.1 AND lat >= 31.5 AND lat < 31.6")
@@ -122,7 +124,34 @@ def point_in_polygon(spark, sf):
     corner = lambda k: round(k * 0.05, 2)
     squares = [(x, y, f"POLYGON(({corner(x)} {corner(y)}, {corner(x + 1)} {corner(y)}, {corner(x + 1)} {corner(y + 1)}, {corner(x)} {corner(y + 1)}, {corner(x)} {corner(y)}))") for x in (700, 701) for y in (630, 631)]
     polygons = spark.createDataFrame(squares, "x long, y long, wkt string")
-    return P.point_in_polygon(_points(spark, sf), polygons).select("vec_id", "x", "y")
+    return V.point_in_polygon(_points(spark, sf), polygons).select("vec_id", "x", "y")
+
+
+def _shapes(points: DataFrame) -> DataFrame:
+    """A ragged polygon for each label: every other of its places in turn around a point among them."""
+    turn = F.atan2(F.col("lat") - 31.5, F.col("lon") - 35.0)
+    corners = points.filter("vec_id % 2 = 0").groupBy("label").agg(F.sort_array(F.collect_list(F.struct(turn.alias("turn"), "vec_id", "lon", "lat"))).alias("c"))
+    ring = F.transform("c", lambda p: F.concat(p["lon"].cast("string"), F.lit(" "), p["lat"].cast("string")))
+    return corners.select("label", F.concat(F.lit("POLYGON(("), F.array_join(ring, ", "), F.lit("))")).alias("wkt"))
+
+
+_RINGS = f"""p AS (SELECT * FROM {_POINTS}),
+       v AS (SELECT label, lon, lat, row_number() OVER w AS k, count(*) OVER (PARTITION BY label) AS n FROM p WHERE vec_id % 2 = 0 WINDOW w AS (PARTITION BY label ORDER BY atan2(lat - 31.5, lon - 35.0), vec_id)),
+       e AS (SELECT a.label, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2 FROM v a JOIN v b ON a.label = b.label AND b.k = a.k % a.n + 1),
+       i AS (SELECT vec_id, e.label FROM p JOIN e ON (y1 > lat) <> (y2 > lat) WHERE lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
+
+@query("points_in_shapes", f"WITH {_RINGS} SELECT vec_id, label AS shape FROM i")
+def points_in_shapes(spark, sf):
+    """All places within ragged shapes of many corners, whose corners are places, too."""
+    points = _points(spark, sf)
+    return V.point_in_polygon(points.drop("label"), _shapes(points).withColumnRenamed("label", "shape")).select("vec_id", "shape")
+
+
+@query("points_per_shape", f"WITH {_RINGS} SELECT l.label, count(i.label) AS points FROM (SELECT DISTINCT label FROM p WHERE vec_id % 2 = 0) l LEFT JOIN i USING (label) GROUP BY 1")
+def points_per_shape(spark, sf):
+    points = _points(spark, sf)
+    return V.points_per_polygon(points.select("lon", "lat"), _shapes(points), "label")
 
 
 @query("bbox_filter", f"SELECT vec_id FROM {_POINTS} WHERE lon BETWEEN 34.95 AND 35.05 AND lat BETWEEN 31.45 AND 31.55")

@@ -184,8 +184,12 @@ def test_distances_everywhere(spark):
     for metres in (3000.0, 400_000.0, 5_000_000.0, 15_000_000.0):
         got = {(r.a, r.b) for r in X.within(left, right, metres).collect()}
         assert got == {(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if plain_distance(p, q) <= metres}
-    got = {r.a: r.distance_m for r in X.nearest(left, "a", right, "b", 5000.0).collect()}
+    got = {r.a: r.distance_m for r in X.nearest(left, "a", right, "b").collect()}
     assert len(got) == len(a) and all(abs(got[i] - min(plain_distance(p, q) for q in b)) < 1e-3 for i, p in enumerate(a))
+    three = [tuple(r) for r in X.nearest(left, "a", right.union(right.withColumn("b", F.col("b") + 100)), "b", 3).orderBy("a", "rank").select("a", "b").collect()]
+    assert three == [(i, j) for i, p in enumerate(a) for _, j in sorted((round(plain_distance(p, q), 6), j + m) for j, q in enumerate(b) for m in (0, 100))[:3]]
+    assert X.nearest(left, "a", right.limit(2), "b", 5).count() == 2 * len(a) and X.nearest(left, "a", right.limit(0), "b").collect() == []
+    assert all(r.distance_m <= 9000 for r in X.nearest(left, "a", right, "b", 1, 9000.0).collect())
 
 
 def test_names_of_any_length(spark):
