@@ -19,7 +19,8 @@ Nulls and edges: a null payload is empty; payloads below MIN_BYTES are all respo
 with equal payload and the same smallest id, each is a response. A null id is a revisit, or a
 response where its payload has no other id. A null url is an empty one; control characters in a
 url are escaped. A record that can't be read is an index row with its `error` and no digest, and comes
-first in its URL's history. Other columns are not looked at.
+first in its URL's history, such rows by id; so does a capture whose time is beyond the years 1 to 9999, as no
+record can name it. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,7 +65,7 @@ def record(name: str, url: str, when: datetime, payload: bytes, refers_to: str |
     """A WARC/1.1 response record, or a revisit record without the payload, as a gzip member."""
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
     block = _head("HTTP/1.1 200 OK", [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))])
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:capture:{quote(name)}>"), ("WARC-Date", when.strftime("%Y-%m-%dT%H:%M:%SZ"))]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:capture:{quote(name)}>"), ("WARC-Date", when.replace(tzinfo=None).isoformat(timespec="seconds") + "Z")]
     fields += [("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: quote(m[0]), url)), ("WARC-Payload-Digest", digest)]
     if refers_to is None:
         block += payload
@@ -95,9 +97,19 @@ def parse(member: bytes) -> dict:
     return {"record_type": fields["warc-type"], "ts": fields["warc-date"], "payload_bytes": size, "payload_digest": digest, "refers_to": fields.get("warc-refers-to"), "error": None}
 
 
+def _moment(at: int) -> datetime | None:
+    """The time of so many seconds since 1970; none beyond the years 1 to 9999."""
+    try:
+        return datetime.fromtimestamp(at, UTC)
+    except (ValueError, OverflowError, OSError):
+        return None
+
+
 def _read(member: bytes | None) -> dict:
+    if member is None:
+        return {"error": "no record: it is missing, or its time is beyond the years 1 to 9999"}
     try:
-        return parse(member or b"")
+        return parse(member)
     except (ValueError, KeyError, zlib.error) as e:
         return {"error": f"{type(e).__name__}: {e}"}
 
@@ -120,9 +132,10 @@ def archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
                 rows = []
                 columns = [part.column(c).to_pylist() for c in ("_name", "_url", "_at", "_payload", "_first")]
                 for name, link, at, body, refers in zip(*columns, strict=True):
-                    member = record(name or "", link, datetime.fromtimestamp(at, UTC), body, refers)
-                    rows.append((offset, len(member), member))
-                    offset += len(member)
+                    moment = _moment(at)
+                    member = moment and record(name or "", link, moment, body, refers)
+                    rows.append((offset, len(member or b""), member))
+                    offset += len(member or b"")
                 at, length, member = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([archive] * len(rows), pa.int32()), pa.array(at, pa.int64()), pa.array(length, pa.int64()), part.column(key), part.column("url_key"), pa.array(member, pa.binary())],
@@ -192,11 +205,18 @@ def _ranked(part: pa.Table, key: str, start: int) -> Iterator[tuple]:
             yield (link, ts or "", own is not None, own if own is not None else 0, archive, offset), start + a + k
 
 
-def _parts(batches: Iterable[pa.RecordBatch]) -> list[pa.Table]:
-    """The rows that arrive, as few parts that are each in order: rows of an archive that follow each other are."""
+def _parts(batches: Iterable[pa.RecordBatch], key: str) -> list[pa.Table]:
+    """The rows that arrive, as few parts that are each in order: rows of an archive that follow each other are.
+
+    Rows with an error have lost the time that placed them in their archive; they are sorted as a part of their own.
+    """
+    bad: list[pa.RecordBatch] = []
     held: dict[tuple[int, int], list[pa.RecordBatch]] = {}
     last: dict[int, tuple[int, int]] = {}  # of each archive, its open part and the offset it has come to
-    for batch in batches:
+    for whole in batches:
+        failed = whole.column("error").is_valid()
+        bad.append(whole.filter(failed))
+        batch = whole.filter(pc.invert(failed))
         archive, offset = batch.column("archive").to_numpy(), batch.column("offset").to_numpy()
         cuts = np.flatnonzero((archive[1:] != archive[:-1]) | (offset[1:] <= offset[:-1])) + 1
         for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
@@ -207,7 +227,12 @@ def _parts(batches: Iterable[pa.RecordBatch]) -> list[pa.Table]:
             part += come >= int(offset[a])
             last[run] = part, int(offset[b - 1])
             held.setdefault((run, part), []).append(batch.slice(a, b - a))
-    return [pa.Table.from_batches(x) for x in held.values()]
+    parts = [pa.Table.from_batches(x) for x in held.values()]
+    lost = pa.Table.from_batches(bad) if bad else None
+    if lost is not None and len(lost):
+        order = [(c, "ascending") for c in ("url_key", key, "archive", "offset")]
+        parts.append(lost.take(pc.sort_indices(lost, order, null_placement="at_start")))
+    return parts
 
 
 def histories(runs: DataFrame, key: str = "page_id") -> DataFrame:
@@ -215,7 +240,7 @@ def histories(runs: DataFrame, key: str = "page_id") -> DataFrame:
 
     def merge(batches):
         number, at = TaskContext.get().partitionId(), 0
-        parts = _parts(batches)
+        parts = _parts(batches, key)
         if not parts:
             return
         whole = pa.concat_tables(parts)

@@ -66,6 +66,15 @@ def test_a_bad_record_is_a_row(spark, sf):
     assert len(got) == 5 and [got[i].error is None for i in range(5)] == [True, True, False, False, True]
 
 
+def test_order_with_bad_records_old_and_far_times(spark):
+    rows = [(k, "http://a.org/x" if k < 9 else "http://b.org/", f"p{k}", day) for k, day in enumerate(["0900-01-01", "2001-01-01", "0001-01-01", "9999-12-31", "+12000-01-01", "1500-06-01", None, "2001-01-01", "1969-12-31", "+12000-01-01", "2000-01-01"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, day string").withColumn("day", F.to_timestamp(F.when(F.col("day").startswith("+"), "1970-01-01").otherwise(F.col("day"))) + F.when(F.col("day").startswith("+"), F.expr("INTERVAL '10030' YEAR")).otherwise(F.expr("INTERVAL '0' YEAR")))
+    stored = W.archives(pages, when="day").withColumn("member", F.when(F.col("page_id").isin(1, 3), F.lit(b"bad")).otherwise(F.col("member")))
+    got = W.histories(W.index(stored)).orderBy("history_at").collect()
+    assert [r.page_id for r in got] == [1, 3, 4, 2, 0, 5, 8, 7, 6, 9, 10] and [r.history_at for r in got] == list(range(11))
+    assert [r.page_id for r in got if r.error] == [1, 3, 4, 9] and got[3].ts == "0001-01-01T00:00:00Z"
+
+
 def test_archives_are_gzip_members(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").limit(7)
     rows = sorted(W.archives(pages).filter("archive = 0").collect(), key=lambda r: r.offset)
