@@ -257,7 +257,9 @@ def train(features: DataFrame, labels: DataFrame, key: str = "doc_id", labelled:
     ids = features.select("_key").filter("_key is not null").distinct().join(known, "_key")
     # at most `labelled` rows
     chosen = common.written(ids.orderBy(F.xxhash64("_key"), "_key").limit(labelled).withColumn("_order", F.xxhash64("_key")), "labelled")
-    table = features.join(F.broadcast(chosen), "_key").select("_order", "_y", "a", "b").toArrow()
+    # of rows that repeat a labelled id, one is used, so that the bound is one of rows
+    own = features.join(F.broadcast(chosen), "_key").select("_key", F.struct("_order", "_y", "a", "b").alias("_row"), F.xxhash64("a", "b").alias("_h"))
+    table = own.groupBy("_key").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*").toArrow()
     table = table.take(pc.sort_indices(table, [("_order", "ascending")])) if len(table) else table
     others = features.filter("_key is not null").join(F.broadcast(chosen.select("_key")), "_key", "left_anti").select("a", "b")
 

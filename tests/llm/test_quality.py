@@ -92,3 +92,13 @@ def test_every_other_document_takes_part(spark):
 def test_names_with_dots(spark, odd):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 16)], "doc_id long, quality int, toxic int")
     assert Q.good_documents(odd.withColumn("a.b", F.lit(1)), labels).columns == [*odd.columns, "a.b"]
+
+
+def test_labelled_rows_are_bounded(spark, odd, monkeypatch):
+    """Rows that repeat a labelled id count once, so no more rows than the bound reach the driver."""
+    held = []
+    monkeypatch.setattr(Q, "co_train", lambda views, y, exchange: held.append((len(y), views[0].sizes.size)))
+    many = odd.crossJoin(spark.range(50)).withColumn("text", F.concat("text", F.col("id").cast("string"))).drop("id")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 16)], "doc_id long, quality int, toxic int")
+    Q.train(Q.featured(many), labels, labelled=10)
+    assert held == [(10, 10)]
