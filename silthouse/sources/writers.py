@@ -40,11 +40,12 @@ def every_version(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("basePath", root).parquet(*(f"{root}/v={n}" for n in versions(spark, root)))
 
 
-def csv_file(df: DataFrame, path: str, most: int = 200_000) -> None:
-    """CSV with a byte order mark for spreadsheets, nulls as empty cells."""
+def csv_file(df: DataFrame, path: str, most: int = 200_000) -> bool:
+    """CSV with a byte order mark for spreadsheets, nulls as empty cells; whether there were more than the `most` rows that it holds."""
     names = df.columns
     marked = df.limit(most).select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(("﻿" if k == 0 else "") + c) for k, c in enumerate(names)))
     marked.coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return not df.offset(most).isEmpty()
 
 
 def downloads(df: DataFrame, path: str, by: str, fmt: str = "json") -> None:

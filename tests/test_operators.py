@@ -254,7 +254,7 @@ def test_versions_and_files(spark, nation, tmp_path):
     root = str(tmp_path / "t")
     assert W.versions(spark, root) == [] and W.rebuild(nation.limit(3), root) == 1 and W.rebuild(nation, root) == 2
     assert W.current(spark, root).count() == 25 and W.current(spark, root, 1).count() == 3 and W.every_version(spark, root).count() == 28
-    W.csv_file(nation.select("n_name"), str(tmp_path / "c"))
+    assert not W.csv_file(nation.select("n_name"), str(tmp_path / "c")) and W.csv_file(nation, str(tmp_path / "c2"), 24)
     assert next((tmp_path / "c").glob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbf")
     W.downloads(nation, str(tmp_path / "d"), "n_regionkey")
     assert len(list((tmp_path / "d").glob("n_regionkey=*"))) == 5

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silthouse.operators import catalog as C
-from silthouse.operators import console, graph, spatial, spine
+from silthouse.operators import console, cover, graph, spatial, spine
 from silthouse.sources import writers
 
 DOOR = "town int, street string, street_key string, house string, entrance string, zip5 string, zip7 string, lon double, lat double, source string"
@@ -115,7 +115,7 @@ def test_geohash_and_polygon_counts(spark):
     assert [r[0] for r in rows.select(spatial.geohash(F.col("lon"), F.col("lat"))).collect()] == ["u4pruy", "000000", "zzzzzz", None]
     points = spark.createDataFrame([(0.5, 0.5), (0.6, 0.5), (5.0, 5.0)], "lon double, lat double")
     shapes = spark.createDataFrame([(1, "POLYGON((0 0, 1 0, 1 1, 0 1, 0 0))"), (2, "POLYGON((2 2, 3 2, 3 3, 2 3, 2 2))")], "id int, wkt string")
-    assert {tuple(r) for r in spatial.points_per_polygon(points, shapes, "id", size=0.5).collect()} == {(1, 2), (2, 0)}
+    assert {tuple(r) for r in cover.points_per_polygon(points, shapes, "id").collect()} == {(1, 2), (2, 0)}
 
 
 def test_lookup_with_neighbours(spark):
