@@ -37,10 +37,12 @@ def partial_ratio(a: str, b: str) -> float:
 
 def score(a: str, b: str) -> float:
     """The best of the plain ratio, nine tenths of the partial one, and nearly all of that of sorted words."""
-    best = ratio(a, b)
+    common = common_length(a, b)
+    best = 2 * common / (len(a) + len(b)) if a or b else 1.0
     if best < SORTED:
         best = max(best, SORTED * ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
-    if best < PARTIAL:
+    # a stretch shares no more than the whole text does, and is at least as long as what it shares
+    if common and best < PARTIAL * 2 * common / (min(len(a), len(b)) + common):
         best = max(best, PARTIAL * partial_ratio(a, b))
     return best
 

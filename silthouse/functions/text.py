@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Titles that say nothing of a person, and company forms.
 HONORIFICS = ("mr", "mrs", "ms", "dr", "prof", "adv", "ד\"ר", "דר", "פרופ", "עו\"ד", "מר", "גב", "השר", "השרה", "חה\"כ")
 COMPANY_WORDS = ("ltd", "inc", "llc", "corp", "co", "company", "בע\"מ", "בעמ", "חברה", "עמותה")
+#: Words that a company's name in a registry is compared without.
+COMPANY_FORMS = ("בע\"מ", "בע״מ", "בע'מ", "חברה ל", "חברת", "מפעלי", "קבוצת", "תעשיות", "הולדינגס", "ישראל", "לישראל", "בית השקעות")
 
 
 def norm(c: Column) -> Column:
@@ -65,6 +67,12 @@ def plain_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), "[\"'`׳״]", ""), "[-–—־/]", " "), r"\s+", " "))
 
 
+def company_name(c: Column) -> Column:
+    """Name without company forms as whole words and the empty brackets they leave, spaces collapsed; letters keep their case."""
+    bare = F.regexp_replace(c, rf"(?U)\b(?:{'|'.join(COMPANY_FORMS)})\b", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?U)\(\s*\)", " "), r"(?U)\s+", " "))
+
+
 def name_tokens(c: Column, organisation: bool = False) -> Column:
     """Sorted tokens without titles (and company words, for organisations) and single characters."""
     skip = [F.lit(x) for x in HONORIFICS + (COMPANY_WORDS if organisation else ())]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silthouse.functions.text import block_key, jaccard, name_tokens, no_parens, norm, plain_name, similarity
 from silthouse.operators.graph import clusters
+from silthouse.operators.likeness import registry_pairs, word_pairs
 from silthouse.storage import written
 
 #: Weights of a place's aliases.
@@ -101,20 +104,24 @@ def genuine_column(counts: DataFrame, known: DataFrame, share: float = 0.4, leas
 
 
 def blocked_pairs(names: DataFrame, ident: str, name: str, least: float = 0.85, block: Column | None = None, organisation: bool = False) -> DataFrame:
-    """a, b, score of alike names, a below b.
+    """a, b, score of alike names of a block, a below b.
 
-    Names are compared inside blocks, which must be narrow: the pairs of a block are its square.
-    Names with equal tokens are collapsed to the least id before, and linked to it.
+    Names with equal tokens are collapsed to the least id before, and linked to it. Others need a share of equal tokens to
+    reach `least`, which must be above 0.6: they meet by their rarest tokens, and no block is compared in full.
     """
+    if least <= 0.6:
+        raise ValueError("names without a common token can be alike below 0.6: least must be above it")
     rows = names.select(F.col(ident).alias("id"), F.col(name).alias("name"), name_tokens(F.col(name), organisation).alias("tokens"), (block if block is not None else F.lit(0)).alias("scope"))
-    rows = rows.withColumn("block", F.struct("scope", block_key(F.col("tokens")).alias("k"))).filter("size(tokens) > 0")
-    same = rows.groupBy("block", "tokens").agg(F.min("id").alias("id"), F.min_by("name", "id").alias("name"))
-    members = rows.join(same.select("block", "tokens", F.col("id").alias("_least"), F.col("name").alias("_name")), ["block", "tokens"]).filter("id <> _least")
+    rows = rows.withColumn("k", block_key(F.col("tokens"))).filter("size(tokens) > 0")
+    same = rows.groupBy("scope", "k", "tokens").agg(F.min("id").alias("id"), F.min_by("name", "id").alias("name"))
+    members = rows.join(same.select(F.col("scope").alias("_scope"), "k", "tokens", F.col("id").alias("_least"), F.col("name").alias("_name")), ["k", "tokens"])
+    members = members.filter(F.col("scope").eqNullSafe(F.col("_scope"))).filter("id <> _least")
     inner = members.select(F.col("_least").alias("a"), F.col("id").alias("b"), similarity(F.col("_name"), F.col("name"), F.col("tokens"), F.col("tokens"), organisation).alias("score"))
-    x, y = same.alias("x"), same.alias("y")
+    share = (least - 0.6) / 0.4
+    if organisation is not False:  # an organisation's tokens may be half of the other's
+        share = min(share, 0.5)
     score = similarity(F.col("x.name"), F.col("y.name"), F.col("x.tokens"), F.col("y.tokens"), organisation)
-    pairs = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")))
-    outer = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), score.alias("score"))
+    outer = word_pairs(same, ["scope", "k"], "tokens", share).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), score.alias("score"))
     return inner.unionByName(outer).filter(F.col("score") >= least)
 
 
@@ -122,19 +129,20 @@ def duplicate_clusters(pairs: DataFrame, least: float = 0.85) -> DataFrame:
     return clusters(pairs.filter(F.col("score") >= least))
 
 
-def two_pass_registry(names: DataFrame, registry: DataFrame, ident: str, name: str, number: str, least: float = 0.85, prefix: int = 3) -> DataFrame:
-    """id, number, score, how: the registry entry with the equal normal name, else the most alike one with the same first letters."""
-    left = names.select(F.col(ident).alias("id"), plain_name(F.col(name)).alias("plain"))
-    right = registry.select(F.col(number).alias("number"), plain_name(F.col(name)).alias("plain"))
-    exact = left.join(right.groupBy("plain").agg(F.min("number").alias("number")), "plain").select("id", "number", F.lit(1.0).alias("score"), F.lit("exact").alias("how"))
-    rest = left.join(exact.select("id"), "id", "left_anti").select("plain").distinct().withColumn("tokens", name_tokens(F.col("plain"))).withColumn("head", F.substring("plain", 1, prefix))
-    known = right.groupBy("plain").agg(F.min("number").alias("number")).withColumn("tokens", name_tokens(F.col("plain"))).withColumn("head", F.substring("plain", 1, prefix))
-    x, y = rest.alias("x"), known.alias("y")
-    score = similarity(F.col("x.plain"), F.col("y.plain"), F.col("x.tokens"), F.col("y.tokens"))
-    best = x.join(y, "head").select(F.col("x.plain").alias("plain"), F.col("y.number").alias("number"), F.round(score, 6).alias("score")).filter(F.col("score") >= least)
-    best = best.groupBy("plain").agg(F.min(F.struct((-F.col("score")).alias("s"), "number")).alias("b")).select("plain", "b.number", (-F.col("b.s")).alias("score"))
-    fuzzy = left.join(exact.select("id"), "id", "left_anti").join(best, "plain").select("id", "number", "score", F.lit("fuzzy").alias("how"))
-    return exact.unionByName(fuzzy)
+def two_pass_registry(names: DataFrame, registry: DataFrame, ident: str, name: str, number: str, least: float = 0.85, prefix: int = 3, clean: Callable[[Column], Column] = plain_name) -> DataFrame:
+    """id, number, score, how: the registry entry with the equal normal name, else the one of the highest registry score of
+    `least` or more with the same first letters; ties by the least number.
+
+    clean: the normal form. Entries without a number and names of less than two characters match nothing.
+    """
+    left = names.select(F.col(ident).alias("id"), clean(F.col(name)).alias("plain")).filter("length(plain) > 1")
+    right = registry.select(F.col(number).alias("number"), clean(F.col(name)).alias("plain")).filter("number is not null").groupBy("plain").agg(F.min("number").alias("number"))
+    seen = written(left.join(right, "plain", "left"), "registry")
+    exact = seen.filter("number is not null").select("id", "number", F.lit(1.0).alias("score"), F.lit("exact").alias("how"))
+    rest = seen.filter("number is null").select("id", "plain")
+    pairs = registry_pairs(rest, right, least, prefix=prefix).join(right.withColumnRenamed("plain", "b"), "b")
+    best = pairs.groupBy(F.col("a").alias("plain")).agg(F.min(F.struct((-F.round("score", 6)).alias("s"), "number")).alias("b")).select("plain", "b.number", (-F.col("b.s")).alias("score"))
+    return exact.unionByName(rest.join(best, "plain").select("id", "number", "score", F.lit("fuzzy").alias("how")))
 
 
 def same_day_matches(events: DataFrame, ident: str, source: str, day: str, title: str, least: float = 0.65) -> DataFrame:

@@ -41,34 +41,80 @@ def genuine_column(spark, sf):
     return R.genuine_column(counts, R.place_aliases(nation, "n_nationkey", "n_name"))
 
 
-#: Clusters are held to union-find over all pairs in the tests.
-@query("duplicate_clusters")
+#: Likeness of all pairs of names in a block, then the names that pairs lead to.
+_CLUSTERS = """WITH RECURSIVE t AS (SELECT p_name, list_sort(string_split(p_name, ' ')) AS w, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY p_name),
+       k AS (SELECT *, array_to_string(w, ' ') AS s, substr(list_extract(list_sort(list_transform(w, lambda x: lpad(CAST(99 - length(x) AS VARCHAR), 2, '0') || x)), 1), 3, 2) AS block FROM t),
+       e AS (SELECT x.p_name AS a, y.p_name AS b FROM k x JOIN k y ON x.block = y.block AND x.p_name <> y.p_name
+             WHERE CASE WHEN list_sort(list_distinct(x.w)) = list_sort(list_distinct(y.w)) THEN 0.97
+                   ELSE 0.6 * (1 - levenshtein(x.s, y.s) / greatest(length(x.s), length(y.s))) + 0.4 * len(list_intersect(list_distinct(x.w), list_distinct(y.w))) / len(list_distinct(x.w || y.w)) END >= 0.85),
+       r AS (SELECT p_name AS a, p_name AS b FROM t UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+       c AS (SELECT r.a, min(t.id) AS cluster, CAST(sum(t.n) AS BIGINT) AS size FROM r JOIN t ON t.p_name = r.b GROUP BY 1)
+       SELECT p_partkey AS id, cluster, size FROM part JOIN c ON a = p_name WHERE size > 1"""
+
+
+@query("duplicate_clusters", _CLUSTERS)
 def duplicate_clusters(spark, sf):
     return R.duplicate_clusters(R.blocked_pairs(load(spark, sf, "part"), "p_partkey", "p_name"))
 
 
+def _spelled(df: DataFrame) -> DataFrame:
+    """Longer part names, a third each as they are, with a letter left out, and with two words changed about."""
+    name = F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower("p_brand"))
+    at = 4 + F.col("p_partkey") % (F.length(name) - 4)
+    gone = F.concat(F.substring(name, F.lit(1), at - 1), F.substring(name, at + 1, F.length(name)))
+    moved = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(1)), F.lower("p_type"), F.split_part("p_name", F.lit(" "), F.lit(2)))
+    return df.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, name).when(F.col("p_partkey") % 3 == 1, gone).otherwise(moved).alias("name"))
+
+
+_SPELLED = """(SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN n WHEN 1 THEN substr(n, 1, 3 + p_partkey % (length(n) - 4)) || substr(n, 5 + p_partkey % (length(n) - 4))
+       ELSE split_part(p_name, ' ', 1) || ' ' || lower(p_type) || ' ' || split_part(p_name, ' ', 2) END AS name
+       FROM (SELECT *, p_name || ' ' || lower(p_type) || ' ' || lower(p_brand) AS n FROM part))"""
+
+
+def _common_sql(a: str, b: str) -> str:
+    """Characters of the longest common subsequence of two texts of up to 60 letters, as bits of a number."""
+    full = f"((CAST(1 AS BIGINT) << CAST(length({a}) AS INT)) - 1)"
+    mask = f"CAST(coalesce(list_sum(list_transform(range(length({a})), lambda k: CASE WHEN substr({a}, CAST(k AS INT) + 1, 1) = c THEN CAST(1 AS BIGINT) << CAST(k AS INT) ELSE CAST(0 AS BIGINT) END)), 0) AS BIGINT)"
+    rows = f"list_prepend({full}, list_transform(string_split({b}, ''), lambda c: {mask}))"
+    return f"(length({a}) - bit_count(list_reduce({rows}, lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full})))"
+
+
+def _scores_sql(pairs: str) -> str:
+    """a, b, score of different pairs (a, b): the best of the three ratios, over all stretches for the partial one."""
+    words = lambda c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+    return f"""(SELECT a, b, max(weight * 2 * {_common_sql("x", "y")} / (length(x) + length(y))) AS score FROM (
+       SELECT a, b, 1.0::DOUBLE AS weight, a AS x, b AS y FROM {pairs} UNION ALL SELECT a, b, 0.95::DOUBLE, {words("a")}, {words("b")} FROM {pairs}
+       UNION ALL SELECT a, b, 0.9::DOUBLE, x, substr(y, CAST(greatest(k, 0) + 1 AS INT), CAST(k + length(x) - greatest(k, 0) AS INT)) FROM (
+         SELECT a, b, x, y, unnest(range(1 - length(x), length(y))) AS k FROM (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS x, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS y FROM {pairs}))) GROUP BY a, b)"""
+
+
+def _registry_sql(asked: str, known: str) -> str:
+    """Rows of two_pass_registry: asked (id, name) against known (number, name), all pairs of different names of a block scored."""
+    return f"""WITH q AS (SELECT * FROM {asked}), r AS (SELECT name, min(number) AS number FROM {known} GROUP BY 1),
+       p AS (SELECT DISTINCT q.name AS a, r.name AS b FROM q JOIN r ON q.name[1:3] = r.name[1:3] WHERE q.name NOT IN (SELECT name FROM r)),
+       s AS (SELECT a, b, round(score, 6) AS score FROM {_scores_sql("p")} WHERE score >= 0.85),
+       f AS (SELECT a, max(score) AS score, arg_min(number, (-score, number)) AS number FROM s JOIN r ON r.name = s.b GROUP BY a)
+       SELECT q.id, coalesce(r.number, f.number) AS number, CASE WHEN r.number IS NULL THEN f.score ELSE 1.0 END AS score, CASE WHEN r.number IS NULL THEN 'fuzzy' ELSE 'exact' END AS how
+       FROM q LEFT JOIN r ON r.name = q.name LEFT JOIN f ON f.a = q.name WHERE r.number IS NOT NULL OR f.number IS NOT NULL"""
+
+
 @query("duplicate_pairs_exact", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM (SELECT n_nationkey, n_regionkey AS k FROM nation) a JOIN (SELECT n_nationkey, n_regionkey AS k FROM nation) b USING (k) WHERE a.n_nationkey < b.n_nationkey AND a.n_nationkey = (SELECT min(n_nationkey) FROM nation c WHERE c.n_regionkey = k)")
 def duplicate_pairs_exact(spark, sf):
     names = load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     return R.blocked_pairs(names, "n_nationkey", "r_name").select("a", "b")
 
 
-@query(
-    "registry_two_pass",
-    """SELECT a.p_partkey AS id, min(b.p_partkey) AS number, 'exact' AS how FROM part a JOIN part b ON a.p_name = b.p_name AND b.p_partkey % 2 = 1 WHERE a.p_partkey % 2 = 0 GROUP BY 1""",
-)
+@query("registry_two_pass", _registry_sql("(SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 2 = 0)", "(SELECT p_partkey AS number, p_name AS name FROM part WHERE p_partkey % 2 = 1)"))
 def registry_two_pass(spark, sf):
     part = load(spark, sf, "part").select("p_partkey", "p_name")
-    found = R.two_pass_registry(part.filter("p_partkey % 2 = 0"), part.filter("p_partkey % 2 = 1"), "p_partkey", "p_name", "p_partkey")
-    return found.filter("how = 'exact'").select("id", "number", "how")
+    return R.two_pass_registry(part.filter("p_partkey % 2 = 0"), part.filter("p_partkey % 2 = 1"), "p_partkey", "p_name", "p_partkey")
 
 
-#: The likeness of fuzzy hits is held to a plain implementation in the tests.
-@query("registry_fuzzy")
+@query("registry_fuzzy", _registry_sql(f"(SELECT p_partkey AS id, name FROM {_SPELLED})", "(SELECT p_partkey AS number, p_name || ' ' || lower(p_type) AS name FROM part)"))
 def registry_fuzzy(spark, sf):
     part = load(spark, sf, "part")
-    full = part.groupBy(F.concat_ws(" ", "p_name", "p_type").alias("p_name")).agg(F.min("p_partkey").alias("number"))
-    return R.two_pass_registry(part.select("p_partkey", "p_name"), full, "p_partkey", "p_name", "number", least=0.6)
+    full = part.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"), F.col("p_partkey").alias("number"))
+    return R.two_pass_registry(_spelled(part), full, "p_partkey", "name", "number")
 
 
 @query(
@@ -206,8 +252,7 @@ def doorway_keys(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", key.alias("key"))
 
 
-#: Scores are held to a plain implementation in the tests.
-@query("registry_scores")
+@query("registry_scores", f"""WITH p AS (SELECT lower(n_name) AS a, lower(r_name) AS b FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT a, b, round(score, 6) AS score FROM {_scores_sql("p")}""")
 def registry_scores(spark, sf):
     from silthouse.functions.fuzzy import registry_score
 

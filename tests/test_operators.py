@@ -139,23 +139,6 @@ def test_duplicate_clusters_match_union_find(spark, sf):
     assert got == {(i, root(i), size[root(i)]) for i in of if size[root(i)] > 1}
 
 
-def test_registry_fuzzy_matches_plain_likeness(spark, sf):
-    rows = spark.read.parquet(f"{sf}/part.parquet").collect()
-    part = {r.p_partkey: r.p_name for r in rows}
-    known: dict = {}
-    for r in sorted(rows, key=lambda r: r.p_partkey):
-        known.setdefault(plain(f"{r.p_name} {r.p_type}"), r.p_partkey)
-    want = set()
-    for k in part:
-        own = plain(part[k])
-        if own in known:
-            want.add((k, known[own], 1.0, "exact"))
-        else:
-            best = sorted((-round(alike(own, n), 6), i) for n, i in known.items() if n[:3] == own[:3] and alike(own, n) >= 0.6)
-            want |= {(k, best[0][1], -best[0][0], "fuzzy")} if best else set()
-    assert {tuple(r) for r in registry.queries()["registry_fuzzy"](spark, sf).select("id", "number", "score", "how").collect()} == want
-
-
 def test_profiles(spark):
     rows = spark.createDataFrame([("1,000", "1.5", "2024-01-02", "x"), ("2", "", "2024-02-03", None)], "a string, b string, c string, d string")
     kinds = P.infer_types(rows)
