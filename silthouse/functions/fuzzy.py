@@ -27,12 +27,26 @@ def ratio(a: str, b: str) -> float:
     return 2 * common_length(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a stretch of the longer one that is no longer than it."""
+def partial_ratio(a: str, b: str, above: float = 0.0) -> float:
+    """The best ratio of the shorter text with a stretch of the longer one that is no longer than it.
+
+    A best ratio that is not above `above` may come out as any number up to it. A stretch that is moved by a letter shares
+    at most one letter more, so stretches that cannot get there are passed over.
+    """
     short, long = sorted((a, b), key=len)
+    m, n, best = len(short), len(long), above
     if not short:
         return float(not long)
-    return max(ratio(short, long[max(0, k) : k + len(short)]) for k in range(1 - len(short), len(long)))
+    k = 0
+    while k <= n - m:
+        common = common_length(short, long[k : k + m])
+        best = max(best, common / m)
+        k += max(1, int(best * m - 1e-9) + 1 - common)
+    w = m - 1  # stretches that the ends of the longer text cut off
+    while w > 0 and 2 * w / (m + w) > best:
+        best = max(best, ratio(short, long[:w]), ratio(short, long[n - w :]))
+        w -= 1
+    return best
 
 
 def score(a: str, b: str) -> float:
@@ -43,7 +57,7 @@ def score(a: str, b: str) -> float:
         best = max(best, SORTED * ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
     # a stretch shares no more than the whole text does, and is at least as long as what it shares
     if common and best < PARTIAL * 2 * common / (min(len(a), len(b)) + common):
-        best = max(best, PARTIAL * partial_ratio(a, b))
+        best = max(best, PARTIAL * partial_ratio(a, b, best / PARTIAL - 1e-9))
     return best
 
 
