@@ -32,6 +32,12 @@ def number(c: Column) -> Column:
     return F.nullif(F.regexp_replace(c.cast("string"), "[^0-9.-]", ""), F.lit("")).try_cast("decimal(38,10)")
 
 
+def strip_type_key(key: Column, types: tuple[str, ...]) -> Column:
+    """A normal key without the street type it starts with, the longest first, where at least 3 characters are left."""
+    ladder = "|".join(sorted(types, key=len, reverse=True))
+    return F.regexp_replace(key, rf"^(?:{ladder})(?=.{{3}})", "")
+
+
 def parcel_key(block: Column, suffix: Column, parcel: Column) -> Column:
     """block-suffix-parcel, the suffix 0 where there is none; null without a block or parcel."""
     parts = [as_int(block), F.coalesce(as_int(suffix), F.lit(0)), as_int(parcel)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from silthouse.functions.text import block_key, jaccard, name_tokens, no_parens, norm, plain_name, similarity
+from silthouse.functions.text import block_key, jaccard, name_tokens, no_parens, norm, plain_name, similarity, strip_type_key
 from silthouse.operators.graph import clusters
 from silthouse.operators.likeness import registry_pairs, word_pairs
 from silthouse.storage import written
@@ -19,6 +19,13 @@ PREFIXES = ("ה", "ו", "ב", "ל", "מ", "כ", "ש", "וה", "ול", "וב", "
 ADMIN_PREFIXES = ("עיריית", "עירית", "מועצהמקומית", "מועצהאזורית", "מא", "ממ", "מועצה")
 #: Weights of a street's aliases.
 STREET_WEIGHTS = {"official": 100, "no_paren": 90, "no_type": 85, "no_article": 70, "token_set": 60, "last_token": 40}
+#: Weights of spellings that an official file or the post publishes.
+PUBLISHED_WEIGHTS = {"official_file": 100, "official_synonym": 92, "postal_synonym": 92}
+#: Words that say what kind of street it is.
+STREET_TYPES = (
+    "רחוב", "רח", "שדרות", "שדרה", "שד", "סמטה", "סמטת", "דרך", "כיכר", "ככר", "כיכרת", "משעול", "מעלה", "מורד", "נתיב", "מבוא",
+    "מעבר", "טיילת", "גשר", "רחבת", "רחבה", "שכונת", "שכונה", "כביש", "street", "st", "road", "rd",
+)
 
 
 def place_aliases(places: DataFrame, code: str, name: str, english: str | None = None, translit: str | None = None) -> DataFrame:
@@ -41,14 +48,72 @@ def place_aliases(places: DataFrame, code: str, name: str, english: str | None =
     return best_alias(places.select(F.col(code).alias("code"), F.explode(rows).alias("a")).select("a.variant", "code", "a.surface", "a.kind", "a.weight"), ["variant", "code"])
 
 
-def street_aliases(streets: DataFrame, town: str, key: str, name: str, types: Column) -> DataFrame:
-    """variant, town, key, kind, weight of each street. types: the name without its street type."""
-    plain = plain_name(F.col(name))
-    tokens = F.split(plain, " ")
-    kinds = [("official", plain), ("no_paren", plain_name(no_parens(F.col(name)))), ("no_type", plain_name(types)), ("no_article", F.regexp_replace(plain, r"(^|\s)ה", "$1")), ("token_set", F.array_join(F.array_sort(F.array_distinct(tokens)), " ")), ("last_token", F.when((F.size(tokens) > 1) & (F.length(F.element_at(tokens, -1)) >= 3), F.element_at(tokens, -1)))]
-    rows = F.array(*(F.struct(norm(c).alias("variant"), F.lit(k).alias("kind"), F.lit(STREET_WEIGHTS[k]).alias("weight")) for k, c in kinds))
-    flat = streets.select(F.col(town).alias("town"), F.col(key).alias("key"), F.explode(rows).alias("a")).select("a.variant", "town", "key", "a.kind", "a.weight")
-    return best_alias(flat.filter("variant is not null"), ["variant", "town", "key"])
+def street_ladder(name: Column, types: tuple[str, ...] = STREET_TYPES) -> Column:
+    """Array of (variant, kind, weight), strongest first: the spellings under which a street's name may be found.
+
+    Brackets and the street type go separately and together; of each of these keys, a leading article goes where 4 or more
+    letters are there. The words count in any order, and the last one alone from 4 letters on. Keys have 2 letters or more;
+    one that comes twice has its stronger kind. Null without a name.
+    """
+    base, bare = norm(name), norm(no_parens(name))
+    words = F.transform(F.regexp_extract_all(no_parens(name), F.lit("[0-9A-Za-zא-ת]+"), F.lit(0)), lambda w: F.lower(w))
+    last = F.try_element_at(words, F.lit(-1))
+    keys = [base, bare, strip_type_key(base, types), strip_type_key(bare, types)]
+    rungs = list(zip(("official", "no_paren", "no_type", "no_type"), keys, strict=True))
+    rungs += [("no_article", F.when(k.startswith("ה") & (F.length(k) >= 4), F.substring(k, F.lit(2), F.length(k)))) for k in keys]
+    rungs += [("token_set", F.when(F.size(words) > 1, F.array_join(F.array_sort(words), ""))), ("last_token", F.when((F.size(words) > 1) & (F.length(last) >= 4), last))]
+    every = F.array(*(F.struct(k.alias("variant"), F.lit(kind).alias("kind"), F.lit(STREET_WEIGHTS[kind]).alias("weight")) for kind, k in rungs))
+    known = F.filter(every, lambda x: F.length(x["variant"]) > 1)
+    return F.filter(known, lambda x, i: F.array_position(known["variant"], x["variant"]) == i + 1)
+
+
+def street_aliases(streets: DataFrame, town: str, key: str, name: str, types: tuple[str, ...] = STREET_TYPES) -> DataFrame:
+    """variant, town, key, kind, weight of each street: the ladders of its names, the strongest kind of each variant."""
+    flat = streets.select(F.col(town).alias("town"), F.col(key).alias("key"), F.explode(street_ladder(F.col(name), types)).alias("a")).select("a.variant", "town", "key", "a.kind", "a.weight")
+    return best_alias(flat, ["variant", "town", "key"])
+
+
+def published_aliases(streets: DataFrame, official: DataFrame) -> DataFrame:
+    """variant, town, key, kind, weight of an official file's spellings (town, code, name, status) of streets (town, code, key).
+
+    A status that starts with "official" stands like a street's own name, any other is a synonym. A code of no street gives none.
+    """
+    kind = F.when(F.lower(F.trim("status")).startswith("official"), "official_file").otherwise("official_synonym")
+    rows = official.join(streets.filter("code is not null").groupBy("town", "code").agg(F.min("key").alias("key")), ["town", "code"])
+    weights = F.create_map(*(F.lit(x) for pair in PUBLISHED_WEIGHTS.items() for x in pair))
+    return best_alias(rows.select(norm(F.col("name")).alias("variant"), "town", "key", kind.alias("kind")).withColumn("weight", weights[F.col("kind")]), ["variant", "town", "key"])
+
+
+def _strongest(aliases: DataFrame) -> DataFrame:
+    """One row for each (town, variant): the key of the highest weight, null where two keys have it."""
+    each = aliases.groupBy("town", "variant", "weight").agg(F.countDistinct("key").alias("_n"), F.min("key").alias("key"))
+    best = each.groupBy("town", "variant").agg(F.max_by(F.struct("key", "_n"), "weight").alias("_b"), F.max("weight").alias("weight"))
+    return best.select("town", "variant", F.when(F.col("_b._n") == 1, F.col("_b.key")).alias("key"), "weight")
+
+
+def settled_streets(aliases: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """town, variant, key, weight: the one street that a spelling stands for in a town. A tie of two streets stands for none.
+
+    synonyms (town, name, synonym) have no code: both spellings name the street that `name` stands for, or where nothing has that
+    spelling, `synonym`. A spelling that stands for two streets passes nothing on.
+    """
+    aliases = aliases.select("town", "variant", "key", "weight")
+    best = _strongest(aliases)
+    if synonyms is not None:
+        pairs = synonyms.select("town", norm(F.col("name")).alias("n"), norm(F.col("synonym")).alias("s")).filter("n <> '' and s <> '' and n <> s").distinct()
+        known = best.select("town", "variant", F.struct("key").alias("hit"))
+        of = pairs.join(known.withColumnsRenamed({"variant": "n", "hit": "_n"}), ["town", "n"], "left").join(known.withColumnsRenamed({"variant": "s", "hit": "_s"}), ["town", "s"], "left")
+        more = of.select("town", F.explode(F.array("n", "s")).alias("variant"), F.coalesce("_n", "_s")["key"].alias("key")).filter("key is not null")
+        best = _strongest(aliases.unionByName(more.withColumn("weight", F.lit(PUBLISHED_WEIGHTS["postal_synonym"]))))
+    return best.filter("key is not null")
+
+
+def matched_streets(names: DataFrame, settled: DataFrame, types: tuple[str, ...] = STREET_TYPES) -> DataFrame:
+    """The distinct (town, name) pairs with the `key` and `kind` of the strongest rung of a name's ladder that stands for a street."""
+    own = names.select("town", "name").distinct()
+    tries = own.select("town", "name", F.posexplode(street_ladder(F.col("name"), types)).alias("at", "a")).select("town", "name", "at", "a.variant", "a.kind")
+    hit = tries.join(settled.select("town", "variant", "key"), ["town", "variant"]).groupBy("town", "name").agg(F.min(F.struct("at", "key", "kind")).alias("b"))
+    return own.join(hit, ["town", "name"], "left").select("town", "name", "b.key", "b.kind")
 
 
 def best_alias(aliases: DataFrame, key: list[str]) -> DataFrame:

@@ -45,7 +45,7 @@ def street_universe(spark, sf):
 
 def _street_aliases(spark, sf):
     own = S.street_universe(_street_lists(spark, sf))
-    return R.street_aliases(own, "town", "street_key", "name", F.col("name"))
+    return R.street_aliases(own, "town", "street_key", "name")
 
 
 def _asked_streets(spark, sf):
@@ -67,6 +67,44 @@ def unmatched_streets(spark, sf):
     return S.unmatched_streets(rows, S.street_keys(rows, _street_aliases(spark, sf), ["street"]))
 
 
+def _named_streets(spark, sf):
+    """Parts as streets of towns: with a type, with brackets, with both, or plain."""
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.concat(F.lit("street "), "p_name")).when(k == 1, F.concat("p_name", F.lit(" (old)"))).when(k == 2, F.concat(F.lit("Road "), "p_name", F.lit(" (new)"))).otherwise(F.initcap("p_name"))
+    return load(spark, sf, "part").select(F.col("p_size").alias("town"), name.alias("name"), "p_partkey").groupBy("town", "name").agg(F.min("p_partkey").alias("key"))
+
+
+_NAMED = """(SELECT p_size AS town, CASE p_partkey % 4 WHEN 0 THEN 'street ' || p_name WHEN 1 THEN p_name || ' (old)' WHEN 2 THEN 'Road ' || p_name || ' (new)'
+       ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS name, min(p_partkey) AS key FROM part GROUP BY ALL)"""
+
+
+def _ladder_sql(rows: str) -> str:
+    """The columns of some rows (with a name) with variant, weight and place of each rung; Latin names have no article."""
+    return rf"""(WITH b AS (SELECT *, lower(regexp_replace(name, '[^0-9A-Za-z]', '', 'g')) AS base, trim(regexp_replace(name, '\s*\([^)]*\)\s*', ' ', 'g')) AS free FROM {rows}),
+       c AS (SELECT *, lower(regexp_replace(free, '[^0-9A-Za-z]', '', 'g')) AS bare, regexp_extract_all(lower(free), '[0-9a-z]+') AS w FROM b)
+       SELECT * EXCLUDE (base, free, bare, w), r[1] AS variant, CAST(r[2] AS INT) AS weight, CAST(r[3] AS INT) AS at FROM (SELECT *, unnest([[base, '100', '0'], [bare, '90', '1'], [regexp_replace(base, '^(?:street|road|st|rd)(.{{3,}})$', '\1'), '85', '2'],
+         [regexp_replace(bare, '^(?:street|road|st|rd)(.{{3,}})$', '\1'), '85', '3'], [CASE WHEN len(w) > 1 THEN array_to_string(list_sort(w), '') END, '60', '8'], [CASE WHEN len(w) > 1 AND length(w[-1]) >= 4 THEN w[-1] END, '40', '9']]) AS r FROM c) WHERE length(r[1]) > 1)"""
+
+
+_SETTLED = f"""(SELECT town, variant, arg_max(key, weight) AS key, max(weight) AS weight FROM (SELECT town, variant, weight, min(key) AS key, count(DISTINCT key) AS n FROM {_ladder_sql(_NAMED)} GROUP BY ALL) GROUP BY ALL HAVING arg_max(n, weight) = 1)"""
+
+
+@query("street_spellings", f"SELECT * FROM {_SETTLED}")
+def street_spellings(spark, sf):
+    return R.settled_streets(R.street_aliases(_named_streets(spark, sf), "town", "key", "name"))
+
+
+_WANTED = """(SELECT DISTINCT p_size AS town, CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 1 THEN 'rd. ' || p_name ELSE 'the ' || split_part(p_name, ' ', 2) END AS name FROM part)"""
+
+
+@query("streets_matched", f"SELECT w.town, w.name, h.key FROM {_WANTED} w LEFT JOIN (SELECT l.town, l.name, arg_min(s.key, l.at) AS key FROM {_ladder_sql(_WANTED)} l JOIN {_SETTLED} s ON s.town = l.town AND s.variant = l.variant GROUP BY ALL) h ON h.town = w.town AND h.name = w.name")
+def streets_matched(spark, sf):
+    first, second = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", second, first)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("rd. "), "p_name")).otherwise(F.concat(F.lit("the "), second))
+    settled = R.settled_streets(R.street_aliases(_named_streets(spark, sf), "town", "key", "name"))
+    return R.matched_streets(load(spark, sf, "part").select(F.col("p_size").alias("town"), name.alias("name")), settled).select("town", "name", "key")
+
+
 def _doors(spark, sf):
     """Customers as a list of addresses with places, orders as the postal file with zips."""
     k = F.col("c_custkey")
