@@ -12,8 +12,8 @@
    document over blocks and sections.
 
 Arrays refer to one buffer, so memory is linear in shard and block, whatever the length of an item.
-A text longer than a shard goes in sections that overlap by a window less one word; longest matches are
-counted within a section, and within a section of an item longer than a block.
+A text longer than a shard goes in sections that overlap by a window less one word, and so does an item. A match that runs
+over the end of a section is found as pieces in both, each with its item and distance; pieces that touch are one match again.
 
 Nulls and edges: a null text has no words; a null item_id counts as the item "". An item of
 fewer than `window` words is one window of all its words; an item without words matches nothing.
@@ -114,8 +114,8 @@ class Words:
         return cls(pa.array(vocabulary.split(b" ") if vocabulary else [], pa.large_binary()), np.frombuffer(ids, np.int32), np.frombuffer(first, np.int64), np.frombuffer(order, np.int32))
 
 
-def _sections(data: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, int, int]]:
-    """Parts of a long text, the number of its words before each, and the part's words that were in none before."""
+def _sections(data: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, int, int, bool]]:
+    """Parts of a long text, the number of its words before each, the part's words that were in none before, and whether the text goes on."""
     start = before = 0
     size, overlap = SHARD_BYTES, 0
     while True:
@@ -127,7 +127,7 @@ def _sections(data: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, int,
         if stop < len(data) and len(begin) < 2 * window:
             size *= 2
             continue
-        yield part, before, len(begin) - overlap
+        yield part, before, len(begin) - overlap, stop < len(data)
         if stop == len(data):
             return
         overlap, size = window - 1, SHARD_BYTES
@@ -136,7 +136,7 @@ def _sections(data: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, int,
 
 
 def shards(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Written shards: doc (a number), key, at (words before the section) and own (words) of each text in it; its arrays."""
+    """Written shards: doc (a number), key, at (words before the section), own (words) and more (the text goes on) of each text in it; its arrays."""
     kind = docs.schema[key].dataType
 
     def build(batches):
@@ -144,24 +144,28 @@ def shards(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
         for batch in common.slices(batches, text, SHARD_BYTES):
             data, at = common.byte_view(batch.column(text))
             if len(data) > SHARD_BYTES and batch.num_rows == 1:
-                made = [(Words.of(part, np.array([0, len(part)])), [before], [own]) for part, before, own in _sections(data, window)]
+                made = [(Words.of(part, np.array([0, len(part)])), [before], [own], [more]) for part, before, own, more in _sections(data, window)]
             else:
                 words = Words.of(data, at)
-                made = [(words, [0] * batch.num_rows, np.diff(words.first) - 1)]
-            for words, before, own in made:
+                made = [(words, [0] * batch.num_rows, np.diff(words.first) - 1, [False] * batch.num_rows)]
+            for words, before, own, more in made:
                 whole = pa.array([0, batch.num_rows], pa.int32())
-                lists = [pa.array(range(doc, doc + batch.num_rows), pa.int64()), batch.column(key), pa.array(before, pa.int64()), pa.array(own, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(whole, x) for x in lists), *(pa.array([x], pa.binary()) for x in words.stored())], names=["doc", "key", "at", "own", "vocabulary", "ids", "first", "suffixes"])
+                lists = [pa.array(range(doc, doc + batch.num_rows), pa.int64()), batch.column(key), pa.array(before, pa.int64()), pa.array(own, pa.int64()), pa.array(more, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(whole, x) for x in lists), *(pa.array([x], pa.binary()) for x in words.stored())], names=["doc", "key", "at", "own", "more", "vocabulary", "ids", "first", "suffixes"])
             doc += batch.num_rows
 
-    rows = docs.select(key, text).mapInArrow(build, f"doc array<long>, key array<{kind.simpleString()}>, at array<long>, own array<long>, vocabulary binary, ids binary, first binary, suffixes binary")
+    rows = docs.select(key, text).mapInArrow(build, f"doc array<long>, key array<{kind.simpleString()}>, at array<long>, own array<long>, more array<boolean>, vocabulary binary, ids binary, first binary, suffixes binary")
     return common.written(rows, "shards", compression="zstd", **{"parquet.block.row.count.limit": 4})
 
 
 class Block:
-    """Test suffixes of some items: their suffix array, the different windows, and the items of each."""
+    """Test suffixes of some items: their suffix array, the different windows, and the items of each.
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    `parts` says of each text which row of the benchmark it is, how many of its words are before, and whether it goes on.
+    """
+
+    def __init__(self, items: list[tuple[str, str]], window: int, parts: list[tuple[int, int, bool]] | None = None):
+        self.parts = parts or [(k, 0, False) for k in range(len(items))]
         self.names = sorted({name for name, _ in items})
         number = {name: k for k, name in enumerate(self.names)}
         self.words = words = Words.of(*common.byte_view(pa.array([t for _, t in items], pa.string())))
@@ -214,9 +218,46 @@ class Block:
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
         return shard.order[at].astype(np.int64), np.repeat(which, count)
 
-    def longest(self, shard: Words, place: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, shard: Words, place: np.ndarray, window: np.ndarray, at: np.ndarray, more: np.ndarray, both: tuple[tuple, tuple]) -> list[tuple]:
+        """(text in the shard, first word, word behind the last, row, first word in the item, item) of all matches that end with a section.
+
+        Every window that begins or ends a cut section, of the text or of the item, is drawn out to both sides.
+        """
+        width, words = self.windows.shape[1], self.words
+        row, before, goes_on = (np.array(x) for x in zip(*self.parts, strict=True))
+
+        def cut(w: Words, p: np.ndarray, begun: np.ndarray, on: np.ndarray) -> np.ndarray:
+            text = np.searchsorted(w.first, p, side="right") - 1
+            return ((p == w.first[text]) & begun[text]) | ((p + width == w.stop[p]) & on[text])
+
+        # positions in the items that begin or end a section, by window
+        full = np.flatnonzero(self.n == width)
+        spans = self.high[full] - self.low[full]
+        spot = words.order[np.repeat(self.low[full] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())].astype(np.int64)
+        of = np.repeat(full, spans)
+        kept = cut(words, spot, before > 0, goes_on)
+        spot, of = spot[kept], of[kept]
+        near = np.flatnonzero(cut(shard, place, at > 0, more) & (self.n[window] == width))
+        if not len(near) and not len(spot):
+            return []
+        n = self.high[window[near]] - self.low[window[near]]
+        p = np.repeat(place[near], n)
+        b = words.order[np.repeat(self.low[window[near]] - np.cumsum(n) + n, n) + np.arange(n.sum())].astype(np.int64)
+        low, high = np.searchsorted(of, window), np.searchsorted(of, window, side="right")
+        n = high - low
+        p = np.concatenate([p, np.repeat(place, n)])
+        b = np.concatenate([b, spot[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]])
+        text, item = np.searchsorted(shard.first, p, side="right") - 1, np.searchsorted(words.first, b, side="right") - 1
+        mine, theirs = both
+        ahead = _common(theirs, mine, p, b, np.minimum(shard.stop[p] - p, words.stop[b] - b))
+        back = _common(theirs, mine, p, b, np.minimum(p - shard.first[text], b - words.first[item]), -1)
+        start = p - shard.first[text] + at[text]
+        each = np.stack([text, start - back, start + ahead, row[item], b - words.first[item] + before[item] - back, self.item[words.first[item]]])
+        return [tuple(x) for x in np.unique(each, axis=1).T.tolist()]
+
+    def longest(self, shard: Words, place: np.ndarray, window: np.ndarray, both: tuple[tuple, tuple] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Words of the longest match from each place on, and the largest item that has it; for the best places of a document, else -1."""
-        mine, theirs = _Compared(self.words, shard).both()
+        mine, theirs = both or _Compared(self.words, shard).both()
         order, stop = self.words.order, self.words.stop
         most, item = self.n[window].copy(), np.full(len(place), -1)
         whole = np.flatnonzero(most == self.windows.shape[1])
@@ -296,12 +337,12 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
-def _common(left: tuple, right: tuple, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """How many numbers two sequences share from a and b on, at most `most`: by hashes, then the end by itself."""
+def _common(left: tuple, right: tuple, a: np.ndarray, b: np.ndarray, most: np.ndarray, way: int = 1) -> np.ndarray:
+    """How many numbers two sequences share from a and b on, or before them with -1 as `way`, at most `most`: by their hashes."""
     low, high = np.zeros(len(a), np.int64), most.copy()
     while (open_ := np.flatnonzero(low < high)).size:
         middle = (low[open_] + high[open_] + 1) // 2
-        x, y = a[open_], b[open_]
+        x, y = (a[open_], b[open_]) if way > 0 else (a[open_] - middle, b[open_] - middle)
         same = (left[1][x + middle] - left[1][x]) * left[2][x] == (right[1][y + middle] - right[1][y]) * right[2][y]
         low[open_[same]] = middle[same]
         high[open_[~same]] = middle[~same] - 1
@@ -310,26 +351,27 @@ def _common(left: tuple, right: tuple, a: np.ndarray, b: np.ndarray, most: np.nd
 
 def blocks(benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id") -> Iterator[Block]:
     """The benchmark, in blocks of about BLOCK_BYTES; a longer single item goes in sections, a shorter rest with the next items."""
-    rows, size = [], 0
-    for name, body in benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).toLocalIterator():
-        parts = [body]
+    rows, parts, size = [], [], 0
+    for row, (name, body) in enumerate( benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).toLocalIterator()):
+        cut = [(body, 0, False)]
         if len(body) > SHARD_BYTES:
-            parts = [part.tobytes().decode() for part, _, _ in _sections(np.frombuffer(body.encode(), np.uint8), window)]
-        for part in parts:
+            cut = [(part.tobytes().decode(), before, more) for part, before, _, more in _sections(np.frombuffer(body.encode(), np.uint8), window)]
+        for part, before, more in cut:
             if rows and size + len(part) > BLOCK_BYTES:
-                yield Block(rows, window)
-                rows, size = [], 0
+                yield Block(rows, window, parts)
+                rows, parts, size = [], [], 0
             rows.append((name, part))
+            parts.append((row, before, more))
             size += len(part)
     if rows:
-        yield Block(rows, window)
+        yield Block(rows, window, parts)
 
 
-_MATCH = "doc long, runs array<struct<start:long,stop:long>>, items array<string>, longest struct<words:long,item:string,back:long>"
+_MATCH = "doc long, runs array<struct<start:long,stop:long>>, items array<string>, longest struct<words:long,item:string,back:long>, pieces array<struct<start:long,stop:long,row:long,at:long,item:string>>"
 
 
-def _matched(block: Block, words: Words, at: list[int]) -> list[tuple]:
-    """(text in the shard, runs of hit words, items, longest match) of every text with matches."""
+def _matched(block: Block, words: Words, at: list[int], more: list[bool]) -> list[tuple]:
+    """(text in the shard, runs of hit words, items, longest match, pieces of longer ones) of every text with matches."""
     place, window = block.search(words)
     if not len(place):
         return []
@@ -342,7 +384,11 @@ def _matched(block: Block, words: Words, at: list[int]) -> list[tuple]:
         shift = at[d] - int(words.first[d])
         runs.setdefault(d, []).append({"start": a + shift, "stop": b + shift})
     owner = np.searchsorted(words.first, place, side="right") - 1
-    most, item = block.longest(words, place, window)
+    both = _Compared(block.words, words).both()
+    pieces: dict[int, list] = {}
+    for d, start, stop, row, first, which in block.pieces(words, place, window, np.array(at), np.array(more), both):
+        pieces.setdefault(d, []).append({"start": start, "stop": stop, "row": row, "at": first, "item": block.names[which]})
+    most, item = block.longest(words, place, window, both)
     best: dict[int, tuple] = {}
     for k in np.flatnonzero(item >= 0).tolist():
         d = int(owner[k])
@@ -353,15 +399,16 @@ def _matched(block: Block, words: Words, at: list[int]) -> list[tuple]:
     for d, own in zip(sorted(runs), np.split(pairs % len(block.n), cut[1:]), strict=True):
         items = np.unique(np.concatenate([block.items[block.of[w] : block.of[w + 1]] for w in own.tolist()]))
         n, which, back = best[d]
-        out.append((d, runs[d], [block.names[i] for i in items.tolist()], {"words": n, "item": block.names[which], "back": back}))
+        out.append((d, runs[d], [block.names[i] for i in items.tolist()], {"words": n, "item": block.names[which], "back": back}, pieces.get(d, [])))
     return out
 
 
 def matches(stored: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Written matches of stored shards: doc, key, runs, items, longest; a row for each section with matches and each block."""
+    """Written matches of stored shards: doc, key, runs, items, longest, pieces; a row for each section with matches and each block."""
     spark = stored.sparkSession
     kind = stored.schema["key"].dataType.elementType.simpleString()
     runs_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    piece_type = pa.list_(pa.struct([*((c, pa.int64()) for c in ("start", "stop", "row", "at")), ("item", pa.string())]))
     best_type = pa.struct([("words", pa.int64()), ("item", pa.string()), ("back", pa.int64())])
     found = spark.createDataFrame([], f"key {kind}, {_MATCH}")
     for block in blocks(benchmark, window):
@@ -371,16 +418,16 @@ def matches(stored: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
             for batch in batches:
                 for i in range(batch.num_rows):
                     arrays = [batch.column(c)[i].as_buffer() for c in ("vocabulary", "ids", "first", "suffixes")]
-                    rows = _matched(sent.value, Words.read(arrays[0].to_pybytes(), *arrays[1:]), batch.column("at")[i].as_py())
+                    rows = _matched(sent.value, Words.read(arrays[0].to_pybytes(), *arrays[1:]), batch.column("at")[i].as_py(), batch.column("more")[i].as_py())
                     if rows:
-                        of, runs, items, longest = zip(*rows, strict=True)
+                        of, runs, items, longest, pieces = zip(*rows, strict=True)
                         own = pa.array(of)
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column("key")[i].values.take(own), batch.column("doc")[i].values.take(own), pa.array(runs, runs_type), pa.array(items, pa.list_(pa.string())), pa.array(longest, best_type)],
-                            names=["key", "doc", "runs", "items", "longest"],
+                            [batch.column("key")[i].values.take(own), batch.column("doc")[i].values.take(own), pa.array(runs, runs_type), pa.array(items, pa.list_(pa.string())), pa.array(longest, best_type), pa.array(pieces, piece_type)],
+                            names=["key", "doc", "runs", "items", "longest", "pieces"],
                         )
 
-        own = stored.select("doc", "key", "at", "vocabulary", "ids", "first", "suffixes").mapInArrow(search, f"key {kind}, {_MATCH}")
+        own = stored.select("doc", "key", "at", "more", "vocabulary", "ids", "first", "suffixes").mapInArrow(search, f"key {kind}, {_MATCH}")
         found = found.unionByName(common.written(own, "matches"))
         sent.destroy()
     return found
@@ -393,12 +440,27 @@ def _covered(runs: Column) -> Column:
     return F.aggregate(F.sort_array(runs), start, step, lambda x: x["n"])
 
 
+def _joined(found: DataFrame) -> DataFrame:
+    """doc, longest of the matches that sections cut: pieces of one document, benchmark row and distance that touch are one."""
+    each = found.select("doc", F.explode("pieces").alias("p")).groupBy("doc", "p.row", (F.col("p.start") - F.col("p.at")).alias("_far")).agg(F.array_sort(F.collect_set(F.struct("p.start", "p.stop"))).alias("_p"), F.min("p.item").alias("_item"))
+    none = F.struct(*(F.lit(-1).cast("long").alias(c) for c in ("start", "stop", "first", "n")))
+
+    def step(x: Column, p: Column) -> Column:
+        start = F.when(p["start"] <= x["stop"], x["start"]).otherwise(p["start"])
+        stop = F.greatest(x["stop"], p["stop"])
+        longer = stop - start > x["n"]
+        return F.struct(start.alias("start"), stop.alias("stop"), F.when(longer, start).otherwise(x["first"]).alias("first"), F.greatest(stop - start, x["n"]).alias("n"))
+
+    best = F.aggregate("_p", none, step)
+    return each.select("doc", best.alias("_b"), "_item").select("doc", F.struct(F.col("_b.n").alias("words"), F.col("_item").alias("item"), (-F.col("_b.first")).alias("back")).alias("longest"))
+
+
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: words, words inside benchmark windows, items found, longest match, places (runs of hit words)."""
     stored = shards(docs, window, key, text)
     found = matches(stored, benchmark, window)
     each = stored.select(F.explode(F.arrays_zip("doc", "key", "own")).alias("x")).select("x.key", "x.doc", F.col("x.own").alias("own"))
-    rows = each.unionByName(found, allowMissingColumns=True).groupBy("doc").agg(
+    rows = each.unionByName(found.drop("pieces"), allowMissingColumns=True).unionByName(_joined(found), allowMissingColumns=True).groupBy("doc").agg(
         F.first("key", ignorenulls=True).alias(key), F.sum("own").alias("n_words"), F.flatten(F.collect_list("runs")).alias("_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"), F.max("longest").alias("_best")
     )
     return rows.select(

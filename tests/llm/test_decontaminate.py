@@ -126,6 +126,29 @@ def test_sections_and_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "SHARD_BYTES", 300)
     monkeypatch.setattr(D, "BLOCK_BYTES", 150)
     assert check(docs, bench) == want
+    assert longest(docs, bench) == {i: brute_longest(t, [(k, x) for k, x in [(1, item), (2, item[40:]), (3, "x " * 400), (4, "pad pad z")]]) for i, t in zip(range(2**62, 2**62 + 5), texts)}
+
+
+def longest(docs, bench):
+    return {r.doc_id: (r.longest_words, r.longest_item, r.longest_at) for r in D.report(docs, bench).collect()}
+
+
+def test_longest_matches_over_section_ends(spark, monkeypatch):
+    """Sections of documents and of items, also both at once and at different words, cut no match short."""
+    rng = np.random.default_rng(3)
+    some = lambda n, k: " ".join(f"w{x}" for x in rng.integers(0, k, n).tolist())
+    a, b, c = some(300, 400), some(200, 3), "x " * 150
+    texts = [a, f"{some(37, 50)} {a} {some(60, 50)}", f"{b} {a[:900]} {b}", c, c[:120] + a[300:], " ".join(a.split()[20:280]), f"{a} {a}", None, "y " * 90 + "x " * 80, b[9:] + " " + c]
+    items = [(1, a), (2, f"q {a} q"), (2, " ".join(a.split()[100:])), (3, b), (4, c + a), (5, None), (6, "w1 w2"), (7, " ".join(a.split()[:150]))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    want = {i: brute_longest(t, items) for i, t in enumerate(texts)}
+    assert longest(docs, bench) == want and want[0] == (300, "4", 0)
+    for shard, block in ((250, 400), (400, 1 << 20), (150, 150)):
+        monkeypatch.setattr(D, "SHARD_BYTES", shard)
+        monkeypatch.setattr(D, "BLOCK_BYTES", block)
+        assert longest(docs, bench) == want, (shard, block)
+        check(docs, bench)
 
 
 def test_long_item_takes_linear_memory():
