@@ -168,8 +168,20 @@ def decoded_list(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
 
 
-def prefix_hits(words: Column, title: Column, least: int = 4) -> Column:
-    """The title's words that may be another form of a question's word: a different word with the same first `least` letters."""
-    own = F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    alike = lambda w, q: (w != q) & (F.length(w) >= least) & (F.length(q) >= least) & (F.substring(w, 1, least) == F.substring(q, 1, least))
-    return F.array_sort(F.filter(own, lambda w: F.exists(words, lambda q: alike(w, q))))
+def skeleton(c: Column) -> Column:
+    """The consonants of a Hebrew word without the prefixes and endings of its forms; the first letter stays what it is.
+
+    Fixed values: the prefixes go where 3 letters are left, the endings, longest first, where 2 are.
+    """
+    bare = F.regexp_replace(c, "^(?:(?:הת|מת)(?=.{3})|[מנתה](?=.{3}))", "")
+    return F.regexp_replace(F.regexp_replace(bare, "(?<=.{2})(?:יות|ות|ים|ין|י|ו|ה|ם|ן)$", ""), "(?<=.)[יו]", "")
+
+
+def prefix_hits(words: Column, title: Column, least: int = 4, consonants: int = 3) -> Column:
+    """The title's words that may be another form of a question's word: a different word with the same first `least` letters, or
+    with the same skeleton of `consonants` or more. The title's words count with and without their first letter; both words have
+    `least` letters or more."""
+    forms = F.transform(clitic_tokens(title), lambda w: F.struct(w.alias("w"), skeleton(w).alias("s")))
+    asked = F.transform(F.filter(words, lambda q: F.length(q) >= least), lambda q: F.struct(q.alias("w"), skeleton(q).alias("s")))
+    same = lambda w, q: (F.substring(w["w"], 1, least) == F.substring(q["w"], 1, least)) | ((w["s"] == q["s"]) & (F.length(w["s"]) >= consonants))
+    return F.array_sort(F.transform(F.filter(forms, lambda w: (F.length(w["w"]) >= least) & F.exists(asked, lambda q: (w["w"] != q["w"]) & same(w, q))), lambda w: w["w"]))

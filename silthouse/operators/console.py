@@ -83,6 +83,47 @@ def guarded(spark: SparkSession, sql: str, tables: set[str] | None = None) -> Da
         raise Refused(str(e).splitlines()[0]) from None
 
 
+def search_path(path: str) -> list[str]:
+    """The schemas of a comma-separated list, which must be plain names in lower case."""
+    names = [x.strip() for x in path.split(",") if x.strip()]
+    for name in names:
+        if not re.fullmatch("[a-z_][a-z0-9_]*", name):
+            raise Refused(f"no schema name: {name!r}")
+    if not names:
+        raise Refused("no schema is allowed")
+    return names
+
+
+def across(spark: SparkSession, sql: str, path: str) -> DataFrame:
+    """A guarded query over the schemas of a search path: a bare name is the first schema's table that has it, a name with
+    a schema needs that schema on the path, and nothing else is a table, neither views of the session nor other catalogs.
+
+    It is planned in a session of its own, so that names which two callers look up along different paths don't meet.
+    """
+    schemas = search_path(path)
+    seen: set[str] = set()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
+    except Exception as e:
+        raise Refused(f"not one statement: {str(e).splitlines()[0]}") from None
+    _walk(plan, frozenset(), seen)
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    for name in sorted(seen):
+        schema, _, table = name.rpartition(".")
+        if schema and schema not in schemas:
+            raise Refused(f"no schema {schema}")
+        # backquoted names with a point inside are no names of this catalog
+        found = [s for s in ([schema] if schema else schemas) if re.fullmatch("[a-z0-9_]+", table) and spark.catalog.tableExists(f"{s}.{table}")]
+        if not found:
+            raise Refused(f"no table {name}")
+        if not schema:
+            own.table(f"{found[0]}.{table}").createOrReplaceTempView(table)
+    return guarded(own, sql, seen)
+
+
 def hint(spark: SparkSession, message: str, tables: set[str]) -> str:
     """The first line of an error, with the known column that is closest to the unknown one."""
     found = re.search(r"name `([^`]+)`", message)

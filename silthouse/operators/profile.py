@@ -123,3 +123,31 @@ def entity_guess(kind: str, name: str, top: list[str], places: set[str]) -> str:
     if kind in ("integer", "numeric"):
         return "id" if re.search(r"(^|_)(id|key|code|no|num)$|key$|id$", name, re.I) else "amount" if re.search("price|cost|amount|sum|bal|tax|סכום|מחיר", name, re.I) else "number"
     return "person" if re.search("name|שם", name, re.I) else "text"
+
+
+def result_kinds(result: DataFrame, first: int = 60, rows: int = 1000) -> DataFrame:
+    """column, kind (number, date or text) of a shown result: what its first `first` values that aren't empty all are.
+
+    Only the first `rows` rows are looked at, as many as the console shows. Numbers are finite, in text plain decimals; dates are
+    YYYY-MM, YYYY-MM-DD with or without a time, or MM/DD/YYYY with slashes or points. A column without values is text.
+    """
+
+    def number(v: Column) -> Column:
+        return F.trim(v).rlike(r"^-?[0-9]+(\.[0-9]+)?$")
+
+    def date(v: Column) -> Column:
+        iso = v.rlike(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?([ T][0-9].*)?$") & F.concat(F.substring(v, 1, 7), F.coalesce(F.nullif(F.regexp_extract(v, r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})", 1), F.lit("")), F.lit("-01"))).try_cast("date").isNotNull()
+        us = F.regexp_replace(v, r"^([0-9]{2})[/.]([0-9]{2})[/.]([0-9]{4})$", "$3-$1-$2")
+        return iso | ((us != v) & us.try_cast("date").isNotNull())
+
+    made = []
+    for name, kind in result.dtypes:
+        c = F.col(f"`{name}`")
+        text = c.cast("string") if kind not in ("double", "float") else F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.format_string("%.6f", c.cast("double"))).otherwise("?")
+        if kind not in ("string", "date", "timestamp", "timestamp_ntz", "double", "float", "tinyint", "smallint", "int", "bigint") and not kind.startswith("decimal"):
+            text = F.when(c.isNotNull(), F.lit("?"))  # booleans and nested values are neither
+        made.append(F.slice(F.collect_list(F.nullif(text, F.lit(""))), 1, first))
+    lists = result.limit(rows).agg(F.array(*made).alias("l")).select(F.posexplode("l").alias("at", "v"))
+    names = F.array(*(F.lit(c) for c in result.columns))
+    kind = F.when(F.size("v") == 0, "text").when(F.forall("v", number), "number").when(F.forall("v", date), "date").otherwise("text")
+    return lists.select(names[F.col("at")].alias("column"), kind.alias("kind"))

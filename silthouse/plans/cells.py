@@ -168,6 +168,37 @@ def clitic_tokens(spark, sf):
     return rows.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("words"))
 
 
+_LATIN, _HEBREW = "abcdefghijklmnopqrstuv", "אבגדהוזחטיכלמנסעפצקרשת"
+
+
+@query(
+    "word_skeletons",
+    rf"""WITH w AS (SELECT DISTINCT translate(unnest(regexp_extract_all(lower(text), '[a-v]+')), '{_LATIN}', '{_HEBREW}') AS word FROM documents),
+       p AS (SELECT word, regexp_replace(word, '^(?:הת|מת|[מנתה])(.{{3,}})$', '\1') AS s FROM w), e AS (SELECT word, regexp_replace(s, '^(.{{2,}}?)(?:יות|ות|ים|ין|[יוהםן])$', '\1') AS s FROM p)
+       SELECT s[1] || replace(replace(s[2:], 'י', ''), 'ו', '') AS skeleton, count(*) AS words, min(word) AS first, max(word) AS last FROM e GROUP BY 1""",
+)
+def word_skeletons(spark, sf):
+    """Words in Hebrew letters, one for each Latin one."""
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-v]+"), F.lit(0)))
+    words = load(spark, sf, "documents").select(found.alias("w")).distinct().select(F.translate("w", _LATIN, _HEBREW).alias("word"))
+    return words.groupBy(T.skeleton(_C("word")).alias("skeleton")).agg(F.count(F.lit(1)).alias("words"), F.min("word").alias("first"), F.max("word").alias("last"))
+
+
+@query(
+    "result_kinds",
+    """WITH r AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey >= 900 THEN 'x' ELSE '' END AS late, o_orderstatus, o_orderdate, strftime(o_orderdate, '%m/%d/%Y') AS american, strftime(o_orderdate, '%d.%m.%Y') AS local, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000),
+       v AS (SELECT o_orderkey AS k, unnest([['key', CAST(o_orderkey AS VARCHAR)], ['late', late], ['status', o_orderstatus], ['ordered', CAST(o_orderdate AS VARCHAR)], ['american', american], ['local', local], ['price', CAST(o_totalprice AS VARCHAR)], ['none', NULL]]) AS x FROM r),
+       f AS (SELECT x[1] AS "column", x[2] AS value FROM v QUALIFY row_number() OVER (PARTITION BY x[1], x[2] IS NULL ORDER BY k) <= 60)
+       SELECT "column", CASE WHEN count(value) = 0 THEN 'text' WHEN bool_and(regexp_matches(value, '^-?[0-9]+([.][0-9]+)?$')) THEN 'number'
+         WHEN bool_and(coalesce(try_strptime(value[1:10], '%Y-%m-%d'), try_strptime(value, '%m/%d/%Y'), try_strptime(value, '%m.%d.%Y')) IS NOT NULL) THEN 'date' ELSE 'text' END AS kind FROM f GROUP BY 1""",
+)
+def result_kinds(spark, sf):
+    late = F.concat(_C("o_orderkey").cast("string"), F.when(_C("o_orderkey") >= 900, "x").otherwise(""))
+    day = lambda f: F.date_format("o_orderdate", f)
+    columns = [_C("o_orderkey").alias("key"), late.alias("late"), _C("o_orderstatus").alias("status"), _C("o_orderdate").alias("ordered"), day("MM/dd/yyyy").alias("american"), day("dd.MM.yyyy").alias("local"), _C("o_totalprice").alias("price"), F.lit(None).cast("string").alias("none")]
+    return P.result_kinds(load(spark, sf, "orders").select(*columns).orderBy("key"))
+
+
 @query("decoded_lists", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END AS n, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS first FROM customer")
 def decoded_lists(spark, sf):
     kept = F.when(_C("c_custkey") % 3 == 0, F.to_json(F.array("c_name", "c_mktsegment"))).when(_C("c_custkey") % 3 == 1, F.lit("no list"))

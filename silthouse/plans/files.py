@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -209,3 +210,18 @@ def guarded_question(spark: SparkSession, sf: str) -> DataFrame:
     for t in tables:
         load(spark, sf, t).createOrReplaceTempView(t)
     return Q.guarded(spark, _QUESTION, tables)
+
+
+_ACROSS = """SELECT n_name, count(*) AS customers, CAST(sum(o.n) AS BIGINT) AS orders FROM customer JOIN nation ON c_nationkey = n_nationkey
+       LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {sales}orders GROUP BY 1) o ON o_custkey = c_custkey GROUP BY 1"""
+
+
+@query("two_schemas", _ACROSS.format(sales=""))
+def two_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """Bare names along a path of two schemas, and one name with its schema."""
+    own = f"silthouse_{zlib.crc32(sf.encode()):08x}"
+    for schema, tables in ((f"{own}_people", ("customer", "nation")), (f"{own}_sales", ("orders", "nation"))):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema} LOCATION '{shared_dir(spark)}/{schema}'")
+        for t in tables:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {schema}.{t} USING parquet LOCATION '{sf}/{t}.parquet'")
+    return Q.across(spark, _ACROSS.format(sales=f"{own}_sales."), f"{own}_people, {own}_sales")
