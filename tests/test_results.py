@@ -15,7 +15,7 @@ def test_skeletons(spark):
 
 def test_forms_of_a_root_are_hits(spark):
     rows = spark.createDataFrame([(["גירושין"], "מספר זוגות שהתגרשו או התגרשו"), (["גירושין"], "מגרש משחקים"), (["שניצל", "שנים"], "לוח שנות"), (["שנים"], None)], "q array<string>, t string")
-    assert [r[0] for r in rows.select(prefix_hits(F.col("q"), F.col("t"))).collect()] == [["התגרשו"], ["מגרש"], [], None]
+    assert [r[0] for r in rows.select(prefix_hits(F.col("q"), F.col("t"))).collect()] == [["התגרשו", "תגרשו"], ["מגרש"], [], None]  # both readings of a word that may begin with an article
 
 
 def test_result_kinds(spark):
