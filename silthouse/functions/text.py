@@ -10,6 +10,8 @@ HONORIFICS = ("mr", "mrs", "ms", "dr", "prof", "adv", "ד\"ר", "דר", "פרו
 COMPANY_WORDS = ("ltd", "inc", "llc", "corp", "co", "company", "בע\"מ", "בעמ", "חברה", "עמותה")
 #: Words that a company's name in a registry is compared without.
 COMPANY_FORMS = ("בע\"מ", "בע״מ", "בע'מ", "חברה ל", "חברת", "מפעלי", "קבוצת", "תעשיות", "הולדינגס", "ישראל", "לישראל", "בית השקעות")
+#: Letters that Hebrew writes together with the next word.
+CLITICS = ("ב", "ל", "מ", "ו", "ש", "כ", "ה")
 
 
 def norm(c: Column) -> Column:
@@ -179,9 +181,11 @@ def skeleton(c: Column) -> Column:
 
 def prefix_hits(words: Column, title: Column, least: int = 4, consonants: int = 3) -> Column:
     """The title's words that may be another form of a question's word: a different word with the same first `least` letters, or
-    with the same skeleton of `consonants` or more. The title's words count with and without their first letter; both words have
+    with the same skeleton of `consonants` or more. The title's words count with and without one of CLITICS before them; both words have
     `least` letters or more."""
-    forms = F.transform(clitic_tokens(title), lambda w: F.struct(w.alias("w"), skeleton(w).alias("s")))
+    own = F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    bare = F.transform(F.filter(own, lambda w: (F.length(w) >= 3) & F.substring(w, 1, 1).isin(*CLITICS)), lambda w: F.substring(w, F.lit(2), F.length(w)))
+    forms = F.transform(F.array_distinct(F.concat(own, bare)), lambda w: F.struct(w.alias("w"), skeleton(w).alias("s")))
     asked = F.transform(F.filter(words, lambda q: F.length(q) >= least), lambda q: F.struct(q.alias("w"), skeleton(q).alias("s")))
     same = lambda w, q: (F.substring(w["w"], 1, least) == F.substring(q["w"], 1, least)) | ((w["s"] == q["s"]) & (F.length(w["s"]) >= consonants))
     return F.array_sort(F.transform(F.filter(forms, lambda w: (F.length(w["w"]) >= least) & F.exists(asked, lambda q: (w["w"] != q["w"]) & same(w, q))), lambda w: w["w"]))
