@@ -16,21 +16,21 @@
 
 Nulls and edges: a null text is empty and is the single end token; repeated rows are pieces of
 their own; a null key is kept. Columns other than key and text are not looked at. Vocabularies that
-don't split at white space as the production one does are used on whole texts.
+don't split texts into parts as the production one does are used on whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +40,21 @@ from silthouse.llm import common
 LIMIT = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-SLICE_BYTES = 1 << 20
-#: A worker forgets its words when it knows so many.
-CACHE_WORDS = 400_000
+SLICE_BYTES = 4 << 20
+#: A worker forgets its parts when it knows so many.
+CACHE_PARTS = 600_000
+#: Parts that are encoded at once.
+LEARN_PARTS = 1 << 15
 
 # The vocabulary file's own split into words, digits and runs of signs.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_PLAIN = regex.compile(r"[!-~¡-ɏ]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "</w>")
+#: What that split does to texts of _PLAIN characters, where letters stay together: these parts get spaces around them.
+_APART = r"'(?:s|t|re|ve|m|ll|d)|[^\t-\r \pL\pN]+|\pN"
+#: Characters that are their own NFC form beside each other and have one lower-case character.
+_PLAIN = r"^[\t-\r -~¡-įı-ɏЀ-џ‐-‧‰-⁞一-龥]*$"
+#: The byte-level alphabet: the characters that stand for bytes which are not signs of their own.
+_BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Ranges of size that a superstep starts with, a power of two.
 RANGES = 4
 
@@ -59,25 +66,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes, word by word, each word encoded once.
+    """Token ids of texts, part by part, each part encoded once.
 
-    The vocabulary splits at white space before anything else, so a text's ids are those of its
-    words in turn. A text that spells a special token is encoded whole, and so are all texts
-    where the vocabulary is of another make.
+    The vocabulary splits texts into words, digits and runs of signs before anything else, so a text's
+    ids are those of its parts in turn; Arrow finds the parts of many texts at once. Words with
+    characters outside _PLAIN, texts that spell a special token, and all texts where the vocabulary is
+    of another make are encoded by the tokenizer itself.
     """
 
     _open: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.by_word = self._by_word()
+        self.by_part = self._by_part()
+        # parts in the byte-level alphabet need neither the normalizer nor the split
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.closes = np.zeros(1 + max(self.model.get_vocab().values()), bool)
         self.closes[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -85,53 +96,73 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _by_word(self) -> bool:
+    def _by_part(self) -> bool:
         made = json.loads(self.model.to_str())
         normal, split = made["normalizer"] or {}, made["pre_tokenizer"] or {}
         parts = split.get("pretokenizers", [])
         steps = [x["type"] for x in normal.get("normalizers", [])], [x["type"] for x in parts], made["model"].get("end_of_word_suffix")
-        return steps == _STEPS and parts[0]["pattern"] == {"Regex": _SPLIT.pattern} and all("<|" in x["content"] for x in made["added_tokens"])
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        split, letters = {}, set()
-        for w in words:
-            s = w.decode()
-            if _PLAIN.fullmatch(s):
-                split[w] = found = _SPLIT.findall(unicodedata.normalize("NFC", s).lower())
-                letters.update(p for p in found if p not in self.parts)
-            else:
-                self.words[w] = self.whole(s)
-        for p in [p for p in letters if not p.isalpha()]:
-            self.parts[p] = self.whole(p)
-            letters.remove(p)
-        if letters:
-            ordered = list(letters)
-            ids = np.array(self.model.encode(" ".join(ordered), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(ordered):
-                raw, a = ids.tobytes(), 0
-                for p, b in zip(ordered, (4 * ends).tolist(), strict=True):
-                    self.parts[p] = raw[a:b]
-                    a = b
-            else:
-                for p in ordered:
-                    self.parts[p] = self.whole(p)
-        for w, found in split.items():
-            self.words[w] = b"".join([self.parts[p] for p in found])
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        split = [t.lower().split() if self.by_word and b"<|" not in t else None for t in texts]
-        known = self.words
-        if new := {w for x in split if x for w in x if w not in known}:
+        return steps == _STEPS and parts[0]["pattern"] == {"Regex": _SPLIT} and not parts[1]["add_prefix_space"] and all("<|" in x["content"] for x in made["added_tokens"])
+
+    def forget(self) -> None:
+        """Known parts by number, and where each one's ids lie; the empty part has none."""
+        self.known, self.ids, self.ends = {"": 0}, np.zeros(0, "<u4"), np.zeros(2, np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, parts: list[str]) -> None:
+        ids, ends, last = [self.ids], [self.ends], len(self.ids)
+        for a in range(0, len(parts), LEARN_PARTS):
+            some = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES) for p in parts[a : a + LEARN_PARTS]]
+            got = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.closes[got]) + 1
+            if len(stop) != len(some):
+                each = [np.array(x.ids, "<u4") for x in self.bare.encode_batch_fast(some, add_special_tokens=False)]
+                got, stop = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids.append(got)
+            ends.append(last + stop)
+            last += len(got)
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+        self.ids, self.ends = np.concatenate(ids), np.concatenate(ends)
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        return pc.match_substring_regex(texts, _PLAIN).to_numpy(zero_copy_only=False)
+
+    def plain_ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of texts of _PLAIN characters."""
+        if len(self.known) > CACHE_PARTS:
+            self.forget()
+        found = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), _APART, r" \0 "))
+        flat = found.flatten().dictionary_encode()
+        parts = flat.dictionary.to_pylist()
+        if new := [p for p in parts if p not in self.known]:
             self.learn(new)
-        return [self.whole(t.decode()) if x is None else b"".join([known[w] for w in x]) for t, x in zip(texts, split, strict=True)]
+        of = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))[flat.indices.to_numpy()]
+        first, size = self.ends[of], self.ends[of + 1] - self.ends[of]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        at = ends[np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())])].tolist()
+        return [ids[a:b] for a, b in pairwise(at)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text as 32-bit numbers; null is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.by_part:
+            return [self.whole(t) for t in texts.to_pylist()]
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        plain = self.plain(texts) & ~special
+        out: list = [None] * len(texts)
+        for i, ids in zip(np.flatnonzero(plain).tolist(), self.plain_ids(texts.filter(pa.array(plain))), strict=True):
+            out[i] = ids
+        # white space stands between words everywhere, so others go word by word
+        rest = {i: texts[i].as_py() if special[i] else common.strings(texts[i : i + 1])[0].split() for i in np.flatnonzero(~plain).tolist()}
+        words = pa.array(sorted({w.decode() for x in rest.values() if isinstance(x, list) for w in x}), pa.large_string())
+        plain = self.plain(words)
+        known = dict(zip(words.filter(pa.array(plain)).to_pylist(), self.plain_ids(words.filter(pa.array(plain))), strict=True)) if len(words) else {}
+        known |= {w: self.whole(w) for w in words.filter(pa.array(~plain)).to_pylist()}
+        for i, x in rest.items():
+            out[i] = np.concatenate([np.zeros(0, "<u4"), *(known[w.decode()] for w in x)]) if isinstance(x, list) else self.whole(x)
+        return out
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, tokenizer: str | None = None) -> DataFrame:
@@ -143,9 +174,11 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
         encoder = Encoder.at(path)
         for batch in common.slices(batches, text, SLICE_BYTES):
             rows: list[tuple] = []
-            for i, ids in enumerate(encoder.encode(common.strings(batch.column(text)))):
-                ids += end
-                rows += [(i, k, a // 4, len(x) // 4, zlib.crc32(x)) for k, a in enumerate(range(0, len(ids), 4 * limit)) for x in [ids[a : a + 4 * limit]]]
+            for i, ids in enumerate(encoder.encode(batch.column(text))):
+                stop = len(ids) + 1
+                for k, a in enumerate(range(0, stop, limit)):
+                    crc = zlib.crc32(ids[a : a + limit])
+                    rows.append((i, k, a, min(limit, stop - a), crc if a + limit < stop else zlib.crc32(end, crc)))
             of, piece, start, length, crc = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key).take(pa.array(of)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],

@@ -99,3 +99,17 @@ def test_other_vocabularies(spark):
         for i, t in enumerate(texts):
             ids = [*model.encode(t, add_special_tokens=False).ids, 1]
             assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_parts_are_encoded_once_and_as_the_tokenizer_does():
+    """Words that differ in signs or case share their parts; other characters go word by word."""
+    encoder = P.Encoder(P.tokenizer_path())
+    texts = ["alpha, (beta) alpha. ALPHA's", "beta-alpha 'til 12", None, "naïve “Straße” Привет, 你好 alpha", "İ alpha é x\x1cy \U0001f600\U0001f600!", "<|endoftext|> alpha", "ΑΣ alpha\x85beta 'S"]
+    want = [encoder.model.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.encode(P.pa.array(texts, P.pa.string()))] == want
+    learned = []
+    encoder.learn, learn = lambda parts: (learned.extend(parts), learn(parts)), encoder.learn
+    assert [x.tolist() for x in encoder.encode(P.pa.array([*texts, "ALPHA+Beta! gamma;"]))][:-1] == want
+    assert sorted(learned) == ["!", "+", ";", "gamma"]
+    encoder.forget()
+    assert [x.tolist() for x in encoder.encode(P.pa.array(texts))] == want
