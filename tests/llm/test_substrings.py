@@ -71,3 +71,41 @@ def test_two_stage_sorting(strings):
     for k in range(1, len(suffixes)):
         n = next((j for j, (a, b) in enumerate(zip(suffixes[k - 1], suffixes[k])) if a != b), min(len(suffixes[k - 1]), len(suffixes[k])))
         assert shared[k] == n
+
+
+def near_copies(n):
+    """Copies of a text with a few other bytes in each."""
+    rng = np.random.default_rng(3)
+    base, out = rng.integers(97, 123, 1500), []
+    for _ in range(n):
+        own = base.copy()
+        own[rng.integers(0, len(own), 6)] = 65 + rng.integers(0, 26, 6)
+        out.append(bytes(own.astype(np.uint8)).decode())
+    return out
+
+
+def test_parts_of_wide_anchors(spark, monkeypatch):
+    """Records of an anchor with very many kinds are halved where need be; they don't become a row for each window."""
+    made, kept = {}, S.common.written
+
+    def written(df, tag, **how):
+        made[tag] = made.get(tag, 0) + (got := kept(df, tag, **how)).count()
+        return got
+
+    monkeypatch.setattr(S, "WIDE", 20)
+    monkeypatch.setattr(S.common, "written", written)
+    got = check(spark.createDataFrame(list(enumerate(near_copies(80))), "doc_id long, text string"))
+    assert any(0 < r[2] < r[1] for r in got)
+    assert 0 < made["halves"] < 12 * made["records"]
+
+
+@given(st.integers(1, 337), st.integers(0, 336), st.sampled_from([1, 2, 64, 256]))
+def test_halves_hold_each_window_once(n, at, width):
+    at = max(at, n - 1)
+    string = np.random.default_rng(n).integers(0, 256, n + 399).astype(np.uint8).tobytes()
+    parts = S.halves(string, n, at, width, 400)
+    assert sorted(k for _, first, count, _ in parts for k in range(first, first + count)) == list(range(n))
+    for cell, first, count, core in parts:
+        assert len(core) == 401 - width
+        for k in range(first, first + count):
+            assert (at - k) // width == cell and core in string[k : k + 400]
