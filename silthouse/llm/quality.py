@@ -289,7 +289,13 @@ def train(features: DataFrame, labels: DataFrame, key: str = "doc_id", labelled:
             out.append((total[:, :-1], total[:, -1]))
         return out
 
-    return co_train(_rows(table), table.column("_y").to_numpy().astype(np.int64), exchange)
+    y = table.column("_y").to_numpy().astype(np.int64)
+    views = _rows(table)
+    del table
+    model = co_train(views, y, exchange)
+    del views
+    common.trim()  # the driver goes on to other stages
+    return model
 
 
 def _probability(views: list[Rows], n: int, model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

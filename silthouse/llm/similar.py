@@ -16,7 +16,7 @@ which misses none, finds the rest.
    that a component has already. So a large group of near copies doesn't make its square of pairs.
 5. Sizes and places in the order bound a pair's overlap, then the sketches do (the sum of the lesser counts of each
    bucket); pairs that may still reach SHARE are counted from the texts, which only they are joined with.
-6. Components of the links, then the smallest id of each.
+6. Each step's links join the stars of the components before; the smallest id of each component stays.
 
 Nulls and edges: a null text is empty; texts without words are copies of each other; fewer words than a
 shingle are one shingle. Ids may repeat or be null.
@@ -176,14 +176,17 @@ def _golay(nodes: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
 
 
-def _components(live: DataFrame, found: DataFrame) -> DataFrame:
+def _placed(live: DataFrame, star: DataFrame) -> DataFrame:
     """The postings with the component of their node as `comp`."""
-    star = components(found).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    star = star.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
     return common.written(live.select("key", "x").join(star, F.col("x.node") == F.col("_u"), "left").select("key", "x", F.coalesce("_v", "x.node").alias("comp")), "postings")
 
 
-def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """u, v: pairs of nodes at SHARE or more, which connect all nodes that any such pairs connect. texts: _id, _t, _body."""
+def stars(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """u, v: nodes that pairs at SHARE or more connect, and the least of each such component. texts: _id, _t, _body.
+
+    New links join the stars of those before, so no step goes over all links again.
+    """
     live = nodes.select("node", "size", F.posexplode("keys").alias("place", "key")).select("key", F.struct("node", "size", "place").alias("x"))
     many = live.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     live = common.written(live.join(many, "key"), "postings")
@@ -192,8 +195,8 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFra
     # written, so that its size is known before the join with all texts; a row that repeats id and text repeats a pair, no more
     needed = common.written(nodes.select("node", "least.id", "least.t").join(needed, "node"), "needed")
     bodies = common.written(texts.join(needed, (F.col("_t") == F.col("t")) & F.col("_id").eqNullSafe(F.col("id"))).select("node", F.col("_body").alias("body")), "bodies", compression="zstd")
-    found = _alike(first, nodes, bodies, shingle)
-    live = _components(live, found)
+    star = components(_alike(first, nodes, bodies, shingle))
+    live = _placed(live, star)
     for k in range(PIVOTS + 1):
         mixed = live.groupBy("key").agg(F.min_by("x", F.xxhash64("x.node", F.lit(k))).alias("p"), F.min_by("comp", F.xxhash64("x.node", F.lit(k))).alias("c"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
         own = common.written(live.join(mixed.select("key", "p", "c"), "key"), "met")
@@ -204,10 +207,10 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFra
         else:
             y = own.select("key", F.col("x").alias("y"), F.col("comp").alias("other"))
             pairs = own.join(y, "key").filter((F.col("x.node") < F.col("y.node")) & (F.col("comp") != F.col("other")) & _may("x", "y")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-        found = found.unionByName(_alike(pairs, nodes, bodies, shingle))
+        star = components(star.unionByName(_alike(pairs, nodes, bodies, shingle)))
         if k < PIVOTS:
-            live = _components(own, found)
-    return found
+            live = _placed(own, star)
+    return star
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -215,7 +218,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     rows = common.set_aside(docs, key, text)
     rows = rows.withColumn("_t", F.md5(F.coalesce("_body", F.lit(""))))
     nodes = nodes_of(rows, shingle)
-    star = components(links(nodes, rows.select("_id", "_t", "_body"), shingle)).select(F.col("u").alias("node"), F.col("v").alias("_to"))
+    star = stars(nodes, rows.select("_id", "_t", "_body"), shingle).select(F.col("u").alias("node"), F.col("v").alias("_to"))
     own = nodes.select("node", "least").join(star, "node", "left").groupBy(F.coalesce("_to", "node").alias("_to")).agg(F.min("least").alias("c"))
     chosen = own.select(F.col("c.id").alias("_least"), F.col("c.t").alias("_chosen"))
     kept = rows.join(chosen, (F.col("_t") == F.col("_chosen")) & F.col("_id").eqNullSafe(F.col("_least"))).select(*rows.columns)

@@ -71,33 +71,35 @@ def merged(edges: DataFrame, mapping: DataFrame, kind: list[str]) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(least.hint("merge"), "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node is below two others, or between two; u is above v in all edges, which don't repeat."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 0 and up + down > 1").count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """u, v for each node u that has an edge and isn't the least of its component, which is v.
 
     `edges` has the columns u and v of one sortable type; direction, repeats and loops don't
     matter, rows with a null are left out. A hub's edges are never gathered: every round is a
     partial minimum for each node and a join, whose large side Spark may split. Rounds grow with
-    the logarithm of a component's length. Each is written, so that the lineage stays short.
+    the logarithm of a component's length; edges that are stars already take none. Each is written, so
+    that the lineage stays short, and joined by merging, as small minima would all go through the driver's memory.
     """
-    edges = written(edges.filter("u != v").select("u", "v").distinct(), "edges")
-    mark = None
-    while True:
-        # it ends when a round changes nothing, which the count and sum of hashes show
-        state = edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == mark:
-            return edges
-        mark = tuple(state)
+    edges = written(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _are_stars(edges):
         edges = written(_small_star(_large_star(edges).filter("u != v").distinct()).distinct(), "edges")
+    return edges
 
 
 def clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

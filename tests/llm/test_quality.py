@@ -102,3 +102,12 @@ def test_labelled_rows_are_bounded(spark, odd, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 16)], "doc_id long, quality int, toxic int")
     Q.train(Q.featured(many), labels, labelled=10)
     assert held == [(10, 10)]
+
+
+def test_the_driver_gives_memory_back_after_the_fit(spark, sf, docs, monkeypatch):
+    given = []
+    monkeypatch.setattr(Q.common, "trim", lambda: given.append(1), raising=False)
+    features = Q.featured(docs)
+    given.clear()
+    assert Q.train(features, spark.read.parquet(f"{sf}/labels.parquet")) is not None
+    assert given == [1]

@@ -88,6 +88,24 @@ def test_components(spark, pairs):
     assert got == {x: c for x, c in of.items() if x != c}
 
 
+def test_components_keep_off_the_driver(spark, monkeypatch):
+    """Stars take no round, a chain few, and no round's table is broadcast."""
+    rounds, write = [], G.written
+    monkeypatch.setattr(G, "written", lambda df, tag, **options: rounds.append(df) or write(df, tag, **options))
+    star = spark.createDataFrame([(i, 100 * (i // 100)) for i in range(300) if i % 100], "u int, v int")
+    assert {(r.u, r.v) for r in G.components(star).collect()} == {(r.u, r.v) for r in star.collect()}
+    assert len(rounds) == 1
+    turned = star.select(F.col("v").alias("u"), F.col("u").alias("v")).union(star.filter("u % 2 = 0"))
+    assert {(r.u, r.v) for r in G.components(turned).collect()} == {(r.u, r.v) for r in star.collect()}
+    rounds.clear()
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u int, v int")
+    assert {(r.u, r.v) for r in G.components(chain).collect()} == {(i, 0) for i in range(1, 41)}
+    assert 2 < len(rounds) < 8
+    for df in rounds:
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def plain(name):
     return re.sub(r"\s+", " ", re.sub("[-–—־/]", " ", re.sub("[\"'`׳״]", "", name.lower()))).strip()
 
