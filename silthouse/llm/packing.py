@@ -96,6 +96,13 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    @classmethod
+    def drop(cls) -> None:
+        """Gives the memory of a worker's encoders back: it goes on with steps that need none."""
+        if cls._open:
+            cls._open.clear()
+            common.trim()
+
     def _by_part(self) -> bool:
         made = json.loads(self.model.to_str())
         normal, split = made["normalizer"] or {}, made["pre_tokenizer"] or {}
@@ -295,6 +302,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     found = common.written(pieces(docs, key, text, limit, tokenizer), "pieces")
 
     def number(batches):
+        Encoder.drop()
         part, last, seen = TaskContext.get().partitionId(), -1, 0
         for batch in batches:
             length = batch.column("length").to_numpy()
@@ -306,7 +314,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(rank), part, np.int32)), pa.array(rank)], names=[*batch.schema.names, "part", "rank"])
 
     order = ["length", key, "piece", "_tie"]
-    ranged = found.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order).drop("_tie")
+    # no number of partitions, so that Spark joins small ones: the pieces are a few bytes each, whatever the texts
+    ranged = found.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
     kind = docs.schema[key].dataType.simpleString()
     ranked = common.written(ranged.mapInArrow(number, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long"), "ranked")
 

@@ -1,6 +1,7 @@
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from contextlib import contextmanager
 
 import numpy as np
 from hypothesis import given
@@ -113,3 +114,48 @@ def test_parts_are_encoded_once_and_as_the_tokenizer_does():
     assert sorted(learned) == ["!", "+", ";", "gamma"]
     encoder.forget()
     assert [x.tolist() for x in encoder.encode(P.pa.array(texts))] == want
+
+
+@contextmanager
+def settings(spark, **values):
+    were = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+
+
+def ranked(docs, monkeypatch):
+    """The packed documents and the files of the table of ranks, one for each task with rows."""
+    kept = {}
+
+    def keep(df, tag, write=P.common.written, **options):
+        kept[tag] = write(df, tag, **options)
+        return kept[tag]
+
+    monkeypatch.setattr(P.common, "written", keep)
+    return check(docs), len(kept["ranked"].inputFiles())
+
+
+def test_ranks_of_few_pieces_take_few_tasks(spark, docs, monkeypatch):
+    """Small partitions are joined, so that tasks don't write a file each for a few pieces."""
+    with settings(spark, **{"spark.sql.shuffle.partitions": "64"}):
+        assert ranked(docs, monkeypatch)[1] <= 8
+
+
+def test_ranks_over_many_tasks(spark, docs, monkeypatch):
+    """A length's ranks go on from one partition to the next, and as many sequences are used."""
+    with settings(spark, **{"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        used, files = ranked(docs, monkeypatch)
+    assert files > 8 and used == check(docs)
+
+
+def test_a_worker_gives_its_encoders_back():
+    path = P.tokenizer_path()
+    before = P.Encoder.at(path)
+    P.Encoder.drop()
+    assert not P.Encoder._open
+    assert P.Encoder.at(path) is not before and P.Encoder.at(path).whole("alpha").tolist() == before.whole("alpha").tolist()
