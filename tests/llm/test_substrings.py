@@ -99,6 +99,30 @@ def test_parts_of_wide_anchors(spark, monkeypatch):
     assert 0 < made["halves"] < 12 * made["records"]
 
 
+def test_kinds_of_an_anchor_are_split(spark, monkeypatch):
+    """Spark may deal the kinds of one anchor to several tasks of the join that looks for open anchors."""
+    plans, kept = [], S.common.written
+
+    def written(df, tag, **how):
+        if tag == "records":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, tag, **how)
+
+    small = {"autoBroadcastJoinThreshold": -1, "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "1k"}
+    small |= {"adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b", "adaptive.skewJoin.skewedPartitionFactor": 0}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in small}
+    monkeypatch.setattr(S.common, "written", written)
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        check(spark.createDataFrame(list(enumerate(near_copies(200))), "doc_id long, text string"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert len(plans) == 1 and "SortMergeJoin(skew=true) [anchor" in plans[0]
+
+
 @given(st.integers(1, 337), st.integers(0, 336), st.sampled_from([1, 2, 64, 256]))
 def test_halves_hold_each_window_once(n, at, width):
     at = max(at, n - 1)
