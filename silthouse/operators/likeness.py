@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silthouse.functions.fuzzy import PARTIAL, SORTED, registry_score
+from silthouse.storage import written
 
 _EPS = 1e-9
 
@@ -75,35 +76,38 @@ def registry_pairs(left: DataFrame, right: DataFrame, least: float, text: str =
     if prefix < 2 or not 0.5 < least <= 1:
         raise ValueError("prefix must be 2 or more, least above 0.5 and at most 1")
 
-    def side(df: DataFrame) -> DataFrame:
+    def side(df: DataFrame, of: int) -> DataFrame:
         names = df.select(F.col(text).alias("t")).filter(F.length("t") >= prefix).distinct()
-        return names.select("t", F.substring("t", 1, prefix).alias("head"))
-
-    #: part, its bound, whether a side sends all its letter pairs, and which lengths may meet
-    parts = [("ratio", least, (False, False), None), ("sorted", least / SORTED, (False, False), None), ("short", least / PARTIAL, (False, True), "x.n <= y.n"), ("long", least / PARTIAL, (True, False), "x.n > y.n")]
-    found = None
-    one, two = side(left), side(right)
-    for part, bound, whole, lengths in parts:
-        if bound > 1:
-            continue
-        own = []
-        for df, every in ((one, whole[0]), (two, whole[1])):
-            pieces = _letters(_sorted_words(F.col("t")) if part == "sorted" else F.col("t"))
-            sized = df.withColumn("_all", pieces).withColumn("n", F.length(_sorted_words(F.col("t")) if part == "sorted" else F.col("t")))
-            own.append((sized.withColumn("_keep", F.size("_all") if every else _lost(F.col("n"), bound) + 1), every))
-        often = own[0][0].select("head", F.explode("_all").alias("p")).unionAll(own[1][0].select("head", F.explode("_all").alias("p"))).groupBy("head", "p").agg(F.count(F.lit(1)).alias("_n"))
-        sent = []
-        for df, every in own:
-            each = df.select("t", "head", "n", "_keep", F.explode("_all").alias("p"))
-            if not every:
-                ranked = each.join(often, ["head", "p"]).groupBy("t", "head", "n", "_keep").agg(F.array_sort(F.collect_list(F.struct("_n", "p"))).alias("_r"))
-                each = ranked.select("t", "head", "n", F.explode(F.slice(F.col("_r")["p"], F.lit(1), F.col("_keep"))).alias("p"))
-                if part == "sorted":  # so few letter pairs that edits may take them all: these names meet one another
-                    each = each.unionByName(df.filter("size(_all) < _keep").select("t", "head", "n", F.lit("").alias("p")))
-            sent.append(each.select("t", "head", "n", "p"))
-        x, y = sent[0].alias("x"), sent[1].alias("y")
-        meet = (F.col("x.head") == F.col("y.head")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.t") != F.col("y.t"))
-        meet = meet & (F.expr(lengths) if lengths else F.least("x.n", "y.n") * (2 - bound) >= F.greatest("x.n", "y.n") * bound - _EPS)
-        pairs = x.join(y, meet).select(F.col("x.t").alias("a"), F.col("y.t").alias("b"))
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct().withColumn("score", registry_score("a", "b")).filter(F.col("score") >= least)
+        return names.select(F.lit(of).alias("side"), "t", F.substring("t", 1, prefix).alias("head"))
+
+    def near(bound: float) -> Column:
+        return F.least("x.n", "y.n") * (2 - bound) >= F.greatest("x.n", "y.n") * bound - _EPS
+
+    #: part, its text, its bound, whether a side sends all its letter pairs, and which lengths may meet
+    parts = [
+        ("ratio", "plain", least, (False, False), near(least)),
+        ("sorted", "sorted", least / SORTED, (False, False), near(least / SORTED)),
+        ("short", "plain", least / PARTIAL, (False, True), F.expr("x.n <= y.n")),
+        ("long", "plain", least / PARTIAL, (True, False), F.expr("x.n > y.n")),
+    ]
+    parts = [p for p in parts if p[2] <= 1]
+    names = written(side(left, 0).unionByName(side(right, 1)), "names")
+    texts = {"plain": F.col("t"), "sorted": _sorted_words(F.col("t"))}
+    used = [F.struct(F.lit(k).alias("kind"), v.alias("s")) for k, v in texts.items() if any(p[1] == k for p in parts)]
+    sized = names.withColumn("_s", F.explode(F.array(*used))).select("side", "t", "head", "_s.kind", F.length("_s.s").alias("n"), _letters(F.col("_s.s")).alias("_all"))
+    # sorted words with so few letter pairs that edits may take them all meet one another
+    few = (F.col("kind") == "sorted") & (F.size("_all") <= _lost(F.col("n"), min(1, least / SORTED)))
+    each = sized.select("side", "t", "head", "kind", "n", F.explode(F.when(few, F.array_append("_all", "")).otherwise(F.col("_all"))).alias("p"))
+    often = each.groupBy("kind", "head", "p").agg(F.count(F.lit(1)).alias("_n"))
+    # Spark's size of a table leaves out that explode makes many rows of one: no such table may be sent whole through the driver
+    ranked = each.hint("merge").join(often, ["kind", "head", "p"]).groupBy("side", "t", "head", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("_n", "p"))).alias("_r"))
+    sends = F.array(*(F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), F.when(F.col("side").isin([k for k in (0, 1) if whole[k]]), F.size("_r")).otherwise(_lost(F.col("n"), bound) + 1).alias("keep")) for part, kind, bound, whole, _ in parts))
+    own = ranked.withColumn("_p", F.explode(F.filter(sends, lambda s: s["kind"] == F.col("kind"))))
+    sent = own.select("side", "t", "head", "n", "_p.part", F.explode(F.slice(F.col("_r")["p"], F.lit(1), F.col("_p.keep"))).alias("p"))
+    x, y = sent.filter("side = 0").alias("x"), sent.filter("side = 1").alias("y")
+    meet = (F.col("x.part") == F.col("y.part")) & (F.col("x.head") == F.col("y.head")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.t") != F.col("y.t"))
+    lengths = F.lit(False)
+    for part, *_, fits in parts:
+        lengths = lengths | ((F.col("x.part") == part) & fits)
+    found = x.hint("merge").join(y, meet & lengths).select(F.col("x.t").alias("a"), F.col("y.t").alias("b")).distinct()
+    return found.withColumn("score", registry_score("a", "b")).filter(F.col("score") >= least)

@@ -202,12 +202,14 @@ def two_pass_registry(names: DataFrame, registry: DataFrame, ident: str, name: s
     """
     left = names.select(F.col(ident).alias("id"), clean(F.col(name)).alias("plain")).filter("length(plain) > 1")
     right = registry.select(F.col(number).alias("number"), clean(F.col(name)).alias("plain")).filter("number is not null").groupBy("plain").agg(F.min("number").alias("number"))
-    seen = written(left.join(right, "plain", "left"), "registry")
+    right = written(right, "known")
+    # all joins are by merging: a file of names is far smaller than its rows, which the driver would hold to broadcast them
+    seen = written(left.hint("merge").join(right, "plain", "left"), "registry")
     exact = seen.filter("number is not null").select("id", "number", F.lit(1.0).alias("score"), F.lit("exact").alias("how"))
     rest = seen.filter("number is null").select("id", "plain")
-    pairs = registry_pairs(rest, right, least, prefix=prefix).join(right.withColumnRenamed("plain", "b"), "b")
+    pairs = registry_pairs(rest, right, least, prefix=prefix).hint("merge").join(right.withColumnRenamed("plain", "b"), "b")
     best = pairs.groupBy(F.col("a").alias("plain")).agg(F.min(F.struct((-F.round("score", 6)).alias("s"), "number")).alias("b")).select("plain", "b.number", (-F.col("b.s")).alias("score"))
-    return exact.unionByName(rest.join(best, "plain").select("id", "number", "score", F.lit("fuzzy").alias("how")))
+    return exact.unionByName(rest.hint("merge").join(best, "plain").select("id", "number", "score", F.lit("fuzzy").alias("how")))
 
 
 def same_day_matches(events: DataFrame, ident: str, source: str, day: str, title: str, least: float = 0.65) -> DataFrame:

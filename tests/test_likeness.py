@@ -79,6 +79,18 @@ def test_two_passes(spark):
     assert got == {1: (8, "exact"), 2: (8, "fuzzy")}
 
 
+def test_registry_is_not_sent_through_the_driver(spark):
+    """No join may broadcast names or their letter pairs, however small Spark takes the tables to be: any broadcast fails here."""
+    names = spark.range(400).select("id", F.substring(F.md5(F.col("id").cast("string")), 1, 24).alias("name"))
+    known = names.select(F.col("id").alias("number"), F.substring("name", 1, 23).alias("name"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        got = R.two_pass_registry(names, known, "id", "name", "number").collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(got) == 400 and all((r.number, r.how, r.score) == (r.id, "fuzzy", 0.978723) for r in got)
+
+
 def test_common_word_makes_few_candidates(spark):
     """A word in all names is nobody's rarest: candidates grow with the names, not with their square."""
     for n in (500, 1000):
